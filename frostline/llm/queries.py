@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frostline.llm import quality_rules, simhash, url_filter
+from frostline.llm import langid, quality_net, quality_rules, simhash, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -17,6 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(k: int):
+    """crc32 of the id as text, modulo k; a null id counts as 0."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % k, F.lit(0))
+
+
+def op1_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    net = quality_net.fit(docs, labels, remainder(5) != 0)
+    return quality_net.score_documents(docs, net).select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.parse_rules(URL_RULES)).select(
         "page_id", "host", "path", "rule", "verdict"
@@ -27,6 +38,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    models = langid.fit(docs, remainder(4) != 2)
+    return langid.predict(docs, models).select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score", "cross_entropy", "accepted")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -53,8 +70,10 @@ SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN strict OR (n_soft >=
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_quality_net": op1_quality_net,
         "op2_url_filter": op2_url_filter,
         "op3_simhash": op3_simhash,
+        "op5_langid": op5_langid,
         "op6_quality_rules": op6_quality_rules,
     }
 
