@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frostline.llm import langid, quality_net, quality_rules, simhash, url_filter
+from frostline.llm import chat_format, decontaminate, html_extract, langid, packing, quality_net, quality_rules, simhash, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -48,6 +48,29 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = F.array_join(F.transform("runs", lambda r: F.concat_ws(":", r["skip"], r["train"])), " ")
+    return chat_format.rotate(table(spark, sf_dir, "conversations")).withColumn("runs", runs)
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def _url_sql() -> str:
     lit = lambda x: "'" + x.replace("'", "''") + "'"
     hit = lambda t: f"regexp_matches(low, '(^|[^\\p{{L}}\\p{{N}}]){t}([^\\p{{L}}\\p{{N}}]|$)')"
@@ -75,8 +98,12 @@ def queries() -> dict[str, Query]:
         "op3_simhash": op3_simhash,
         "op5_langid": op5_langid,
         "op6_quality_rules": op6_quality_rules,
+        "op7_decontaminate": op7_decontaminate,
+        "op8_html_extract": op8_html_extract,
+        "op9_chat_format": op9_chat_format,
+        "op10_packing": op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": _url_sql(), "op6_quality_rules": quality_rules.JUDGE_SQL}
+    return {"op2_url_filter": _url_sql(), "op6_quality_rules": quality_rules.JUDGE_SQL, "op9_chat_format": chat_format.ROTATE_SQL}
