@@ -9,8 +9,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from frostline.llm import quality_rules, simhash
+from frostline.llm import decontaminate, line_dedup, packing, quality_rules, simhash
 from frostline.llm.lineage import ensure_checkpoint_dir
+from frostline.llm.queries import tokenizer_path
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,12 +19,33 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that are copies of an earlier line, or like it, go; documents that lose every word go with them."""
+    return line_dedup.keep_first_lines(docs)
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component stays."""
     return simhash.keep_one(docs)
 
 
-STAGES = [("quality_rules", rules), ("near_copies", near_copies)]
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the sequences that the documents are packed into."""
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality_rules", rules),
+    ("line_dedup", lines),
+    ("near_copies", near_copies),
+    ("decontamination", clean),
+    ("packing", packed),
+]
 
 #: The fingerprints are XXH64 and the packing needs token ids: SQL cannot express these stages.
 ORACLE_SQL = None

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frostline.llm import chat_format, decontaminate, html_extract, langid, packing, quality_net, quality_rules, simhash, url_filter
+from frostline.llm import chat_format, decontaminate, html_extract, langid, line_dedup, packing, quality_net, quality_rules, simhash, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -38,6 +38,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     models = langid.fit(docs, remainder(4) != 2)
@@ -96,6 +100,7 @@ def queries() -> dict[str, Query]:
         "op1_quality_net": op1_quality_net,
         "op2_url_filter": op2_url_filter,
         "op3_simhash": op3_simhash,
+        "op4_line_dedup": op4_line_dedup,
         "op5_langid": op5_langid,
         "op6_quality_rules": op6_quality_rules,
         "op7_decontaminate": op7_decontaminate,
