@@ -27,6 +27,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def own_prefix(df: DataFrame) -> str:
+    """A prefix that none of df's columns has, for columns that come and go."""
+    p = "__"
+    while any(c.startswith(p) for c in df.columns):
+        p += "_"
+    return p
+
+
 def extended(df: DataFrame, more: str) -> StructType:
     """df's schema and then the columns of a DDL string."""
     return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
