@@ -3,8 +3,8 @@
 Documents are tokenized and cut in one pass; full pieces are sequences of their own. The other pieces are dealt
 over groups of about GROUP pieces. Each group is packed by best-fit decreasing and certified by the
 best of many dual-feasible-function lower bounds on its bins. Groups whose count is over the bound keep their
-full bins; the documents in their bins with room are pooled, dealt over half as many groups and packed
-again, until no gap is left or a round saves no bin. Every step is a grouped Spark job over (length, id) rows; the token
+full bins and give the documents of the others to a pool, certified groups only those of their emptiest bin. The pool is dealt
+over new groups and packed again, until a round saves no bin (then the bins before it stand). Every step is a grouped Spark job over (length, id) rows; the token
 ids never move.
 """
 
@@ -172,7 +172,10 @@ def _packed(capacity: int):
         lengths = group["length"].to_numpy()
         bins, offsets, n = best_fit_decreasing(lengths, capacity)
         room = capacity - np.bincount(bins, weights=lengths, minlength=n).astype(np.int64)
-        return group.assign(bin=bins, offset=offsets, room=room[bins], bins=n, bound=lower_bound(lengths, capacity))
+        bound = lower_bound(lengths, capacity)
+        # of a certified group only the emptiest bin may still be of use to others
+        loose = room > 0 if n > bound else (room > 0) & (np.arange(n) == room.argmax())
+        return group.assign(bin=bins, offset=offsets, loose=loose[bins], bins=n, bound=bound, loose_bins=int(loose.sum()))
 
     return run
 
@@ -194,23 +197,23 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     done = [full]
     n = short.count()
     groups = max(1, -(-n // group))
-    now = short.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(groups)))
     names = [*cols, "round", "grp", "bin", "offset"]
+    now, pool, pooled = short, None, 0
     for k in range(1, MAX_ROUNDS + 1):
-        fitted = cut(
-            now.select(*cols, "grp").groupBy("grp").applyInPandas(_packed(length), extended(now.select(*cols, "grp"), "bin long, offset long, room long, bins long, bound long"))
-        ).withColumn("round", F.lit(k))
-        certified = fitted.groupBy("grp").agg(F.first("bins").alias("bins"), F.first("bound").alias("bound"))
-        gaps, used = certified.where("bins > bound").agg(F.count("*"), F.sum("bins")).first()
-        last = k == MAX_ROUNDS or gaps < 2 or (k > 1 and used >= before)
-        if last:
+        dealt = now.select(*cols, F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.lit(k)), F.lit(groups)).alias("grp"))
+        kind = extended(dealt, "bin long, offset long, loose boolean, bins long, bound long, loose_bins long")
+        fitted = cut(dealt.groupBy("grp").applyInPandas(_packed(length), kind)).withColumn("round", F.lit(k))
+        by_group = fitted.groupBy("grp").agg(*(F.first(c).alias(c) for c in ("bins", "loose_bins")), F.count_if("loose").alias("rows"))
+        used, loose, rows = by_group.agg(F.sum("bins"), F.sum("loose_bins"), F.sum("rows")).first()
+        if pool is not None and used >= pooled:  # dealing them anew saved nothing: they stay as they were
+            done.append(pool.select(*names))
+            break
+        if k == MAX_ROUNDS or not loose or loose < 2:
             done.append(fitted.select(*names))
             break
-        loose = (F.col("bins") > F.col("bound")) & (F.col("room") > 0)
-        done.append(fitted.where(~loose).select(*names))
-        before = used
-        groups = max(1, gaps // 2)
-        now = fitted.where(loose).withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.lit(k)), F.lit(groups)))
+        done.append(fitted.where("not loose").select(*names))
+        now = pool = fitted.where("loose")
+        pooled, groups = loose, max(1, -(-rows // group))
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
