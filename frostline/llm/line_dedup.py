@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frostline.llm.components import connected_components
-from frostline.llm.lineage import cut
+from frostline.llm.lineage import cut, own_prefix
 
 SHINGLE = 8
 BANDS_LOG2 = 3
@@ -116,36 +116,36 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     no rows; other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return _apply(rows, "doc_id", "text", similarity).select("doc_id", "text", "n_lines", "n_dropped")
+    done, n_lines, n_dropped = _apply(rows, "doc_id", "text", similarity)
+    return done.select("doc_id", "text", F.col(n_lines).alias("n_lines"), F.col(n_dropped).alias("n_dropped"))
 
 
-def _apply(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
-    """docs with text_col rewritten, n_lines and n_dropped."""
+def _apply(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> tuple[DataFrame, str, str]:
+    """docs with text_col rewritten, and the names of two more columns: lines with a word, and those of them that went."""
+    p = own_prefix(docs)
     gone = dropped_lines(docs, id_col, text_col, similarity)
     at = lines_of(docs, id_col, text_col).select("doc_id", "doc_key", "line_no", *_identity(F.col("line")))
     met = at.join(gone, ["h1", "h2"]).where(
         F.col("stay").isNull() | ~(F.col("stay.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("stay.line_no") == F.col("line_no")))
     )
-    drops = met.groupBy(F.col("doc_id").alias("__d"), F.col("doc_key").alias("__k")).agg(F.collect_set("line_no").alias("__drop"))
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    both = docs.join(drops, F.col(id_col).eqNullSafe(F.col("__d")) & (F.xxhash64(text) == F.col("__k")), "left")
-    lines = F.split(text, "\n")
-    drop = F.coalesce("__drop", F.array().cast("array<int>"))
-    stays = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), drop)
-    kept = F.when(F.size(drop) == 0, F.col(text_col)).otherwise(
-        F.array_join(F.transform(stays, lambda i: F.get(F.col("__lines"), i)), "\n")
-    )
-    return (
-        both.withColumns({"__lines": lines, "n_dropped": F.size(drop)})
-        .withColumns({"n_lines": F.size(F.filter("__lines", lambda x: x.rlike(_WORD))), text_col: kept})
-        .drop("__d", "__k", "__drop", "__lines")
+    drops = met.groupBy("doc_id", "doc_key").agg(F.collect_set("line_no").alias(f"{p}drop"))
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    same = docs[id_col].eqNullSafe(drops["doc_id"]) & (F.xxhash64(text) == drops["doc_key"])
+    both = docs.join(drops, same, "left").select(*(docs[c] for c in docs.columns), drops[f"{p}drop"])
+    drop, lines = F.coalesce(F.col(f"{p}drop"), F.array().cast("array<int>")), F.col(f"{p}lines")
+    stays = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop)
+    kept = F.when(F.size(drop) == 0, F.col(text_col)).otherwise(F.array_join(F.transform(stays, lambda i: F.get(lines, i)), "\n"))
+    done = both.withColumns({f"{p}lines": F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n"), f"{p}gone": F.size(drop)}).withColumns(
+        {f"{p}all": F.size(F.filter(lines, lambda x: x.rlike(_WORD))), text_col: kept}
     )
+    return done.select(*docs.columns, f"{p}all", f"{p}gone"), f"{p}all", f"{p}gone"
 
 
 def keep_first_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", similarity: float = SIMILARITY) -> DataFrame:
     """docs with the lines dropped and chars_col counted anew; a document all of whose words are gone goes, too."""
     names = docs.columns
-    done = _apply(docs, id_col, text_col, similarity).where("n_dropped < n_lines or n_lines = 0")
+    done, n_lines, n_dropped = _apply(docs, id_col, text_col, similarity)
+    done = done.where((F.col(n_dropped) < F.col(n_lines)) | (F.col(n_lines) == 0))
     if chars_col in names:
         done = done.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
     return done.select(*names)
