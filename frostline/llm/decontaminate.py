@@ -211,6 +211,6 @@ def keep_clean(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, id
                item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """docs without those that leak."""
     top = worst(tilings(docs, items, id_col, text_col, item_col, item_text_col)).where(F.col("coverage") >= coverage)
-    bad = top.select(F.col("doc_id").alias("__d"), F.col("doc_key").alias("__k"))
-    same = docs[id_col].eqNullSafe(bad["__d"]) & (F.xxhash64(docs[text_col].cast("string")) == bad["__k"])
+    bad = top.select("doc_id", "doc_key")
+    same = docs[id_col].eqNullSafe(bad["doc_id"]) & (F.xxhash64(docs[text_col].cast("string")) == bad["doc_key"])
     return docs.join(bad, same, "left_anti")

@@ -1,5 +1,5 @@
 """Where long jobs cut their lineage."""
 
-from frostline.plans.lineage import cut, ensure_checkpoint_dir, extended
+from frostline.plans.lineage import cut, ensure_checkpoint_dir, extended, own_prefix
 
-__all__ = ["cut", "ensure_checkpoint_dir", "extended"]
+__all__ = ["cut", "ensure_checkpoint_dir", "extended", "own_prefix"]

@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frostline.llm.lineage import cut, ensure_checkpoint_dir
+from frostline.llm.lineage import cut, ensure_checkpoint_dir, own_prefix
 
 WINDOW = 8
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -41,7 +41,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text", prefix: str = "") -
     """docs with n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words (long), each after prefix."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     p = lambda x: f"{prefix}{x}"
-    words, lines, hashes = "__words", "__lines", "__hashes"
+    words, lines, hashes = f"{prefix}_words_", f"{prefix}_lines_", f"{prefix}_hashes_"
     long = lambda x: x.cast("long")
     return (
         docs.withColumns(
@@ -134,13 +134,14 @@ def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source",
     spark, names = docs.sparkSession, docs.columns
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/rules-{uuid.uuid4().hex}"
-    flagged = with_statistics(docs, text_col, "__").withColumns({"__bad": base_failed("__"), "__rule": rule_failed("__")})
-    flagged.select(*names, "__bad", "__rule").write.parquet(path)
-    written = spark.read.schema(flagged.select(*names, "__bad", "__rule").schema).parquet(path)
-    flags = written.select(F.col(host_col).cast("string").alias("host"), F.col("__rule").alias("failed"))
-    bad = host_verdicts(flags, max_rate=max_rate).where("host_failed").select(F.col("host").alias("__host"))
-    good = written.where("not __bad")
-    return good.join(bad, good[host_col].cast("string") == bad["__host"], "left_anti").select(*names)
+    p = own_prefix(docs)
+    flagged = with_statistics(docs, text_col, p).withColumns({f"{p}bad": base_failed(p), f"{p}rule": rule_failed(p)}).select(*names, f"{p}bad", f"{p}rule")
+    flagged.write.parquet(path)
+    written = spark.read.schema(flagged.schema).parquet(path)
+    flags = written.select(F.col(host_col).cast("string").alias("host"), F.col(f"{p}rule").alias("failed"))
+    bad = host_verdicts(flags, max_rate=max_rate).where("host_failed").select("host")
+    good = written.where(~F.col(f"{p}bad"))
+    return good.join(bad, good[host_col].cast("string") == bad["host"], "left_anti").select(*names)
 
 
 #: The same in DuckDB's SQL.

@@ -175,5 +175,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
     """docs without the near copies: of each component the document whose id names it stays, with every row that
     repeats this id; rows without an id stay."""
     named = simhash_components(docs.where(F.col(id_col).isNotNull()), distance, id_col, text_col)
-    stay = named.where("doc_id = component_id").select(F.col("doc_id").alias("__stay")).distinct()
-    return docs.join(stay, F.col(id_col) == F.col("__stay"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    stay = named.where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(stay, docs[id_col] == stay["doc_id"], "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
