@@ -1,11 +1,12 @@
 """Fuzzy line deduplication by MinHash, in Spark expressions only.
 
 1. Every line with a word gets a 128-bit identity (two hashes of the line) and, from one hash of each
-   of its SHINGLE-character shingles, one-permutation MinHash bands: the top bits of a hash choose one of BANDS bins, and a
-   band is the ROWS least hashes of its bin. Equal lines become one row by a grouped minimum; no text is shuffled.
-2. Lines that share a band are candidates. Each is first verified against the band's least line: exact Jaccard of the two shingle
-   sets. Verified links merge lines into components; then only pairs of one band that are still in different
-   components are verified, so a group of many like lines costs a star and not all its pairs, and no link that matters is lost.
+   of its SHINGLE-character shingles, one-permutation MinHash bands: of the SKETCH least hashes the low bits choose one of
+   BANDS bins, and a band is the ROWS least hashes of its bin. Equal lines become one row by a grouped minimum; no text is shuffled.
+2. Lines that share a band are candidates, verified by the exact Jaccard similarity of their shingle sets. Most bands that are shared
+   at all are shared by two lines. In larger ones the lines are first compared with the one that has most copies (an original
+   more often than not), then with the next that is in another component; then only pairs of one band that are still in different
+   components are left, and all of them are verified. So a group of many like lines costs stars and not its pairs, and no link that matters is lost.
 3. Components (distributed union-find) and equal lines keep the line that comes first by (document, line number); documents are put
    together again without the others.
 """
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from frostline.llm.components import connected_components
 from frostline.llm.lineage import cut, own_prefix
@@ -22,25 +24,39 @@ SHINGLE = 8
 BANDS_LOG2 = 3
 BANDS = 1 << BANDS_LOG2
 ROWS = 4
+SKETCH = 64
 SIMILARITY = 0.8
+STARS = 2
+#: Bits of the filter that picks candidates' texts: 1 MB whatever the corpus; more candidates let more other texts through.
+FILTER_BITS = 23
 _WORD = r"[^\x20\x09-\x0D]"
 
 
+def once(x: Column, f) -> Column:
+    """f(x), with x evaluated once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def shingle_hashes(line: Column, size: int = SHINGLE) -> Column:
-    """Different hashes of all size-character shingles, sorted; a shorter line is one shingle."""
-    once = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))  # noqa: E731  evaluates x once
-    points = F.encode(line, "UTF-32")  # four bytes a character: a shingle is a slice
-    last = F.greatest(F.length(line) - size, F.lit(0))
-    hashes = lambda p: F.transform(F.sequence(F.lit(1), 4 * last + 1, F.lit(4)), lambda i: F.xxhash64(F.substring(p, i, 4 * size)))
-    return F.sort_array(F.array_distinct(once(points, hashes)))
+    """Hashes of all size-character shingles (UTF-16 units), sorted, repeats included; a shorter line is one shingle."""
+    hashes = lambda p: F.transform(  # noqa: E731  two bytes a character: a shingle is a slice
+        F.sequence(F.lit(1), F.greatest(F.octet_length(p) - (2 * size - 1), F.lit(1)), F.lit(2)), lambda i: F.xxhash64(F.substring(p, i, 2 * size))
+    )
+    return F.sort_array(once(F.encode(line, "UTF-16BE"), hashes))
 
 
 def bands(hashes: Column) -> Column:
     """One hash for each bin that has shingles, of the bin's number and its ROWS least hashes."""
-    bin_of = lambda x: F.shiftrightunsigned(x, 64 - BANDS_LOG2)
-    starts = F.filter(F.transform(hashes, lambda x, i: F.when((i == 0) | (bin_of(x) != bin_of(F.get(hashes, i - 1))), i)), lambda i: i.isNotNull())
-    own = lambda i: F.filter(F.slice(hashes, i + 1, ROWS), lambda x: bin_of(x) == bin_of(F.get(hashes, i)))
-    return F.transform(starts, lambda i: F.xxhash64(own(i)))
+    # the bin goes to the top bits and one sort brings the bins together, each in the order of its hashes
+    by_bin = F.sort_array(F.transform(F.slice(hashes, 1, SKETCH), lambda x: F.shiftleft(x, 64 - BANDS_LOG2).bitwiseOR(F.shiftrightunsigned(x.bitwiseXOR(F.lit(-(1 << 63))), BANDS_LOG2))))
+    bin_of = lambda x: F.shiftright(x, 64 - BANDS_LOG2)
+
+    def keys(h: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: ~bin_of(F.get(h, i)).eqNullSafe(bin_of(F.get(h, i - 1))))
+        own = lambda i: F.filter(F.slice(h, i + 1, ROWS), lambda x: bin_of(x) == bin_of(F.get(h, i)))
+        return F.transform(heads, lambda i: F.xxhash64(own(i)))
+
+    return once(by_bin, keys)
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -55,42 +71,84 @@ def _identity(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("second"), line).alias("h2")]
 
 
+def _place(lines: DataFrame) -> Column:
+    """A line's place, in order of document and number: one number if doc_id is one, so that minima are hashed and not sorted."""
+    if isinstance(lines.schema["doc_id"].dataType, IntegralType):
+        low = F.lit(str(-(1 << 64))).cast("decimal(20,0)")  # null documents come first
+        return (F.coalesce(F.col("doc_id").cast("decimal(20,0)"), low) * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line_no")).cast("decimal(38,0)")
+    return F.struct("doc_id", "line_no")
+
+
 def distinct_lines(lines: DataFrame) -> DataFrame:
-    """(h1, h2, n, first, bands) of each different line; first is its least (doc_id, line_no)."""
-    hashed = lines.select("doc_id", "line_no", *_identity(F.col("line")), shingle_hashes(F.col("line")).alias("hashes"))
-    each = hashed.select("h1", "h2", F.struct("doc_id", "line_no").alias("at"), bands(F.col("hashes")).alias("bands"))
-    return each.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.first("bands").alias("bands"))
+    """(h1, h2, n, first, b0, b1, ..) of each different line; first is its least place."""
+    hashed = lines.select(*_identity(F.col("line")), _place(lines).alias("at"), shingle_hashes(F.col("line")).alias("hashes"))
+    each = hashed.select("h1", "h2", "at", bands(F.col("hashes")).alias("bands"))
+    flat = each.select("h1", "h2", "at", *(F.get("bands", F.lit(k)).alias(f"b{k}") for k in range(BANDS)))
+    return flat.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("at").alias("first"), *(F.first(f"b{k}").alias(f"b{k}") for k in range(BANDS)))
+
+
+def _bitmap(ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """One row and column: an array of 2**(bits - 6) longs in which bit s is set if the top bits of an id are s."""
+    slot = F.shiftrightunsigned("h1", 64 - bits)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+    words = ids.select(F.shiftright(slot, 6).alias("id"), bit.alias("bit")).groupBy("id").agg(F.bit_or("bit").alias("set"))
+    every = ids.sparkSession.range(1 << (bits - 6)).join(words, "id", "left").select(F.struct("id", F.coalesce("set", F.lit(0)).alias("set")).alias("w"))
+    return every.agg(F.transform(F.array_sort(F.collect_list("w")), lambda w: w["set"]).alias("bits"))
+
+
+def _texts(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(h1, line) of the wanted ids: a bitmap of fixed size keeps other lines out of the shuffle."""
+    own = lines.select(F.xxhash64("line").alias("h1"), "line")
+    slot = F.shiftrightunsigned("h1", 64 - FILTER_BITS)
+    word = F.get(cut(_bitmap(wanted)).scalar(), F.shiftright(slot, 6).cast("int"))
+    maybe = own.where(F.call_function("shiftrightunsigned", word, slot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1)
+    return maybe.join(wanted, "h1", "left_semi").groupBy("h1").agg(F.first("line").alias("line"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) whose lines' shingle sets have that Jaccard similarity."""
     a, b = (texts.select(F.col("h1").alias(x), F.col("line").alias(f"line_{x}")) for x in "ab")
-    # where the similarity can't be reached by length alone, no shingle is made
-    n = lambda x: F.greatest(F.length(f"line_{x}") - (SHINGLE - 1), F.lit(1))
     both = pairs.join(a, "a").join(b, "b")
-    sets = both.select("a", "b", shingle_hashes(F.col("line_a")).alias("x"), shingle_hashes(F.col("line_b")).alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    counted = sets.select("a", "b", common.alias("c"), (F.size("x") + F.size("y")).alias("s"))
+    sets = both.select("a", "b", F.array_distinct(shingle_hashes(F.col("line_a"))).alias("x"), F.array_distinct(shingle_hashes(F.col("line_b"))).alias("y"))
+    counted = sets.select("a", "b", F.size(F.array_intersect("x", "y")).alias("c"), (F.size("x") + F.size("y")).alias("s"))
     return counted.where(F.col("c") >= similarity * (F.col("s") - F.col("c"))).select("a", "b")
 
 
+def _ordered(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
 def fuzzy_components(lines: DataFrame, distinct: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(h1, component) of the different lines that are like another one; distinct is distinct_lines(lines), cut."""
-    keyed = distinct.select(F.explode("bands").alias("band"), "h1")
-    shared = keyed.groupBy("band").agg(F.min("h1").alias("leader"), F.max("h1").alias("other")).where("leader < other").select("band", "leader")
-    members = cut(keyed.join(shared, "band"))
-    star = cut(members.where("h1 <> leader").select(F.col("leader").alias("a"), F.col("h1").alias("b")).distinct())
-    wanted = star.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
-    own = lines.select(F.xxhash64("line").alias("h1"), "line").join(wanted, "h1", "left_semi")
-    texts = cut(own.groupBy("h1").agg(F.min("line").alias("line")))
-    linked = cut(_verified(star, texts, similarity))
-    parts = connected_components(linked)
-    labelled = members.join(parts, members.h1 == parts.node, "left").select("band", "h1", F.coalesce("component", "h1").alias("c"))
-    mixed = labelled.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band")
-    rest = cut(labelled.join(mixed, "band", "left_semi"))
+    keyed = distinct.select(F.explode(F.array_compact(F.array(*(f"b{k}" for k in range(BANDS))))).alias("band"), "h1", "n")
+    shared = cut(keyed.groupBy("band").agg(F.count("*").alias("c"), F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi"))
+    members = cut(keyed.join(shared.where("c > 2").select("band"), "band"))
+    twos = shared.where("c = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).distinct()
+    wanted = twos.select(F.explode(F.array("a", "b")).alias("h1")).unionByName(members.select("h1")).distinct()
+    texts = cut(_texts(lines, wanted))
+
+    tried = cut(twos)
+    linked = cut(_verified(tried, texts, similarity))
+    here = members.select("band", "h1", "n", F.col("h1").alias("c"))
+    for _ in range(STARS):
+        # of each band that is not of one component yet: the line with most copies that was not a centre there
+        top = here.groupBy("band").agg(F.max("n").alias("n"))
+        centre = here.join(top, ["band", "n"]).groupBy("band").agg(F.min("h1").alias("centre"))
+        met = here.join(centre, "band")
+        own = met.where("h1 = centre").select("band", F.col("c").alias("cc"))
+        star = met.join(own, "band").where("c <> cc").select(*_ordered("h1", "centre")).distinct().join(tried, ["a", "b"], "left_anti")
+        star = cut(star)
+        linked = cut(linked.unionByName(_verified(star, texts, similarity)))
+        tried = tried.unionByName(star)
+        parts = connected_components(linked)
+        labelled = met.drop("c").join(parts, met.h1 == parts.node, "left").select("band", "h1", "n", "centre", F.coalesce("component", "h1").alias("c"))
+        mixed = labelled.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band")
+        all_here = cut(labelled.join(mixed, "band", "left_semi"))
+        here = all_here.where("h1 <> centre").select("band", "h1", "n", "c")
+    rest = all_here.select("band", "h1", "c")
     left, right = rest.select("band", F.col("h1").alias("a"), F.col("c").alias("ca")), rest.select("band", F.col("h1").alias("b"), F.col("c").alias("cb"))
-    across = left.join(right, "band").where("a < b and ca <> cb").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    more = _verified(across, texts, similarity)
+    across = left.join(right, (left.band == right.band) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b").distinct()
+    more = _verified(across.join(tried, ["a", "b"], "left_anti"), texts, similarity)
     return connected_components(linked.unionByName(more)).withColumnRenamed("node", "h1")
 
 
@@ -124,10 +182,9 @@ def _apply(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> tu
     """docs with text_col rewritten, and the names of two more columns: lines with a word, and those of them that went."""
     p = own_prefix(docs)
     gone = dropped_lines(docs, id_col, text_col, similarity)
-    at = lines_of(docs, id_col, text_col).select("doc_id", "doc_key", "line_no", *_identity(F.col("line")))
-    met = at.join(gone, ["h1", "h2"]).where(
-        F.col("stay").isNull() | ~(F.col("stay.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("stay.line_no") == F.col("line_no")))
-    )
+    own = lines_of(docs, id_col, text_col)
+    at = own.select("doc_id", "doc_key", "line_no", _place(own).alias("at"), *_identity(F.col("line")))
+    met = at.join(gone, ["h1", "h2"]).where(F.col("stay").isNull() | (F.col("stay") != F.col("at")))
     drops = met.groupBy("doc_id", "doc_key").agg(F.collect_set("line_no").alias(f"{p}drop"))
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     same = docs[id_col].eqNullSafe(drops["doc_id"]) & (F.xxhash64(text) == drops["doc_key"])
