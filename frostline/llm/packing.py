@@ -17,7 +17,6 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -167,15 +166,19 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def _packed(capacity: int):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("length", "descending"), *((c, "ascending") for c in ("doc_id", "piece", "ids_crc32"))])
         lengths = group["length"].to_numpy()
         bins, offsets, n = best_fit_decreasing(lengths, capacity)
         room = capacity - np.bincount(bins, weights=lengths, minlength=n).astype(np.int64)
         bound = lower_bound(lengths, capacity)
         # of a certified group only the emptiest bin may still be of use to others
         loose = room > 0 if n > bound else (room > 0) & (np.arange(n) == room.argmax())
-        return group.assign(bin=bins, offset=offsets, loose=loose[bins], bins=n, bound=bound, loose_bins=int(loose.sum()))
+        same = lambda x: np.full(len(lengths), x)
+        more = {"bin": bins, "offset": offsets, "loose": loose[bins], "bins": same(n), "bound": same(bound), "loose_bins": same(int(loose.sum()))}
+        for name, values in more.items():
+            group = group.append_column(name, pa.array(values))
+        return group
 
     return run
 
@@ -202,7 +205,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     for k in range(1, MAX_ROUNDS + 1):
         dealt = now.select(*cols, F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.lit(k)), F.lit(groups)).alias("grp"))
         kind = extended(dealt, "bin long, offset long, loose boolean, bins long, bound long, loose_bins long")
-        fitted = cut(dealt.groupBy("grp").applyInPandas(_packed(length), kind)).withColumn("round", F.lit(k))
+        fitted = cut(dealt.groupBy("grp").applyInArrow(_packed(length), kind)).withColumn("round", F.lit(k))
         by_group = fitted.groupBy("grp").agg(*(F.first(c).alias(c) for c in ("bins", "loose_bins")), F.count_if("loose").alias("rows"))
         used, loose, rows = by_group.agg(F.sum("bins"), F.sum("loose_bins"), F.sum("rows")).first()
         if pool is not None and used >= pooled:  # dealing them anew saved nothing: they stay as they were

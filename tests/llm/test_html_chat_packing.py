@@ -121,6 +121,8 @@ def test_packing_in_small_groups_exchanges(spark):
 def test_packing_rows(spark, text_rows):
     out = packing.pack(text_rows, tokenizer_path()).collect()
     assert len([r for r in out if r.doc_id in (3, 4)]) == 2 and all(r.length == 1 for r in out if r.doc_id in (3, 4)) and len([r for r in out if r.doc_id == 2]) == 2
+    big = spark.createDataFrame([(2**62 + 1, "a b"), (None, "c"), (2**62 + 3, None)], "doc_id long, text string")
+    assert {r.doc_id for r in packing.pack(big, tokenizer_path()).collect()} == {2**62 + 1, 2**62 + 3, None}
     assert packing.pack(text_rows.limit(0), tokenizer_path()).count() == 0
 
 
