@@ -26,9 +26,10 @@ BANDS = 10
 ROWS = 4
 SKETCH = 56
 SIMILARITY = 0.8
-#: Sketches of lines of similarity s share about 2 s / (1 + s) of their hashes (0.89 at 0.8); under this share a pair is left out, which three in
-#: a thousand pairs at the very threshold are.
-SKETCH_SHARE = 0.77
+#: Before a pair of a large band is verified, its similarity is estimated from the PAIR_SKETCH least hashes of both lines together (exact for shorter
+#: lines); under PAIR_ESTIMATE it is left out, which one in a hundred pairs at the very threshold are.
+PAIR_SKETCH = 128
+PAIR_ESTIMATE = 0.72
 #: Bits of the filter that picks candidates' texts: 1 MB whatever the corpus; more candidates let more other texts through.
 FILTER_BITS = 23
 _WORD = r"[^\x20\x09-\x0D]"
@@ -135,10 +136,11 @@ def fuzzy_components(lines: DataFrame, distinct: DataFrame, similarity: float =
     labelled = members.join(parts, members.h1 == parts.node, "left").select("band", "h1", F.coalesce("component", "h1").alias("c"))
     mixed = labelled.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band")
     rest = cut(labelled.join(mixed, "band", "left_semi"))
-    sketches = texts.join(rest.select("h1").distinct(), "h1", "left_semi").select("h1", F.array_distinct(F.slice(shingle_hashes(F.col("line")), 1, SKETCH)).alias("sketch"))
+    sketches = texts.join(rest.select("h1").distinct(), "h1", "left_semi").select("h1", F.slice(F.array_distinct(shingle_hashes(F.col("line"))), 1, PAIR_SKETCH).alias("sketch"))
     seen = cut(rest.join(sketches, "h1"))
     left, right = (seen.select("band", F.col("h1").alias(x), F.col("c").alias(f"c{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
-    near = F.size(F.array_intersect("sa", "sb")) >= SKETCH_SHARE * F.greatest(F.size("sa"), F.size("sb"))
+    least = lambda u: F.size(F.array_intersect(F.array_intersect("sa", "sb"), u)) >= PAIR_ESTIMATE * F.size(u)
+    near = once(F.slice(F.sort_array(F.array_union("sa", "sb")), 1, PAIR_SKETCH), least)
     across = left.join(right, (left.band == right.band) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near).select("a", "b").distinct()
     more = _verified(across.join(tried, ["a", "b"], "left_anti"), texts, similarity)
     return connected_components(linked.unionByName(more)).withColumnRenamed("node", "h1")
