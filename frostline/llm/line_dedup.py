@@ -96,13 +96,17 @@ def _bitmap(ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     return every.agg(F.transform(F.array_sort(F.collect_list("w")), lambda w: w["set"]).alias("bits"))
 
 
+def _may_be_in(h: Column, wanted: DataFrame) -> Column:
+    """False only for hashes that wanted (h1) does not have: a bitmap of fixed size keeps most other rows out of a shuffle."""
+    slot = F.shiftrightunsigned(h, 64 - FILTER_BITS)
+    word = F.get(cut(_bitmap(wanted)).scalar(), F.shiftright(slot, 6).cast("int"))
+    return F.call_function("shiftrightunsigned", word, slot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
 def _texts(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h1, line) of the wanted ids: a bitmap of fixed size keeps other lines out of the shuffle."""
+    """(h1, line) of the wanted ids."""
     own = lines.select(F.xxhash64("line").alias("h1"), "line")
-    slot = F.shiftrightunsigned("h1", 64 - FILTER_BITS)
-    word = F.get(cut(_bitmap(wanted)).scalar(), F.shiftright(slot, 6).cast("int"))
-    maybe = own.where(F.call_function("shiftrightunsigned", word, slot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1)
-    return maybe.join(wanted, "h1", "left_semi").groupBy("h1").agg(F.first("line").alias("line"))
+    return own.where(_may_be_in(F.col("h1"), wanted)).join(wanted, "h1", "left_semi").groupBy("h1").agg(F.first("line").alias("line"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -179,10 +183,14 @@ def _apply(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> tu
     own = lines_of(docs, id_col, text_col)
     at = own.select("doc_id", "doc_key", "line_no", _place(own).alias("at"), *_identity(F.col("line")))
     met = at.join(gone, ["h1", "h2"]).where(F.col("stay").isNull() | (F.col("stay") != F.col("at")))
-    drops = met.groupBy("doc_id", "doc_key").agg(F.collect_set("line_no").alias(f"{p}drop"))
+    drops = cut(met.groupBy("doc_id", "doc_key").agg(F.collect_set("line_no").alias(f"{p}drop")))
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    same = docs[id_col].eqNullSafe(drops["doc_id"]) & (F.xxhash64(text) == drops["doc_key"])
-    both = docs.join(drops, same, "left").select(*(docs[c] for c in docs.columns), drops[f"{p}drop"])
+    touched = _may_be_in(F.xxhash64(text), drops.select(F.col("doc_key").alias("h1")))
+    some = docs.where(touched)
+    same = some[id_col].eqNullSafe(drops["doc_id"]) & (F.xxhash64(F.coalesce(some[text_col].cast("string"), F.lit(""))) == drops["doc_key"])
+    joined = some.join(drops, same, "left").select(*(some[c] for c in docs.columns), drops[f"{p}drop"])
+    # texts that lose no line are not shuffled
+    both = joined.unionByName(docs.where(~touched).withColumn(f"{p}drop", F.lit(None).cast("array<int>")))
     drop, lines = F.coalesce(F.col(f"{p}drop"), F.array().cast("array<int>")), F.col(f"{p}lines")
     stays = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop)
     kept = F.when(F.size(drop) == 0, F.col(text_col)).otherwise(F.array_join(F.transform(stays, lambda i: F.get(lines, i)), "\n"))
