@@ -8,14 +8,14 @@ documents is judged mostly by the corpus.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frostline.llm.lineage import cut, ensure_checkpoint_dir, own_prefix
+from frostline.llm.lineage import cut, own_prefix
 
 WINDOW = 8
+#: Hosts of some 100 bytes each: ten megabytes at most.
+MAX_BROADCAST_HOSTS = 100_000
 _SPACE = r"[\x20\x09-\x0D]+"
 _WORD = r"[^\x20\x09-\x0D]"
 
@@ -129,19 +129,20 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_rate: float = 0.5) -> DataFrame:
-    """docs without those that judge() does not keep, columns as they are. The rows and their flags are written once to
-    the shared checkpoint folder, so that the rules run once and no text is shuffled."""
-    spark, names = docs.sparkSession, docs.columns
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/rules-{uuid.uuid4().hex}"
+    """docs without those that judge() does not keep, columns as they are.
+
+    The hosts' verdicts need a first pass, which keeps only flags; the second filters the documents as they are read, so no text is shuffled
+    or written in between. Rejected hosts are broadcast after they were counted, and joined otherwise if they are over MAX_BROADCAST_HOSTS.
+    """
     p = own_prefix(docs)
-    flagged = with_statistics(docs, text_col, p).withColumns({f"{p}bad": base_failed(p), f"{p}rule": rule_failed(p)}).select(*names, f"{p}bad", f"{p}rule")
-    flagged.write.parquet(path)
-    written = spark.read.schema(flagged.schema).parquet(path)
-    flags = written.select(F.col(host_col).cast("string").alias("host"), F.col(f"{p}rule").alias("failed"))
-    bad = host_verdicts(flags, max_rate=max_rate).where("host_failed").select("host")
-    good = written.where(~F.col(f"{p}bad"))
-    return good.join(bad, good[host_col].cast("string") == bad["host"], "left_anti").select(*names)
+    flagged = with_statistics(docs, text_col, p)
+    flags = flagged.select(F.col(host_col).cast("string").alias("host"), rule_failed(p).alias("failed"))
+    bad = cut(host_verdicts(flags, max_rate=max_rate).where("host_failed").select("host"))
+    good = flagged.where(~base_failed(p)).select(*docs.columns)
+    n = bad.count()
+    if not n:
+        return good
+    return good.join(F.broadcast(bad) if n <= MAX_BROADCAST_HOSTS else bad, good[host_col].cast("string") == bad["host"], "left_anti")
 
 
 #: The same in DuckDB's SQL.
