@@ -14,7 +14,7 @@ def _plain(v):
     if isinstance(v, bool) or type(v).__name__ == "bool_":
         return bool(v)
     if isinstance(v, float):
-        return int(v) if v == int(v) and abs(v) < 1e15 else round(v, 6)
+        return str(int(v)) if abs(v) < 1e15 and v == int(v) else str(round(v, 6))
     if isinstance(v, datetime.datetime):
         return v.isoformat()
     return v.isoformat() + "T00:00:00" if isinstance(v, datetime.date) else str(v)
