@@ -27,7 +27,7 @@ LENGTH = 2048
 END_ID = 0
 GROUP = 40_000
 MAX_ROUNDS = 6
-_CACHE = 300_000
+_CACHE = 500_000
 #: White space beside a space: there a text can't be cut before the space without changing its tokens.
 _UNITS = re.compile(r" ?[^ ]+")
 #: Fixed value: how byte-level BPE of this kind cuts text before merging.
