@@ -1,7 +1,7 @@
 """Fuzzy line deduplication by MinHash, in Spark expressions only.
 
 1. Every line with a word gets a 128-bit identity (two hashes of the line) and, from one hash of each
-   of its SHINGLE-character shingles, one-permutation MinHash bands: its SKETCH least hashes are the sketch, the first BANDS of them whose low
+   of its different SHINGLE-character shingles, one-permutation MinHash bands: its SKETCH least hashes are the sketch, the first BANDS of them whose low
    two bits are 0 start a band each, and a band is ROWS neighbours of the sketch. Two lines of similarity s share a band that starts at a
    common hash with probability s ** ROWS at least. Equal lines become one row by a grouped minimum; no text is shuffled.
 2. Lines that share a band are candidates, verified by the exact Jaccard similarity of their shingle sets. Most bands that are shared
@@ -81,7 +81,7 @@ def _place(lines: DataFrame) -> Column:
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
     """(h1, h2, n, first, b0, b1, ..) of each different line; first is its least place."""
-    hashed = lines.select(*_identity(F.col("line")), _place(lines).alias("at"), shingle_hashes(F.col("line")).alias("hashes"))
+    hashed = lines.select(*_identity(F.col("line")), _place(lines).alias("at"), F.array_distinct(shingle_hashes(F.col("line"))).alias("hashes"))
     each = hashed.select("h1", "h2", "at", bands(F.col("hashes")).alias("bands"))
     flat = each.select("h1", "h2", "at", *(F.get("bands", F.lit(k)).alias(f"b{k}") for k in range(BANDS)))
     return flat.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("at").alias("first"), *(F.first(f"b{k}").alias(f"b{k}") for k in range(BANDS)))

@@ -78,6 +78,18 @@ def test_recall_at_the_threshold(spark):
     assert not any(got[d] for d in below) and len(below) > 50 and not any(got[2 * i] for i in range(400))
 
 
+def test_repeated_shingles(spark):
+    """A line and the same twice in one line, and rulers of different length, are pairs like others."""
+    rng = random.Random(5)
+    letters = lambda n: "".join(rng.choice("abcdefghijkl ") for _ in range(n)).strip() + "."
+    pairs = [(x, f"{x}{x}") for n in (80, 120, 200) for x in (letters(n) for _ in range(30))]
+    pairs += [(c * 10, c * 14) for c in "-=*_#~+.oX"]
+    docs = [(2 * i + k, x) for i, p in enumerate(pairs) for k, x in enumerate(p)]
+    above = [2 * i + 1 for i, (a, b) in enumerate(pairs) if len(shingles(a) & shingles(b)) >= 0.8 * len(shingles(a) | shingles(b))]
+    got = {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert len(above) == len(pairs) and sum(got[d] for d in above) >= 0.97 * len(above) and not any(got[2 * i] for i in range(len(pairs)))
+
+
 def test_many_likes_cost_no_square(spark):
     base = " ".join(f"token{i}" for i in range(60))
     rows = [(i, base.replace("token7 ", f"tok{i} ")) for i in range(300)]
