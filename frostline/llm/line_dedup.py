@@ -2,12 +2,11 @@
 
 1. Every line with a word gets a 128-bit identity (two hashes of the line) and, from one hash of each
    of its different SHINGLE-character shingles, one-permutation MinHash bands: its SKETCH least hashes are the sketch, the first BANDS of them whose low
-   two bits are 0 start a band each, and a band is ROWS neighbours of the sketch. Two lines of similarity s share a band that starts at a
-   common hash with probability s ** ROWS at least. Equal lines become one row by a grouped minimum; no text is shuffled.
+   two bits are 0 start a band each, and a band is ROWS neighbours of the sketch. Where those are fewer, as in short lines, every even hash
+   or every hash is a start. Two lines of similarity s share a band that starts at a common hash with probability s ** ROWS at least. Equal lines become one row by a grouped minimum; no text is shuffled.
 2. Lines that share a band are candidates, verified by the exact Jaccard similarity of their shingle sets. Most bands that are shared
    at all are shared by two lines. In larger ones the lines are first compared with the one that has most copies (an original
-   more often than not); then only pairs of one band that are still in different components are left, and all of them whose sketches agree
-   enough for the similarity are verified. So a group of many like lines costs a star and not its pairs.
+   more often than not); then only pairs of one band that are still in different components are left, and all of them are compared exactly. So a group of many like lines costs a star and not its pairs.
 3. Components (distributed union-find) and equal lines keep the line that comes first by (document, line number); documents are put
    together again without the others.
 """
@@ -26,10 +25,6 @@ BANDS = 10
 ROWS = 4
 SKETCH = 56
 SIMILARITY = 0.8
-#: Before a pair of a large band is verified, its similarity is estimated from the PAIR_SKETCH least hashes of both lines together (exact for shorter
-#: lines); under PAIR_ESTIMATE it is left out, which one in a hundred pairs at the very threshold are.
-PAIR_SKETCH = 128
-PAIR_ESTIMATE = 0.72
 #: Bits of the filter that picks candidates' texts: 1 MB whatever the corpus; more candidates let more other texts through.
 FILTER_BITS = 23
 _WORD = r"[^\x20\x09-\x0D]"
@@ -48,15 +43,35 @@ def shingle_hashes(line: Column, size: int = SHINGLE) -> Column:
     return F.sort_array(once(F.encode(line, "UTF-16BE"), hashes))
 
 
+def _runs(h: Column, starts: Column) -> Column:
+    """The hashes of ROWS neighbours from each start on; a sketch that is a whole set is a ring."""
+    ring = F.when(F.size(h) < SKETCH, F.concat(h, F.slice(h, 1, ROWS - 1))).otherwise(h)
+    return once(ring, lambda r: F.transform(starts, lambda i: F.xxhash64(F.slice(r, i, ROWS))))
+
+
+def _starts(h: Column, mask: int) -> Column:
+    return F.filter(F.sequence(F.lit(1), F.size(h)), lambda i: F.get(h, i - 1).bitwiseAND(F.lit(mask)) == 0)
+
+
 def bands(hashes: Column) -> Column:
-    """The hashes of at most BANDS runs of ROWS neighbours in the sketch; a sketch without a start is one band."""
+    """The hashes of the first BANDS runs of ROWS neighbours in the sketch; none if the sketch has fewer starts (short_bands)."""
+    many = lambda h: once(_starts(h, 3), lambda s: F.when(F.size(s) >= BANDS, _runs(h, F.slice(s, 1, BANDS))))
+    return once(F.slice(hashes, 1, SKETCH), many)
+
+
+def short_bands(hashes: Column) -> Column:
+    """The bands of a sketch of which bands() makes none: every run that starts at an even hash, or every run if those are fewer than BANDS.
+
+    Bands of fewer starts are among those of more, so any two lines have BANDS starts to meet at, or all. Sets of c common and d other
+    hashes have at most d runs on the ring, one of c / d at least: with every start, all pairs of similarity
+    ROWS / (ROWS + 1) and more meet.
+    """
 
     def keys(h: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(1), F.size(h)), lambda i: F.get(h, i - 1).bitwiseAND(F.lit(3)) == 0)
-        own = F.transform(F.slice(starts, 1, BANDS), lambda i: F.xxhash64(F.slice(h, i, ROWS)))
-        return F.when(F.size(starts) > 0, own).otherwise(F.array(F.xxhash64(h)))
+        every = F.when(F.size(h) < ROWS, F.array(F.xxhash64(h))).otherwise(_runs(h, F.sequence(F.lit(1), F.size(h))))
+        return once(_starts(h, 1), lambda s: F.when(F.size(s) >= BANDS, _runs(h, s)).otherwise(every))
 
-    return once(F.slice(hashes, 1, SKETCH), keys)
+    return once(F.slice(hashes, 1, SKETCH), lambda h: F.when(F.size(_starts(h, 3)) < BANDS, keys(h)))
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -80,7 +95,7 @@ def _place(lines: DataFrame) -> Column:
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
-    """(h1, h2, n, first, b0, b1, ..) of each different line; first is its least place."""
+    """(h1, h2, n, first, b0, b1, ..) of each different line; first is its least place. Lines with few starts have no bands here."""
     hashed = lines.select(*_identity(F.col("line")), _place(lines).alias("at"), F.array_distinct(shingle_hashes(F.col("line"))).alias("hashes"))
     each = hashed.select("h1", "h2", "at", bands(F.col("hashes")).alias("bands"))
     flat = each.select("h1", "h2", "at", *(F.get("bands", F.lit(k)).alias(f"b{k}") for k in range(BANDS)))
@@ -124,7 +139,10 @@ def _ordered(x: str, y: str) -> list[Column]:
 
 def fuzzy_components(lines: DataFrame, distinct: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(h1, component) of the different lines that are like another one; distinct is distinct_lines(lines), cut."""
-    keyed = distinct.select(F.explode(F.array_compact(F.array(*(f"b{k}" for k in range(BANDS))))).alias("band"), "h1", "n")
+    many = distinct.select(F.explode(F.array_compact(F.array(*(f"b{k}" for k in range(BANDS))))).alias("band"), "h1", "n")
+    few = distinct.where("b0 is null").groupBy("h1").agg(F.sum("n").alias("n"))
+    short = _texts(lines, few.select("h1")).select("h1", short_bands(F.array_distinct(shingle_hashes(F.col("line")))).alias("bands"))
+    keyed = many.unionByName(cut(short.join(few, "h1").select(F.explode("bands").alias("band"), "h1", "n")))
     shared = cut(keyed.groupBy("band").agg(F.count("*").alias("c"), F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi"))
     members = cut(keyed.join(shared.where("c > 2").select("band"), "band"))
     twos = shared.where("c = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).distinct()
@@ -140,13 +158,13 @@ def fuzzy_components(lines: DataFrame, distinct: DataFrame, similarity: float =
     labelled = members.join(parts, members.h1 == parts.node, "left").select("band", "h1", F.coalesce("component", "h1").alias("c"))
     mixed = labelled.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band")
     rest = cut(labelled.join(mixed, "band", "left_semi"))
-    sketches = texts.join(rest.select("h1").distinct(), "h1", "left_semi").select("h1", F.slice(F.array_distinct(shingle_hashes(F.col("line"))), 1, PAIR_SKETCH).alias("sketch"))
-    seen = cut(rest.join(sketches, "h1"))
-    left, right = (seen.select("band", F.col("h1").alias(x), F.col("c").alias(f"c{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
-    least = lambda u: F.size(F.array_intersect(F.array_intersect("sa", "sb"), u)) >= PAIR_ESTIMATE * F.size(u)
-    near = once(F.slice(F.sort_array(F.array_union("sa", "sb")), 1, PAIR_SKETCH), least)
-    across = left.join(right, (left.band == right.band) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near).select("a", "b").distinct()
-    more = _verified(across.join(tried, ["a", "b"], "left_anti"), texts, similarity)
+    sets = texts.join(rest.select("h1").distinct(), "h1", "left_semi").select("h1", F.array_distinct(shingle_hashes(F.col("line"))).alias("set"))
+    seen = cut(rest.join(sets, "h1"))
+    left, right = (seen.select("band", F.col("h1").alias(x), F.col("c").alias(f"c{x}"), F.col("set").alias(f"s{x}")) for x in "ab")
+    # sizes alone rule out most pairs; the others are compared here, so that only those that are like become rows
+    sizes = F.least(F.size("sa"), F.size("sb")) >= similarity * F.greatest(F.size("sa"), F.size("sb"))
+    like = once(F.size(F.array_intersect("sa", "sb")), lambda c: c >= similarity * (F.size("sa") + F.size("sb") - c))
+    more = left.join(right, (left.band == right.band) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & sizes & like).select("a", "b").distinct()
     return connected_components(linked.unionByName(more)).withColumnRenamed("node", "h1")
 
 

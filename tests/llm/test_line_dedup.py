@@ -78,6 +78,24 @@ def test_recall_at_the_threshold(spark):
     assert not any(got[d] for d in below) and len(below) > 50 and not any(got[2 * i] for i in range(400))
 
 
+def test_recall_by_line_length(spark):
+    """Short lines whose last character or last word differs: 99 of 100 pairs are found at every length."""
+    rng = random.Random(6)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    docs, above = [], defaultdict(list)
+    for size in (16, 17, 20, 24, 30, 36, 44, 56, 70):
+        for _ in range(200):
+            a = letters(size)
+            b = a[:-1] + "!" if rng.random() < 0.5 or size < 30 else a[:-2] + "!?"
+            i = len(docs)
+            docs += [(i, a), (i + 1, b)]
+            if len(shingles(a) & shingles(b)) >= 0.8 * len(shingles(a) | shingles(b)):
+                above[size].append(i + 1)
+    got = {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    found = {n: sum(got[d] for d in ds) / len(ds) for n, ds in above.items()}
+    assert len(found) == 9 and min(found.values()) >= 0.99, found
+
+
 def test_repeated_shingles(spark):
     """A line and the same twice in one line, and rulers of different length, are pairs like others."""
     rng = random.Random(5)
