@@ -3,8 +3,8 @@
 A page is a sequence of tokens: its tags (name, class, id and role) and its texts. Over the pages of one host every tag
 has an occurrence vector, its count in each page; Spark sums count x hash(page) into a signature, so tags
 with equal vectors meet in one group without any vector being built, and a host with a third of all pages
-combines map-side. The class that occurs exactly once in every page is the skeleton; its order over all
-pages follows from summed places. Other classes are nested into the skeleton's slot that holds them. A slot is
+combines map-side. The tags that occur exactly once in a SHARE of the pages that have any tag are the skeleton, so that an empty, cut or
+odd page takes nothing from its host; their order is read off one page that has them all. Other classes are nested into the skeleton's slot that holds them. A slot is
 content by what encloses it in the template: within an article or main element if the host has one, and in no menu,
 header, footer, sidebar, notice, advert, form or comment part. Pages are then read along their host's
 skeleton and the texts of content slots are kept; inside a slot, marked-up parts of those kinds are skipped.
@@ -46,6 +46,11 @@ PART_NAMES = frozenset(
 )
 
 
+#: The share of a host's pages with tags in which a tag occurs once to be in the skeleton; pages tried for the skeleton's order.
+SHARE = 0.7
+ORDERS = 8
+
+
 def tokens(page: str | None) -> Iterator[tuple[str, str]]:
     """('tag', 'name class=.. id=..'), ('tag', '/' and what it closes) or ('text', decoded text), in page order.
 
@@ -101,7 +106,7 @@ def is_dropped(tag: str) -> bool:
 
 
 def _tag_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, page, tag, n, first, last) of each page's tags; tag '' stands for the page."""
+    """(host, page, tag, n, first, last) of each page's tags; tag '' stands for a page that has tags."""
     for b in batches:
         out: list[tuple] = []
         for i, page in enumerate(b.column(2)):
@@ -111,7 +116,8 @@ def _tag_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     s = seen.setdefault(x, [0, at, at])
                     s[0] += 1
                     s[2] = at
-            out += [(i, t, *s) for t, s in seen.items()]
+            if len(seen) > 1:
+                out += [(i, t, *s) for t, s in seen.items()]
         row, tag, n, first, last = zip(*out) if out else ((), (), (), (), ())
         pick = pa.array(row, pa.int64())
         yield pa.RecordBatch.from_arrays(
@@ -120,35 +126,52 @@ def _tag_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _seen_at(order: int):
+    """The place in the page where the tag is, if it is there once, under a number by which the page is drawn."""
+    page = F.xxhash64("page", F.lit(order)).bitwiseAND(F.lit(~0xFFFFFF))
+    return F.when(F.col("n") == 1, page.bitwiseOR(F.least("first", F.lit(0xFFFFFF))))
+
+
 def equivalence_classes(pages: DataFrame) -> DataFrame:
-    """(host, n_pages, tag, in_pages, total, signature, first, last) from (host, page, html); tags of one host with the same in_pages, total and
-    signature have the same occurrence vector. first and last sum the tag's places."""
+    """(host, n_pages, tag, in_pages, once, total, signature, first, last, at0, ..) from (host, page, html); tags of one host with the same in_pages,
+    total and signature have the same occurrence vector. n_pages are those that have tags; first and last sum the tag's places; once counts the
+    pages that have the tag once, of which at0.. draw ORDERS and tell the tag's place."""
     counts = pages.select("host", "page", "html").mapInArrow(_tag_counts, "host string, page long, tag string, n long, first long, last long")
     # sums wrap on purpose: a signature is a number modulo 2^64
     part = F.shiftright(F.xxhash64("page"), 16) * F.col("n")
     tags = counts.groupBy("host", "tag").agg(
-        F.count("*").alias("in_pages"), F.sum("n").alias("total"),
+        F.count("*").alias("in_pages"), F.count_if(F.col("n") == 1).alias("once"), F.sum("n").alias("total"),
         F.sum(part.cast("decimal(38,0)")).alias("signature"), F.sum("first").alias("first"), F.sum("last").alias("last"),
+        *(F.min(_seen_at(k)).alias(f"at{k}") for k in range(ORDERS)),
     )
     tags = cut(tags)
     hosts = tags.where("tag = ''").select("host", F.col("total").alias("n_pages"))
     return tags.where("tag <> ''").join(hosts, "host")
 
 
+def _skeletons(classes: DataFrame) -> DataFrame:
+    """(host, n_pages, root): the skeleton's (place, first, tag) in page order, by that of the drawn pages that has most of its tags."""
+    often = classes.where(F.col("once") >= SHARE * F.col("n_pages"))
+    drawn = often.select("host", "n_pages", "tag", (F.col("first") / F.col("in_pages")).alias("first"), F.posexplode(F.array(*(f"at{k}" for k in range(ORDERS)))).alias("k", "at"))
+    page = F.shiftright("at", 24)
+    roots = drawn.groupBy("host", "n_pages", "k", page.alias("drawn")).agg(
+        F.count("*").alias("c"), F.sort_array(F.collect_list(F.struct(F.col("at").bitwiseAND(F.lit(0xFFFFFF)).alias("place"), "first", "tag"))).alias("root")
+    )
+    return roots.groupBy("host", "n_pages").agg(F.max_by("root", F.struct("c", "k", "drawn")).alias("root"))
+
+
 def templates(classes: DataFrame) -> DataFrame:
     """One row per host: host, n_pages, skeleton (its tags in page order), nested (array of slot and tags for the other classes
     of which every tag lies in one slot on average)."""
-    skeleton = F.expr("total = n_pages and in_pages = n_pages")
+    skeleton = F.col("once") >= SHARE * F.col("n_pages")
     ordered = lambda c: F.transform(F.sort_array(F.collect_list(c)), lambda x: x["tag"])
-    roots = classes.where(skeleton).groupBy("host", "n_pages").agg(
-        F.sort_array(F.collect_list(F.struct("first", "tag"))).alias("root")
-    )
+    roots = _skeletons(classes)
     others = (
         classes.where(~skeleton)
         .groupBy("host", "in_pages", "total", "signature")
         .agg(ordered(F.struct("first", "tag")).alias("tags"), F.min(F.col("first") / F.col("in_pages")).alias("lo"), F.max(F.col("last") / F.col("in_pages")).alias("hi"))
     )
-    slot = lambda x: F.size(F.filter("root", lambda r: r["first"] / F.col("n_pages") < x))
+    slot = lambda x: F.size(F.filter("root", lambda r: r["first"] < x))
     nested = (
         others.join(roots, "host")
         .withColumn("slot", slot(F.col("lo")))
@@ -215,8 +238,13 @@ class Template:
 
     def extract(self, page: str | None) -> str:
         toks = list(tokens(page))
-        marks = self.in_order([(i, x) for i, (kind, x) in enumerate(toks) if kind == "tag"])
-        # a page that lacks the host's main element, or of a host that has none in all pages, is read like a page of its own
+        once: dict[str, int] = {}
+        for kind, x in toks:
+            if kind == "tag":
+                once[x] = once.get(x, 0) + 1
+        # a tag that this page repeats is read within its slot
+        marks = self.in_order([(i, x) for i, (kind, x) in enumerate(toks) if kind == "tag" and once[x] == 1])
+        # a page that lacks the host's main element, or of a host that has none in its skeleton, is read like a page of its own
         if not any(self.content[s] for s in marks.values()) or not self.has_main:
             return Template.own(toks).extract_tokens(toks)
         return self.extract_tokens(toks, marks)
@@ -268,7 +296,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     url = F.col(url_col).cast("string")
     rows = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), host_and_path(url)[0].alias("host"), F.col(html_col).cast("string").alias("html"))
     keyed = rows.select("host", F.xxhash64("page_id", "url", "html").alias("page"), "html")
-    found = templates(equivalence_classes(keyed)).select("host", "skeleton")
+    # an exchange of its own lets AQE measure the skeletons and broadcast them, so that a large host's pages are not one task
+    found = templates(equivalence_classes(keyed)).select("host", "skeleton").repartition("host")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple[str, ...], Template] = {}

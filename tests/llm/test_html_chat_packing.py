@@ -42,6 +42,18 @@ def test_templates_leave_out_the_rest(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+def test_odd_pages_leave_their_host_its_template(spark):
+    """Null, empty and cut pages and one of another layout take no tag from the skeleton of a large host."""
+    whole = [PAGE.format(i=i, menu=f"<li>{i}</li>" * (i % 7)) for i in range(40)]
+    odd = [None, "", "  ", whole[0].split("<h2>")[0], "<html><body><h1>Error 500</h1><p>Sorry</p></body></html>"]
+    df = spark.createDataFrame([(k, "h", x) for k, x in enumerate(whole + odd)], "page long, host string, html string")
+    alone = html_extract.templates(html_extract.equivalence_classes(df.where("page < 40"))).first()
+    mixed = html_extract.templates(html_extract.equivalence_classes(df)).first()
+    assert mixed is not None and mixed.n_pages == 42 and list(mixed.skeleton) == list(alone.skeleton) and "article class=post" in mixed.skeleton
+    page = lambda i: html_extract.Template(list(mixed.skeleton)).extract(whole[i])
+    assert all(page(i) == f"Head {i} First para & more text{i}. Second line point" for i in range(40))
+
+
 def test_classes_are_occurrence_vectors(spark):
     pages = [(k, "h", "<a><b></b></a>" + "<i></i>" * k + ("<u>" if k % 2 else "")) for k in range(1, 6)]
     df = spark.createDataFrame(pages, "page long, host string, html string")
