@@ -9,8 +9,9 @@ log weight of the lower order. Scoring looks characters up in these arrays by bi
 for each distinct word of a block of texts.
 
 The language is the one of least cross-entropy per character. A text whose best cross-entropy is beyond what is
-usual for training texts of that language (mean + REJECT_SIGMAS standard deviations, calibrated on a
-bounded sample of CALIBRATION_ROWS training texts) is marked as not accepted.
+usual for training texts of that language (mean + REJECT_SIGMAS standard deviations over all of them) is marked as not accepted.
+
+The tables hold every sequence of the training texts: what the driver gathers and tasks are sent grows with the different sequences.
 """
 
 from __future__ import annotations
@@ -25,13 +26,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frostline.llm.lineage import cut, extended
+from frostline.llm.lineage import extended
 
 ORDER = 5
 DISCOUNT = 0.75
-#: The model's size: the most frequent sequences stay if there are more (ties by text).
-MAX_SEQUENCES = 1_500_000
-CALIBRATION_ROWS = 2000
 REJECT_SIGMAS = 4.0
 SHARPNESS = 6.0
 UNDETERMINED = "und"
@@ -251,12 +249,11 @@ def fit(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: st
         F.col("lang").isNotNull() & may_learn
     )
     counts = sequence_counts(rows, "text", "lang")
-    kept = counts.orderBy(F.desc("n"), "lang", "seq").limit(MAX_SEQUENCES).toArrow()
-    models = estimate(sorted(zip(*(kept.column(c).to_pylist() for c in ("lang", "seq", "n")))))
+    every = counts.toArrow()
+    models = estimate(sorted(zip(*(every.column(c).to_pylist() for c in ("lang", "seq", "n")))))
     if models.langs:
-        some = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS)
-        sample = cut(predict(rows.join(some.distinct(), "doc_id", "left_semi").withColumn("l", F.col("lang").cast("string")), models, keep=("l",)))
-        stats = sample.where("lang_pred = l").groupBy("lang_pred").agg(F.avg("cross_entropy").alias("m"), F.stddev_pop("cross_entropy").alias("s"))
+        scored = predict(rows.withColumn("l", F.col("lang").cast("string")), models, keep=("l",))
+        stats = scored.where("lang_pred = l").groupBy("lang_pred").agg(F.avg("cross_entropy").alias("m"), F.stddev_pop("cross_entropy").alias("s"))
         models.limits = {r.lang_pred: r.m + REJECT_SIGMAS * max(r.s, 0.02) for r in stats.collect()}
     return models
 

@@ -156,3 +156,21 @@ def test_languages_on_held_out_rows(spark, text_rows):
     assert by[5].lang_pred == "xx" and langid.predict(text_rows.limit(0), learned).count() == 0
     nothing = langid.fit(text_rows.withColumn("lang", F.lit(None).cast("string")), F.lit(True))
     assert {r.lang_pred for r in langid.predict(text_rows, nothing).collect()} == {"und"}
+
+
+def test_language_models_cover_every_row(spark, monkeypatch):
+    """No sequence and no training text is left out, whatever number there are (the names are those of former caps)."""
+    monkeypatch.setattr(langid, "MAX_SEQUENCES", 50, raising=False)
+    monkeypatch.setattr(langid, "CALIBRATION_ROWS", 3, raising=False)
+    texts = [(i, "the cat and the dog %s" % chr(97 + i % 26) * (1 + i % 5), "en") for i in range(60)] + [(60 + i, "der hund xyz" + "qrstuvwxyz"[i] * 3, "de") for i in range(6)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    m = langid.fit(docs, F.lit(True))
+    seen = {s for _, t, _ in texts for w in langid.words_of(t) for s in langid.sequences(w)}
+    seen |= {s[i:] for s in seen for i in range(1, len(s))}
+    assert sum(len(h) for h, _ in m.seq) == len(seen)
+    want = {}
+    for r in langid.predict(docs, m).join(docs.select("doc_id", "lang"), "doc_id").where("lang = lang_pred").collect():
+        want.setdefault(r.lang, []).append(r.cross_entropy)
+    assert m.limits.keys() == want.keys()
+    for g, x in want.items():
+        assert m.limits[g] == pytest.approx(np.mean(x) + langid.REJECT_SIGMAS * max(np.std(x), 0.02))
