@@ -297,7 +297,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), host_and_path(url)[0].alias("host"), F.col(html_col).cast("string").alias("html"))
     keyed = rows.select("host", F.xxhash64("page_id", "url", "html").alias("page"), "html")
     # an exchange of its own lets AQE measure the skeletons and broadcast them, so that a large host's pages are not one task
-    found = templates(equivalence_classes(keyed)).select("host", "skeleton").repartition("host")
+    found = templates(equivalence_classes(keyed)).select("host", "skeleton").repartition(F.xxhash64("host"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple[str, ...], Template] = {}
