@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frostline.llm.lineage import cut, own_prefix
+from frostline.llm.lineage import cut
 
 WINDOW = 8
 #: Hosts of some 100 bytes each: ten megabytes at most.
@@ -20,6 +20,11 @@ _SPACE = r"[\x20\x09-\x0D]+"
 _WORD = r"[^\x20\x09-\x0D]"
 
 
+def once(x: Column, f) -> Column:
+    """f(x), with x evaluated once wherever the optimizer moves the expression."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def repeated_words(hashes: Column) -> Column:
     """Words under windows whose hash occurs twice or more: the union of [p, p + WINDOW) over their places p."""
 
@@ -33,59 +38,46 @@ def repeated_words(hashes: Column) -> Column:
         return F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x)
 
     pairs = F.sort_array(F.transform(hashes, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
-    once = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))  # noqa: E731  evaluates x once
     return once(once(pairs, places), covered)
 
 
-def with_statistics(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words (long), each after prefix."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    p = lambda x: f"{prefix}{x}"
-    words, lines, hashes = f"{prefix}_words_", f"{prefix}_lines_", f"{prefix}_hashes_"
+def statistics(text: Column) -> Column:
+    """A struct of n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words (long) of a text.
+
+    Words, lines and window hashes are bound to lambda variables, so a filter over the struct that the optimizer pushes into the scan
+    still splits each text once, and the work stays in proportion to the text.
+    """
     long = lambda x: x.cast("long")
-    return (
-        docs.withColumns(
-            {
-                words: F.array_remove(F.split(text, _SPACE), ""),
-                lines: F.filter(F.split(text, "\n"), lambda x: x.rlike(_WORD)),
-                p("n_symbols"): long(F.regexp_count(text, F.lit(r"[#*$%&|<>]"))),
-            }
-        )
-        .withColumns(
-            {
-                p("n_words"): long(F.size(words)),
-                p("word_chars"): long(F.length(F.array_join(words, ""))),
-                p("n_lines"): long(F.size(lines)),
-                p("n_dup_lines"): long(F.size(lines) - F.size(F.array_distinct(lines))),
-                hashes: F.when(
-                    F.size(words) >= WINDOW,
-                    F.transform(
-                        F.sequence(F.lit(1), F.greatest(F.size(words) - (WINDOW - 1), F.lit(1))),
-                        lambda i: F.xxhash64(F.slice(words, i, WINDOW)),
-                    ),
-                ).otherwise(F.array().cast("array<bigint>")),
-            }
-        )
-        .withColumn(
-            p("n_repeat_words"),
-            F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), repeated_words(F.col(hashes))).otherwise(F.lit(0).cast("long")),
-        )
-        .drop(words, lines, hashes)
+
+    def repeats(w: Column) -> Column:
+        hashes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (WINDOW - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, WINDOW)))
+        counted = lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), repeated_words(h)).otherwise(long(F.lit(0)))
+        return F.when(F.size(w) >= WINDOW, once(hashes, counted)).otherwise(long(F.lit(0)))
+
+    of_words = lambda w: F.struct(
+        long(F.size(w)).alias("n_words"), long(F.length(F.array_join(w, ""))).alias("word_chars"), repeats(w).alias("n_repeat_words")
     )
+    of_lines = lambda x: F.struct(long(F.size(x)).alias("n_lines"), long(F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines"))
+
+    def all_of(t: Column) -> Column:
+        words = once(F.array_remove(F.split(t, _SPACE), ""), of_words)
+        lines = once(F.filter(F.split(t, "\n"), lambda x: x.rlike(_WORD)), of_lines)
+        whole = F.struct(words.alias("w"), lines.alias("l"), long(F.regexp_count(t, F.lit(r"[#*$%&|<>]"))).alias("n_symbols"))
+        return once(whole, lambda s: F.struct(*(s["w"][c].alias(c) for c in ("n_words", "word_chars", "n_repeat_words")), s["n_symbols"].alias("n_symbols"), *(s["l"][c].alias(c) for c in ("n_lines", "n_dup_lines"))))
+
+    return once(F.coalesce(text.cast("string"), F.lit("")), all_of)
 
 
-def base_failed(prefix: str = "") -> Column:
-    """Fewer than 20 words, or over 30 % of the words in repeated windows."""
-    n, r = F.col(f"{prefix}n_words"), F.col(f"{prefix}n_repeat_words")
-    return (n < 20) | (100 * r > 30 * n)
+def base_failed(s: Column) -> Column:
+    """Fewer than 20 words, or over 30 % of the words in repeated windows; s: a struct of statistics."""
+    return (s["n_words"] < 20) | (100 * s["n_repeat_words"] > 30 * s["n_words"])
 
 
-def rule_failed(prefix: str = "") -> Column:
+def rule_failed(s: Column) -> Column:
     """What counts against a host: the base rules, over one symbol in ten words, over 30 % repeated lines, or words
     of odd mean length (under 2 or over 14 characters)."""
-    c = lambda x: F.col(f"{prefix}{x}")
-    odd = (c("word_chars") < 2 * c("n_words")) | (c("word_chars") > 14 * c("n_words"))
-    return base_failed(prefix) | (10 * c("n_symbols") > c("n_words")) | (100 * c("n_dup_lines") > 30 * c("n_lines")) | odd
+    odd = (s["word_chars"] < 2 * s["n_words"]) | (s["word_chars"] > 14 * s["n_words"])
+    return base_failed(s) | (10 * s["n_symbols"] > s["n_words"]) | (100 * s["n_dup_lines"] > 30 * s["n_lines"]) | odd
 
 
 def host_verdicts(flags: DataFrame, host_col: str = "host", failed_col: str = "failed", max_rate: float = 0.5) -> DataFrame:
@@ -119,9 +111,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     fail; a null host is not judged; null ids and repeated rows stay, each judged on its own; no rows give no rows;
     other columns are not read.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text"))
-    stats = cut(with_statistics(rows).drop("text").withColumn("base_failed", base_failed()))
-    bad = host_verdicts(stats.select("host", rule_failed().alias("failed")), max_rate=max_rate).where("host_failed")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), statistics(F.col(text_col)).alias("s"))
+    stats = cut(rows.select("doc_id", "host", "s.*", base_failed(F.col("s")).alias("base_failed"), rule_failed(F.col("s")).alias("failed")))
+    bad = host_verdicts(stats.select("host", "failed"), max_rate=max_rate).where("host_failed")
     return stats.join(bad.select("host", "host_failed"), "host", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & F.col("host_failed").isNull()).alias("kept"),
@@ -133,12 +125,13 @@ def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source",
 
     The hosts' verdicts need a first pass, which keeps only flags; the second filters the documents as they are read, so no text is shuffled
     or written in between. Rejected hosts are broadcast after they were counted, and joined otherwise if they are over MAX_BROADCAST_HOSTS.
+    Null and empty texts go, a null host is not judged, repeated rows and null ids stay or go each on its own text, a very long text costs in
+    proportion to its length, no rows give no rows, and columns of any other name pass through.
     """
-    p = own_prefix(docs)
-    flagged = with_statistics(docs, text_col, p)
-    flags = flagged.select(F.col(host_col).cast("string").alias("host"), rule_failed(p).alias("failed"))
+    text = F.col(text_col)
+    flags = docs.select(F.col(host_col).cast("string").alias("host"), once(statistics(text), rule_failed).alias("failed"))
     bad = cut(host_verdicts(flags, max_rate=max_rate).where("host_failed").select("host"))
-    good = flagged.where(~base_failed(p)).select(*docs.columns)
+    good = docs.where(~once(statistics(text), base_failed))
     n = bad.count()
     if not n:
         return good
