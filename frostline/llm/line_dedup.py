@@ -1,30 +1,40 @@
 """Fuzzy line deduplication by MinHash, in Spark expressions only.
 
-1. Every line with a word gets a 128-bit identity (two hashes of the line) and, from one hash of each
-   of its different SHINGLE-character shingles, one-permutation MinHash bands: its SKETCH least hashes are the sketch, the first BANDS of them whose low
-   two bits are 0 start a band each, and a band is ROWS neighbours of the sketch. Where those are fewer, as in short lines, every even hash
-   or every hash is a start. Two lines of similarity s share a band that starts at a common hash with probability s ** ROWS at least. Equal lines become one row by a grouped minimum; no text is shuffled.
-2. Lines that share a band are candidates, verified by the exact Jaccard similarity of their shingle sets. Most bands that are shared
-   at all are shared by two lines. In larger ones the lines are first compared with the one that has most copies (an original
-   more often than not); then only pairs of one band that are still in different components are left, and all of them are compared exactly. So a group of many like lines costs a star and not its pairs.
+1. Every line with a word gets a 128-bit identity (two hashes of the line) and MinHash bands of its SHINGLE-character shingles. A line of
+   at least ANCHORED different anchors (places after white space, and every place in scripts beyond Latin) is sketched by the different shingles that begin at its
+   anchors, a line of fewer by all its shingles, and one near that border by both, so that likes on its two sides meet. The sketch is the SKETCH least
+   hashes; the first BANDS of them whose low two bits are 0 start a band each, and a band is ROWS neighbours of the sketch. Where those
+   are fewer, the first even hashes are starts, or every hash. Two lines of similarity s share a band that starts at a common hash with probability s ** ROWS at least.
+   Identities and bands are written once; no text is shuffled.
+2. Lines that share a band are candidates, verified by the exact Jaccard similarity of all their shingles. In each band the lines are first compared with the one
+   that has most copies (an original more often than not); then only pairs of one band that are still in different components are left. Each of these lines has a parity
+   bitmap of its shingles: the bits in which two bitmaps differ are at most as many as the shingles that only one line has, so a pair whose bitmaps differ in more
+   bits than the similarity allows is unlike for certain, and all other pairs are compared exactly. So a group of many like lines costs a star and not its pairs.
 3. Components (distributed union-find) and equal lines keep the line that comes first by (document, line number); documents are put
    together again without the others.
 """
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from frostline.llm.components import connected_components
-from frostline.llm.lineage import cut, own_prefix
+from frostline.llm.lineage import cut, own_prefix, written
 
 SHINGLE = 8
-BANDS = 10
+BANDS = 9
+EVEN_BANDS = 12
 ROWS = 4
 SKETCH = 56
 SIMILARITY = 0.8
+#: Different shingles at anchors from which on a line is sketched by its anchors, and up to which it is sketched by all shingles.
+ANCHORED, DENSE = 14, 24
+#: 64-bit words of a parity bitmap.
+PARITY = 8
 #: Bits of the filter that picks candidates' texts: 1 MB whatever the corpus; more candidates let more other texts through.
 FILTER_BITS = 23
 _WORD = r"[^\x20\x09-\x0D]"
@@ -36,42 +46,59 @@ def once(x: Column, f) -> Column:
 
 
 def shingle_hashes(line: Column, size: int = SHINGLE) -> Column:
-    """Hashes of all size-character shingles (UTF-16 units), sorted, repeats included; a shorter line is one shingle."""
+    """Hashes of all size-character shingles (UTF-16 units), in order; a shorter line is one shingle."""
     hashes = lambda p: F.transform(  # noqa: E731  two bytes a character: a shingle is a slice
         F.sequence(F.lit(1), F.greatest(F.octet_length(p) - (2 * size - 1), F.lit(1)), F.lit(2)), lambda i: F.xxhash64(F.substring(p, i, 2 * size))
     )
-    return F.sort_array(once(F.encode(line, "UTF-16BE"), hashes))
+    return once(F.encode(line, "UTF-16BE"), hashes)
 
 
-def _runs(h: Column, starts: Column) -> Column:
-    """The hashes of ROWS neighbours from each start on; a sketch that is a whole set is a ring."""
-    ring = F.when(F.size(h) < SKETCH, F.concat(h, F.slice(h, 1, ROWS - 1))).otherwise(h)
-    return once(ring, lambda r: F.transform(starts, lambda i: F.xxhash64(F.slice(r, i, ROWS))))
+def shingle_set(line: Column) -> Column:
+    return F.array_distinct(shingle_hashes(line))
+
+
+def anchored(line: Column, size: int = SHINGLE) -> Column:
+    """The size-character shingles that begin after white space or after a character beyond Latin, in order, in one pass over the line."""
+    after = rf"(?s)[!-\x{{24F}}]*+(?:[\x00-\x20]|[^\x00-\x{{24F}}]|\z)(?:(?=(.{{{size}}})))?"
+    return F.array_remove(F.regexp_extract_all(line, F.lit(after), F.lit(1)), "")
 
 
-def _starts(h: Column, mask: int) -> Column:
-    return F.filter(F.sequence(F.lit(1), F.size(h)), lambda i: F.get(h, i - 1).bitwiseAND(F.lit(mask)) == 0)
+def sketch(hashes: Column) -> Column:
+    """The SKETCH least different hashes, in order; repeats are looked for beyond the first ones only where these are too many."""
 
+    def least(h: Column) -> Column:
+        return once(F.array_distinct(F.slice(h, 1, 2 * SKETCH)), lambda d: F.when((F.size(d) < SKETCH) & (F.size(h) > 2 * SKETCH), F.array_distinct(h)).otherwise(d))
 
-def bands(hashes: Column) -> Column:
-    """The hashes of the first BANDS runs of ROWS neighbours in the sketch; none if the sketch has fewer starts (short_bands)."""
-    many = lambda h: once(_starts(h, 3), lambda s: F.when(F.size(s) >= BANDS, _runs(h, F.slice(s, 1, BANDS))))
-    return once(F.slice(hashes, 1, SKETCH), many)
+    return F.slice(once(F.sort_array(hashes), least), 1, SKETCH)
+
+
+def _runs(h: Column, starts: Column) -> Column:
+    """The hashes of ROWS neighbours from each start on; a sketch that is a whole set is a ring."""
+    ring = F.when(F.size(h) < SKETCH, F.concat(h, F.slice(h, 1, ROWS - 1))).otherwise(h)
+    return once(ring, lambda r: F.transform(starts, lambda i: F.xxhash64(F.slice(r, i, ROWS))))
 
 
-def short_bands(hashes: Column) -> Column:
-    """The bands of a sketch of which bands() makes none: every run that starts at an even hash, or every run if those are fewer than BANDS.
+def bands(least: Column) -> Column:
+    """The bands of a sketch.
 
-    Bands of fewer starts are among those of more, so any two lines have BANDS starts to meet at, or all. Sets of c common and d other
-    hashes have at most d runs on the ring, one of c / d at least: with every start, all pairs of similarity
-    ROWS / (ROWS + 1) and more meet.
+    Sets of c common and d other hashes have at most d runs on the ring, one of c / d at least: with every start, all
+    pairs of similarity ROWS / (ROWS + 1) and more meet.
     """
+    starts = lambda h, mask: F.filter(F.sequence(F.lit(1), F.size(h)), lambda i: F.get(h, i - 1).bitwiseAND(F.lit(mask)) == 0)
 
-    def keys(h: Column) -> Column:
+    def fewer(h: Column) -> Column:
         every = F.when(F.size(h) < ROWS, F.array(F.xxhash64(h))).otherwise(_runs(h, F.sequence(F.lit(1), F.size(h))))
-        return once(_starts(h, 1), lambda s: F.when(F.size(s) >= BANDS, _runs(h, s)).otherwise(every))
+        return once(starts(h, 1), lambda s: F.when(F.size(s) >= EVEN_BANDS, _runs(h, F.slice(s, 1, EVEN_BANDS))).otherwise(every))
 
-    return once(F.slice(hashes, 1, SKETCH), lambda h: F.when(F.size(_starts(h, 3)) < BANDS, keys(h)))
+    many = lambda h: once(starts(h, 3), lambda s: F.when(F.size(s) >= BANDS, _runs(h, F.slice(s, 1, BANDS))).otherwise(fewer(h)))
+    return once(least, many)
+
+
+def line_bands(line: Column) -> Column:
+    none = F.array().cast("array<bigint>")
+    by_anchor = lambda k: F.when(F.size(k) >= ANCHORED, bands(k)).otherwise(none)
+    by_all = lambda k: F.when(F.size(k) < DENSE, bands(sketch(shingle_hashes(line)))).otherwise(none)
+    return once(sketch(F.transform(anchored(line), lambda x: F.xxhash64(x))), lambda k: F.concat(by_anchor(k), by_all(k)))
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -82,8 +109,11 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return exploded.where(F.col("line").rlike(_WORD))
 
 
-def _identity(line: Column) -> list[Column]:
-    return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("second"), line).alias("h2")]
+def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, doc_key, line_no, h1, h2, bands) of every line that has a word."""
+    line = F.col("line")
+    ids = F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("second"), line).alias("h2")
+    return lines_of(docs, id_col, text_col).select("doc_id", "doc_key", "line_no", *ids, line_bands(line).alias("bands"))
 
 
 def _place(lines: DataFrame) -> Column:
@@ -94,17 +124,9 @@ def _place(lines: DataFrame) -> Column:
     return F.struct("doc_id", "line_no")
 
 
-def distinct_lines(lines: DataFrame) -> DataFrame:
-    """(h1, h2, n, first, b0, b1, ..) of each different line; first is its least place. Lines with few starts have no bands here."""
-    hashed = lines.select(*_identity(F.col("line")), _place(lines).alias("at"), F.array_distinct(shingle_hashes(F.col("line"))).alias("hashes"))
-    each = hashed.select("h1", "h2", "at", bands(F.col("hashes")).alias("bands"))
-    flat = each.select("h1", "h2", "at", *(F.get("bands", F.lit(k)).alias(f"b{k}") for k in range(BANDS)))
-    return flat.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("at").alias("first"), *(F.first(f"b{k}").alias(f"b{k}") for k in range(BANDS)))
-
-
 def _bitmap(ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     """One row and column: an array of 2**(bits - 6) longs in which bit s is set if the top bits of an id are s."""
-    slot = F.shiftrightunsigned("h1", 64 - bits)
+    slot = F.shiftrightunsigned(F.col(ids.columns[0]), 64 - bits)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
     words = ids.select(F.shiftright(slot, 6).alias("id"), bit.alias("bit")).groupBy("id").agg(F.bit_or("bit").alias("set"))
     every = ids.sparkSession.range(1 << (bits - 6)).join(words, "id", "left").select(F.struct("id", F.coalesce("set", F.lit(0)).alias("set")).alias("w"))
@@ -112,117 +134,136 @@ def _bitmap(ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
 
 
 def _may_be_in(h: Column, wanted: DataFrame) -> Column:
-    """False only for hashes that wanted (h1) does not have: a bitmap of fixed size keeps most other rows out of a shuffle."""
+    """False only for hashes that wanted, of one column, does not have: a bitmap of fixed size keeps most other rows out of a shuffle."""
     slot = F.shiftrightunsigned(h, 64 - FILTER_BITS)
     word = F.get(cut(_bitmap(wanted)).scalar(), F.shiftright(slot, 6).cast("int"))
     return F.call_function("shiftrightunsigned", word, slot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
-def _texts(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h1, line) of the wanted ids."""
-    own = lines.select(F.xxhash64("line").alias("h1"), "line")
-    return own.where(_may_be_in(F.col("h1"), wanted)).join(wanted, "h1", "left_semi").groupBy("h1").agg(F.first("line").alias("line"))
+def _texts(docs: DataFrame, id_col: str, text_col: str, lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(h1, line) of the wanted h1, read from as few documents as one place of each needs."""
+    among = _may_be_in(F.col("h1"), wanted)
+    spots = lines.where(among).join(wanted, "h1", "left_semi").groupBy("h1").agg(F.min("doc_key").alias("doc_key"))
+    key = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    own = lines_of(docs.where(_may_be_in(key, spots.select("doc_key"))), id_col, text_col).select(F.xxhash64("line").alias("h1"), "line")
+    return own.where(among).join(wanted, "h1", "left_semi").groupBy("h1").agg(F.first("line").alias("line"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) whose lines' shingle sets have that Jaccard similarity."""
     a, b = (texts.select(F.col("h1").alias(x), F.col("line").alias(f"line_{x}")) for x in "ab")
     both = pairs.join(a, "a").join(b, "b")
-    sets = F.struct(F.array_distinct(shingle_hashes(F.col("line_a"))).alias("x"), F.array_distinct(shingle_hashes(F.col("line_b"))).alias("y"))
-    like = lambda p: once(F.size(F.array_intersect(p["x"], p["y"])), lambda c: c >= similarity * (F.size(p["x"]) + F.size(p["y"]) - c))
+    sets = F.struct(shingle_set(F.col("line_a")).alias("x"), shingle_set(F.col("line_b")).alias("y"))
+    share = Fraction(similarity).limit_denominator(1000)
+    # c / (x + y - c) >= share, in whole numbers
+    like = lambda p: F.size(F.array_intersect(p["x"], p["y"])) * (share.numerator + share.denominator) >= (F.size(p["x"]) + F.size(p["y"])) * share.numerator
     return both.where(once(sets, like)).select("a", "b")
 
 
+def parities(texts: DataFrame) -> DataFrame:
+    """(h1, n, x0, x1, ..): number of different shingles, and a bitmap in which each shingle flips one bit."""
+    each = texts.select("h1", F.explode(shingle_set(F.col("line"))).alias("h"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
+    word = F.pmod(F.shiftright("h", 6), F.lit(PARITY))
+    flips = (F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"x{k}") for k in range(PARITY))
+    return each.groupBy("h1").agg(F.count("*").alias("n"), *flips)
+
+
 def _ordered(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def fuzzy_components(lines: DataFrame, distinct: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(h1, component) of the different lines that are like another one; distinct is distinct_lines(lines), cut."""
-    many = distinct.select(F.explode(F.array_compact(F.array(*(f"b{k}" for k in range(BANDS))))).alias("band"), "h1", "n")
-    few = distinct.where("b0 is null").groupBy("h1").agg(F.sum("n").alias("n"))
-    short = _texts(lines, few.select("h1")).select("h1", short_bands(F.array_distinct(shingle_hashes(F.col("line")))).alias("bands"))
-    keyed = many.unionByName(cut(short.join(few, "h1").select(F.explode("bands").alias("band"), "h1", "n")))
-    shared = cut(keyed.groupBy("band").agg(F.count("*").alias("c"), F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi"))
-    members = cut(keyed.join(shared.where("c > 2").select("band"), "band"))
-    twos = shared.where("c = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).distinct()
-    wanted = twos.select(F.explode(F.array("a", "b")).alias("h1")).unionByName(members.select("h1")).distinct()
-    texts = cut(_texts(lines, wanted))
-
+def _unlinked_pairs(rest: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different components in one band of rest (band, h1, c) that their parity bitmaps do not rule out."""
+    p = cut(rest.join(parities(texts.join(rest.select("h1").distinct(), "h1", "left_semi")), "h1"))
+    words = [f"x{k}" for k in range(PARITY)]
+    left, right = (p.select("band", F.col("h1").alias(x), *(F.col(c).alias(f"{c}{x}") for c in ("c", "n", *words))) for x in "ab")
+    share = Fraction(similarity).limit_denominator(1000)
+    odd = sum((F.bit_count(F.col(f"{w}a").bitwiseXOR(F.col(f"{w}b"))) for w in words), F.lit(0))
+    # similarity s allows sizes of ratio s, and (1 - s) / (1 + s) of both sizes to differ
+    sizes = F.least("na", "nb") * share.denominator >= F.greatest("na", "nb") * share.numerator
+    may = odd * (share.denominator + share.numerator) <= (F.col("na") + F.col("nb")) * (share.denominator - share.numerator)
+    met = (left.band == right.band) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & sizes & may
+    return left.join(right, met).select("a", "b").distinct()
+
+
+def fuzzy_components(docs: DataFrame, id_col: str, text_col: str, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(h1, component) of the different lines that are like another one; lines is sketched(docs), written."""
+    keyed = lines.select(F.explode("bands").alias("band"), "h1")
+    shared = cut(keyed.groupBy("band").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi").select("band"))
+    members = cut(keyed.where(_may_be_in(F.col("band"), shared)).join(shared, "band").groupBy("band", "h1").agg(F.count("*").alias("n")))
+    texts = cut(_texts(docs, id_col, text_col, lines, cut(members.select("h1").distinct())))
     top = members.groupBy("band").agg(F.max("n").alias("n"))
     centre = members.join(top, ["band", "n"]).groupBy("band").agg(F.min("h1").alias("centre"))
-    stars = members.join(centre, "band").where("h1 <> centre").select(*_ordered("h1", "centre"))
-    tried = cut(twos.unionByName(stars).distinct())
+    tried = cut(members.join(centre, "band").where("h1 <> centre").select(*_ordered("h1", "centre")).distinct())
     linked = cut(_verified(tried, texts, similarity))
     parts = connected_components(linked)
-    labelled = members.join(parts, members.h1 == parts.node, "left").select("band", "h1", F.coalesce("component", "h1").alias("c"))
+    labelled = cut(members.join(parts, members.h1 == parts.node, "left").select("band", "h1", F.coalesce("component", "h1").alias("c")))
     mixed = labelled.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band")
     rest = cut(labelled.join(mixed, "band", "left_semi"))
-    sets = texts.join(rest.select("h1").distinct(), "h1", "left_semi").select("h1", F.array_distinct(shingle_hashes(F.col("line"))).alias("set"))
-    seen = cut(rest.join(sets, "h1"))
-    left, right = (seen.select("band", F.col("h1").alias(x), F.col("c").alias(f"c{x}"), F.col("set").alias(f"s{x}")) for x in "ab")
-    # sizes alone rule out most pairs; the others are compared here, so that only those that are like become rows
-    sizes = F.least(F.size("sa"), F.size("sb")) >= similarity * F.greatest(F.size("sa"), F.size("sb"))
-    like = once(F.size(F.array_intersect("sa", "sb")), lambda c: c >= similarity * (F.size("sa") + F.size("sb") - c))
-    more = left.join(right, (left.band == right.band) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & sizes & like).select("a", "b").distinct()
-    return connected_components(linked.unionByName(more)).withColumnRenamed("node", "h1")
+    left = cut(_unlinked_pairs(rest, texts, similarity).join(tried, ["a", "b"], "left_anti"))
+    return connected_components(linked.unionByName(_verified(left, texts, similarity))).withColumnRenamed("node", "h1")
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(h1, h2, doc_id, line_no): for every line that has copies or likes, the one place where it may stay; null places for those
-    that stay nowhere. Lines that are not here are alone."""
-    lines = lines_of(docs, id_col, text_col)
-    distinct = cut(distinct_lines(lines))
-    parts = fuzzy_components(lines, distinct, similarity)
-    # a component's first line stays; lines of no component stay at their first place
-    placed = distinct.select("h1", "h2", "n", "first").join(parts, "h1", "left")
-    firsts = placed.where("component is not null").groupBy("component").agg(F.min("first").alias("stay"))
-    fuzzy = placed.where("component is not null").join(firsts, "component").select("h1", "h2", F.when(F.col("first") == F.col("stay"), F.col("first")).alias("stay"))
-    exact = placed.where("component is null and n > 1").select("h1", "h2", F.col("first").alias("stay"))
+    """(doc_id, doc_key, line_no) of the lines that go: those that have a copy or a like at an earlier place."""
+    lines = written(sketched(docs, id_col, text_col))
+    parts = cut(fuzzy_components(docs, id_col, text_col, lines, similarity))
+    place = _place(lines)
+    ids = ["doc_id", "doc_key", "line_no"]
+    like = cut(lines.where(_may_be_in(F.col("h1"), parts.select("h1"))).join(parts, "h1").select(*ids, place.alias("at"), "component"))
+    firsts = like.groupBy("component").agg(F.min("at").alias("stay"))
+    fuzzy = like.join(firsts, "component").where("at <> stay").select(*ids)
+    alone = lines.select(*ids, place.alias("at"), "h1", "h2")
+    copies = alone.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("at").alias("stay")).where("n > 1")
+    copies = cut(copies.join(parts, "h1", "left_anti").select("h1", "h2", "stay"))
+    exact = alone.where(_may_be_in(F.col("h1"), copies.select("h1"))).join(copies, ["h1", "h2"]).where("at <> stay").select(*ids)
     return fuzzy.unionByName(exact)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row per document: doc_id, text (without the lines that are copies of an earlier one or like it), n_lines, n_dropped (lines with a word).
+    """One row per document: doc_id, text (without the lines that are copies of an earlier one or like it), n_dropped.
 
     Earlier is by doc_id (null first), then line number. Lines without a word stay. A null text is empty. Rows that repeat a
-    doc_id are judged each on its own text; where both have the first copy of a line at the same number, both keep it. No rows give
-    no rows; other columns are not read.
+    doc_id are judged each on its own text; where both have the first copy of a line at the same number, both keep it. A very long text is many lines, and
+    a very long line has no more bands than others. No rows give no rows; other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    done, n_lines, n_dropped = _apply(rows, "doc_id", "text", similarity)
-    return done.select("doc_id", "text", F.col(n_lines).alias("n_lines"), F.col(n_dropped).alias("n_dropped"))
+    done, n_dropped, _ = _apply(rows, "doc_id", "text", similarity)
+    return done.select("doc_id", "text", F.col(n_dropped).alias("n_dropped"))
 
 
 def _apply(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> tuple[DataFrame, str, str]:
-    """docs with text_col rewritten, and the names of two more columns: lines with a word, and those of them that went."""
+    """docs with text_col rewritten, and the names of two more columns: lines that went, and whether a line with a word went and none is left."""
     p = own_prefix(docs)
-    gone = dropped_lines(docs, id_col, text_col, similarity)
-    own = lines_of(docs, id_col, text_col)
-    at = own.select("doc_id", "doc_key", "line_no", _place(own).alias("at"), *_identity(F.col("line")))
-    met = at.join(gone, ["h1", "h2"]).where(F.col("stay").isNull() | (F.col("stay") != F.col("at")))
-    drops = cut(met.groupBy("doc_id", "doc_key").agg(F.collect_set("line_no").alias(f"{p}drop")))
+    drops = cut(dropped_lines(docs, id_col, text_col, similarity).groupBy("doc_id", "doc_key").agg(F.collect_set("line_no").alias(f"{p}drop")))
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    touched = _may_be_in(F.xxhash64(text), drops.select(F.col("doc_key").alias("h1")))
+    touched = _may_be_in(F.xxhash64(text), drops.select("doc_key"))
     some = docs.where(touched)
     same = some[id_col].eqNullSafe(drops["doc_id"]) & (F.xxhash64(F.coalesce(some[text_col].cast("string"), F.lit(""))) == drops["doc_key"])
     joined = some.join(drops, same, "left").select(*(some[c] for c in docs.columns), drops[f"{p}drop"])
+
+    def without(x: Column) -> Column:  # x: the text's lines
+        left = F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(f"{p}drop"))
+        return F.array_join(F.transform(left, lambda i: F.get(x, i)), "\n")
+
+    kept = F.when(F.col(f"{p}drop").isNull(), F.col(text_col)).otherwise(once(F.split(F.col(text_col).cast("string"), "\n"), without))
+    changed = joined.withColumn(text_col, kept).withColumn(f"{p}gone", F.coalesce(F.size(F.col(f"{p}drop")), F.lit(0)))
+    changed = changed.withColumn(f"{p}empty", (F.col(f"{p}gone") > 0) & ~F.col(text_col).rlike(_WORD)).drop(f"{p}drop")
     # texts that lose no line are not shuffled
-    both = joined.unionByName(docs.where(~touched).withColumn(f"{p}drop", F.lit(None).cast("array<int>")))
-    drop, lines = F.coalesce(F.col(f"{p}drop"), F.array().cast("array<int>")), F.col(f"{p}lines")
-    stays = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop)
-    kept = F.when(F.size(drop) == 0, F.col(text_col)).otherwise(F.array_join(F.transform(stays, lambda i: F.get(lines, i)), "\n"))
-    done = both.withColumns({f"{p}lines": F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n"), f"{p}gone": F.size(drop)}).withColumns(
-        {f"{p}all": F.size(F.filter(lines, lambda x: x.rlike(_WORD))), text_col: kept}
-    )
-    return done.select(*docs.columns, f"{p}all", f"{p}gone"), f"{p}all", f"{p}gone"
+    same = docs.where(~touched).withColumns({f"{p}gone": F.lit(0), f"{p}empty": F.lit(False)})
+    return changed.unionByName(same), f"{p}gone", f"{p}empty"
 
 
 def keep_first_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", similarity: float = SIMILARITY) -> DataFrame:
-    """docs with the lines dropped and chars_col counted anew; a document all of whose words are gone goes, too."""
+    """docs with the lines dropped and chars_col counted anew; a document all of whose words are gone goes, too.
+
+    Texts without a word, null ones among them, lose no line and stay as they are. Nulls, repeated rows, ties and long texts as in dedup_lines; columns
+    of any other name pass through; without chars_col nothing is counted; no rows give no rows.
+    """
     names = docs.columns
-    done, n_lines, n_dropped = _apply(docs, id_col, text_col, similarity)
-    done = done.where((F.col(n_dropped) < F.col(n_lines)) | (F.col(n_lines) == 0))
+    done, _, empty = _apply(docs, id_col, text_col, similarity)
+    done = done.where(~F.col(empty))
     if chars_col in names:
         done = done.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
     return done.select(*names)

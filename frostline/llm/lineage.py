@@ -1,5 +1,18 @@
 """Where long jobs cut their lineage."""
 
+import uuid
+
+from pyspark.sql import DataFrame
+
 from frostline.plans.lineage import cut, ensure_checkpoint_dir, extended, own_prefix
 
-__all__ = ["cut", "ensure_checkpoint_dir", "extended", "own_prefix"]
+__all__ = ["cut", "ensure_checkpoint_dir", "extended", "own_prefix", "written"]
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df, written once as Parquet in the shared checkpoint folder and read from there: smaller than cut(), and readers take only columns they need."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
