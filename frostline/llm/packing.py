@@ -4,7 +4,8 @@ Documents are tokenized and cut in one pass; full pieces are sequences of their
 over groups of about GROUP pieces. Each group is packed by best-fit decreasing and certified by the
 best of many dual-feasible-function lower bounds on its bins. Groups whose count is over the bound keep their
 full bins and give the documents of the others to a pool, certified groups only those of their emptiest bin. The pool is dealt
-over new groups and packed again, until a round saves no bin (then the bins before it stand). Every step is a grouped Spark job over (length, id) rows; the token
+over new groups and packed again, until a round saves no bin (then the bins before it stand) or MAX_ROUNDS are done: what the limit
+can leave is bins over the sum of the last round's bounds, never rows. Every step is a grouped Spark job over (length, id) rows; the token
 ids never move.
 """
 
@@ -14,10 +15,12 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,11 +31,11 @@ END_ID = 0
 GROUP = 40_000
 MAX_ROUNDS = 6
 _CACHE = 500_000
-#: White space beside a space: there a text can't be cut before the space without changing its tokens.
-_UNITS = re.compile(r" ?[^ ]+")
+_BLOCK_CHARS = 1 << 21
+#: Where a text may be cut without changing its tokens: before one space between two other characters.
+_SAFE = re.compile(r"(?<=\S) (?=\S)")
 #: Fixed value: how byte-level BPE of this kind cuts text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_UNEVEN = re.compile(r"\s(?= )| (?=\s)|^ | $")
 
 
 def _bytes_of_marks() -> dict[str, int]:
@@ -61,8 +64,9 @@ class Encoder:
     """ids of a byte-level BPE tokenizer file, with the ids of space-led units kept between texts.
 
     A byte-level BPE never merges across the border before a single space that stands between two other
-    characters, so such a text's ids are its units' ids, one after the other. Texts with other white space
-    or with a special token's string go through the tokenizer whole.
+    characters, so a text's ids are the ids of its units between such borders, one after the other. The units of a block of texts
+    are looked up in one table, those that it lacks are encoded in one call, and the texts' ids are gathered by numpy. Texts with other
+    white space beside a space are split by a pattern instead; texts with a special token's string go through the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -70,24 +74,77 @@ class Encoder:
 
         self.whole = Tokenizer.from_file(path)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        twin = fast_twin(path)
-        self.unit = twin.encode_ordinary if twin else lambda u: self.whole.encode(u, add_special_tokens=False).ids
-        self.ids: dict[str, list[int]] = {}
+        self.twin = fast_twin(path)
+        if self.twin:
+            self.n_bytes = np.array([len(self.twin.decode_single_token_bytes(i)) for i in range(self.twin.n_vocab)])
+        # row 0 is for units that white space borders on
+        self.row: dict[str, int] = {}
+        self.ids, self.sizes = np.empty(0, np.uint32), np.zeros(1, np.int64)
+
+    def unit(self, text: str) -> list[int]:
+        return self.twin.encode_ordinary(text) if self.twin else self.whole.encode(text, add_special_tokens=False).ids
+
+    def units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all units, each led by a space, and how many each has."""
+        if not self.twin:
+            each = [self.unit(f" {u}") for u in units]
+            return np.fromiter(chain.from_iterable(each), np.uint32), np.fromiter(map(len, each), np.int64, len(each))
+        ids = np.array(self.twin.encode_ordinary("".join(f" {u}" for u in units)), np.uint32)
+        ends = np.searchsorted(self.n_bytes[ids].cumsum(), np.cumsum([len(u.encode()) + 1 for u in units])) + 1
+        return ids, np.diff(ends, prepend=0)
 
     def encode(self, text: str) -> list[int]:
+        """ids of one text."""
         if not text:
             return []
-        if _UNEVEN.search(text) or any(s in text for s in self.special):
+        if any(s in text for s in self.special):
             return self.whole.encode(text, add_special_tokens=False).ids
-        known, unit, out = self.ids, self.unit, []
-        for u in _UNITS.findall(text):
-            ids = known.get(u)
-            if ids is None:
-                ids = unit(u)
-                if len(known) < _CACHE:  # the first units seen are mostly the frequent ones
-                    known[u] = ids
-            out += ids
-        return out
+        first, *rest = _SAFE.split(text)
+        return self.unit(first) + (self.units(rest)[0].tolist() if rest else [])
+
+    def encode_block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends): the ids of all texts, one after the other, and where each text's end."""
+        split = [t.split(" ") for t in texts]
+        words = list(chain.from_iterable(split))
+        starts = np.cumsum([0, *map(len, split[:-1])])
+        at = np.fromiter(map(self.row.get, words, repeat(-1)), np.int64, len(words))
+        ids, sizes = self.ids, self.sizes
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            fresh = dict.fromkeys((words[i] for i in missing), 0)
+            plain = [u for u in fresh if u and not u[0].isspace() and not u[-1].isspace()]
+            more, n = self.units(plain) if plain else (ids[:0], sizes[:0])
+            fresh.update(zip(plain, range(len(sizes), len(sizes) + len(plain))))
+            ids, sizes = np.concatenate([ids, more]), np.concatenate([sizes, n])
+            at[missing] = [fresh[words[i]] for i in missing]
+            if len(self.row) + len(fresh) <= _CACHE:  # the first units seen are mostly the frequent ones
+                self.row.update(fresh)
+                self.ids, self.sizes = ids, sizes
+        odd = np.logical_or.reduceat(at == 0, starts)
+        for s in self.special:
+            odd |= np.fromiter((s in t for t in texts), bool, len(texts))
+        # a text's first unit has ids of its own, and an odd text all its ids in place of it
+        heads = [self.encode(t) if o else self.unit(u[0]) for t, u, o in zip(texts, split, odd.tolist())]
+        at[starts] = np.arange(len(sizes), len(sizes) + len(texts))
+        ids = np.concatenate([ids, np.fromiter(chain.from_iterable(heads), np.uint32)])
+        sizes = np.concatenate([sizes, np.fromiter(map(len, heads), np.int64, len(heads))])
+        count = sizes[at]
+        if odd.any():
+            rest = np.repeat(odd, np.diff(np.r_[starts, len(at)]))
+            rest[starts] = False
+            count[rest] = 0
+        shift = (sizes.cumsum() - sizes)[at] - (count.cumsum() - count)
+        return ids[np.repeat(shift, count) + np.arange(count.sum())], np.add.reduceat(count, starts).cumsum()
+
+
+def blocks_of(texts: pa.Array, chars: int = _BLOCK_CHARS) -> Iterator[list[str]]:
+    """texts in lists of about that many bytes, one text at least; a null text is empty."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
+    i = 0
+    while i < len(texts):
+        k = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + chars, "right")))
+        yield texts.slice(i, k - i).fill_null("").to_pylist()
+        i = k
 
 
 def pieces_of(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
@@ -107,10 +164,15 @@ def tokenized(docs: DataFrame, path: str, id_col: str, text_col: str, length: in
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         enc = Encoder(path)
         for b in batches:
-            rows = []
-            for i, t in enumerate(b.column(1)):
-                a = np.array([*enc.encode(t.as_py()), end_id], dtype="<u4")
-                rows.extend((i, p, s, n, zlib.crc32(a[s : s + n].data)) for p, (s, n) in enumerate(pieces_of(len(a), length)))
+            rows, i = [], 0
+            for block in blocks_of(b.column(1)):
+                ids, ends = enc.encode_block(block)
+                begin = 0
+                for end in ends.tolist():
+                    a = np.empty(end - begin + 1, dtype="<u4")
+                    a[:-1], a[-1] = ids[begin:end], end_id
+                    rows.extend((i, p, s, n, zlib.crc32(a[s : s + n].data)) for p, (s, n) in enumerate(pieces_of(len(a), length)))
+                    begin, i = end, i + 1
             row, piece, start, n, crc = (np.array(x) for x in zip(*rows)) if rows else [np.empty(0, np.int64)] * 5
             out = [b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())]
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "piece", "start", "length", "ids_crc32"])
@@ -187,8 +249,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
          end_id: int = END_ID, group: int = GROUP) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A null text is empty: its only id is end_id. Null ids and repeated rows are packed like others; no
-    rows give no rows; other columns are not read. tokenizer is the path of a byte-level BPE file that every
+    A null text is empty: its only id is end_id. Null ids and repeated rows are packed like others; a very long text is read whole and
+    cut into pieces; of equal lengths the one of the lesser doc_id, piece and checksum is packed first; no rows give no rows; other columns are not read. tokenizer is the path of a byte-level BPE file that every
     executor has.
     """
     pieces = cut(tokenized(docs, tokenizer, id_col, text_col, length, end_id))

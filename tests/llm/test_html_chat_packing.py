@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -190,3 +191,19 @@ def optimum(lengths, capacity):
 @pytest.mark.parametrize("n,want", [(1, [(0, 1)]), (2048, [(0, 2048)]), (2049, [(0, 1), (1, 2048)]), (4096, [(0, 2048), (2048, 2048)])])
 def test_cuts(n, want):
     assert packing.pieces_of(n) == want
+
+
+def test_blocks_have_the_tokenizers_ids(monkeypatch):
+    """Blocks of odd texts: each text has the ids that the tokenizer gives it alone, also when the table of units is full."""
+    rng = random.Random(3)
+    parts = ["a", "word", " ", " ", "  ", "\n", "\t", "1", "'s", "é", "你", "!", "\x1f", "\r\n", "😀", "<|endoftext|>", "$$$", "\u00a0"]
+    texts = ["", " ", "\n", *("".join(rng.choice(parts) for _ in range(rng.randrange(1, 40))) for _ in range(1500))]
+    for cache in (500_000, 3):
+        monkeypatch.setattr(packing, "_CACHE", cache)
+        enc = packing.Encoder(tokenizer_path())
+        for block in packing.blocks_of(pa.array([*texts, None]), 4000):
+            ids, ends = enc.encode_block(block)
+            begin = 0
+            for text, end in zip(block, ends.tolist(), strict=True):
+                assert ids[begin:end].tolist() == enc.whole.encode(text, add_special_tokens=False).ids, repr(text)
+                begin = end
