@@ -1,13 +1,21 @@
 """Main text of web pages by equivalence-class template deduction.
 
-A page is a sequence of tokens: its tags (name, class, id and role) and its texts. Over the pages of one host every tag
-has an occurrence vector, its count in each page; Spark sums count x hash(page) into a signature, so tags
+A page is a sequence of tokens: its tags (name, class, id and role) and its texts. Over the pages of one host every token
+has an occurrence vector, its count in each page; Spark sums count x hash(page) into a signature, so tokens
 with equal vectors meet in one group without any vector being built, and a host with a third of all pages
 combines map-side. The tags that occur exactly once in a SHARE of the pages that have any tag are the skeleton, so that an empty, cut or
-odd page takes nothing from its host; their order is read off one page that has them all. Other classes are nested into the skeleton's slot that holds them. A slot is
-content by what encloses it in the template: within an article or main element if the host has one, and in no menu,
-header, footer, sidebar, notice, advert, form or comment part. Pages are then read along their host's
-skeleton and the texts of content slots are kept; inside a slot, marked-up parts of those kinds are skipped.
+odd page takes nothing from its host; their order is read off one page that has them all. Other classes are nested into the skeleton's slot that holds them.
+Texts that are as frequent are template texts if they are in the skeleton's class or share the vector of a nested class of tags. Which slots are content:
+
+- Where the skeleton has an article or main element, the slots within it but for parts that say what they are (menu, header, footer, sidebar, notice,
+  advert, form, comments). Its template texts stay, since pages may repeat passages of their articles.
+- Elsewhere, the slots that vary: a second pass over such hosts' pages sums each slot's text that is no template text, and how much of it is link text. The
+  innermost element of the skeleton that holds BODY_SHARE of the varying text outside links, and is no single paragraph, is the body; its slots that vary and are not mostly links
+  are content, again but for parts that say what they are.
+
+Pages are then read along their host's skeleton and the texts of content slots are kept, without template texts where the slots were told by varying.
+Elements that pages repeat without a class, id or role of their own are told apart by their slot only.
+Pages of hosts with fewer than MIN_PAGES pages and without such an element, and pages that lack their host's main element, are read by their own tags.
 """
 
 from __future__ import annotations
@@ -46,6 +54,20 @@ PART_NAMES = frozenset(
 )
 
 
+#: Words of class names that tell nothing about a part: 'related-work' is a part of a text, 'related-posts-box' is not.
+NEUTRAL_NAMES = frozenset(
+    "a area articles bar block bottom box button buttons col column container content fixed global group head holder icons inner item items left link links list"
+    " main module outer page panel post posts primary region right row secondary section site slot stories sub text title top unit widget wrap wrapper".split()
+)
+#: Elements that hold one paragraph, heading or cell: none is a page's body.
+TEXT_LEVEL = frozenset("p h1 h2 h3 h4 h5 h6 li td th dd dt pre blockquote figcaption".split())
+#: Pages that a host needs for its varying texts to tell slots apart; the share of that text outside links that the body holds.
+MIN_PAGES = 3
+BODY_SHARE = 0.7
+#: Bytes of all templates up to which they are broadcast (measured before); larger ones are joined.
+MAX_BROADCAST = 64 << 20
+
+
 #: The share of a host's pages with tags in which a tag occurs once to be in the skeleton; pages tried for the skeleton's order.
 SHARE = 0.7
 ORDERS = 8
@@ -101,22 +123,33 @@ def is_dropped(tag: str) -> bool:
         return True
     if name in ("html", "body"):
         return False
-    words = {w for x in re.split(r"[\s=]+", marks) for w in (x, *re.split(r"[-_]+", x))} - {"class", "id", "role"}
-    return bool(words & PART_NAMES) and name not in MAIN
+    names = [set(re.split(r"[-_]+", x)) - {""} for x in re.split(r"[\s=]+", marks) if x not in ("class", "id", "role")]
+    return name not in MAIN and any(x & PART_NAMES and x <= PART_NAMES | NEUTRAL_NAMES for x in names)
+
 
+def text_token(text: str) -> str | None:
+    """A text's token: '#' and a hash of its words; None for white space."""
+    from xxhash import xxh64_hexdigest
 
-def _tag_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, page, tag, n, first, last) of each page's tags; tag '' stands for a page that has tags."""
+    words = " ".join(text.split())
+    return "#" + xxh64_hexdigest(words.encode("utf-8", "surrogatepass")) if words else None
+
+
+def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, page, tag, n, first, last) of each page's tags and text tokens; tag '' stands for a page that has tags."""
     for b in batches:
         out: list[tuple] = []
         for i, page in enumerate(b.column(2)):
             seen: dict[str, list[int]] = {"": [1, 0, 0]}
+            tags = False
             for at, (kind, x) in enumerate(tokens(page.as_py())):
-                if kind == "tag":
-                    s = seen.setdefault(x, [0, at, at])
-                    s[0] += 1
-                    s[2] = at
-            if len(seen) > 1:
+                tags |= kind == "tag"
+                if kind == "text" and (x := text_token(x)) is None:
+                    continue
+                s = seen.setdefault(x, [0, at, at])
+                s[0] += 1
+                s[2] = at
+            if tags:
                 out += [(i, t, *s) for t, s in seen.items()]
         row, tag, n, first, last = zip(*out) if out else ((), (), (), (), ())
         pick = pa.array(row, pa.int64())
@@ -134,9 +167,9 @@ def _seen_at(order: int):
 
 def equivalence_classes(pages: DataFrame) -> DataFrame:
     """(host, n_pages, tag, in_pages, once, total, signature, first, last, at0, ..) from (host, page, html); tags of one host with the same in_pages,
-    total and signature have the same occurrence vector. n_pages are those that have tags; first and last sum the tag's places; once counts the
+    total and signature have the same occurrence vector. Text tokens are among them if two pages have them. n_pages are those that have tags; first and last sum the tag's places; once counts the
     pages that have the tag once, of which at0.. draw ORDERS and tell the tag's place."""
-    counts = pages.select("host", "page", "html").mapInArrow(_tag_counts, "host string, page long, tag string, n long, first long, last long")
+    counts = pages.select("host", "page", "html").mapInArrow(_token_counts, "host string, page long, tag string, n long, first long, last long")
     # sums wrap on purpose: a signature is a number modulo 2^64
     part = F.shiftright(F.xxhash64("page"), 16) * F.col("n")
     tags = counts.groupBy("host", "tag").agg(
@@ -144,14 +177,14 @@ def equivalence_classes(pages: DataFrame) -> DataFrame:
         F.sum(part.cast("decimal(38,0)")).alias("signature"), F.sum("first").alias("first"), F.sum("last").alias("last"),
         *(F.min(_seen_at(k)).alias(f"at{k}") for k in range(ORDERS)),
     )
-    tags = cut(tags)
+    tags = cut(tags.where(~F.col("tag").startswith("#") | (F.col("in_pages") > 1)))
     hosts = tags.where("tag = ''").select("host", F.col("total").alias("n_pages"))
     return tags.where("tag <> ''").join(hosts, "host")
 
 
 def _skeletons(classes: DataFrame) -> DataFrame:
     """(host, n_pages, root): the skeleton's (place, first, tag) in page order, by that of the drawn pages that has most of its tags."""
-    often = classes.where(F.col("once") >= SHARE * F.col("n_pages"))
+    often = classes.where((F.col("once") >= SHARE * F.col("n_pages")) & ~F.col("tag").startswith("#"))
     drawn = often.select("host", "n_pages", "tag", (F.col("first") / F.col("in_pages")).alias("first"), F.posexplode(F.array(*(f"at{k}" for k in range(ORDERS)))).alias("k", "at"))
     page = F.shiftright("at", 24)
     roots = drawn.groupBy("host", "n_pages", "k", page.alias("drawn")).agg(
@@ -162,24 +195,25 @@ def _skeletons(classes: DataFrame) -> DataFrame:
 
 def templates(classes: DataFrame) -> DataFrame:
     """One row per host: host, n_pages, skeleton (its tags in page order), nested (array of slot and tags for the other classes
-    of which every tag lies in one slot on average)."""
-    skeleton = F.col("once") >= SHARE * F.col("n_pages")
+    of which every tag lies in one slot on average), texts (tokens of the template texts)."""
+    is_text, often = F.col("tag").startswith("#"), F.col("once") >= SHARE * F.col("n_pages")
     ordered = lambda c: F.transform(F.sort_array(F.collect_list(c)), lambda x: x["tag"])
     roots = _skeletons(classes)
+    vector = ["host", "in_pages", "total", "signature"]
     others = (
-        classes.where(~skeleton)
-        .groupBy("host", "in_pages", "total", "signature")
+        classes.where(~often & ~is_text)
+        .groupBy(*vector)
         .agg(ordered(F.struct("first", "tag")).alias("tags"), F.min(F.col("first") / F.col("in_pages")).alias("lo"), F.max(F.col("last") / F.col("in_pages")).alias("hi"))
     )
     slot = lambda x: F.size(F.filter("root", lambda r: r["first"] < x))
-    nested = (
-        others.join(roots, "host")
-        .withColumn("slot", slot(F.col("lo")))
-        .where(F.col("slot") == slot(F.col("hi")))
-        .groupBy("host")
-        .agg(F.sort_array(F.collect_list(F.struct("slot", "tags"))).alias("nested"))
-    )
-    return roots.join(nested, "host", "left").select("host", "n_pages", F.transform("root", lambda r: r["tag"]).alias("skeleton"), "nested")
+    placed = others.join(roots, "host").withColumn("slot", slot(F.col("lo"))).where(F.col("slot") == slot(F.col("hi")))
+    nested = placed.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("slot", "tags"))).alias("nested"))
+    constant = classes.where(is_text & (F.col("in_pages") >= F.greatest(F.lit(MIN_PAGES), SHARE * F.col("n_pages"))))
+    in_root = constant.where(often).select("host", "tag")
+    in_nested = constant.where(~often).join(placed.select(*vector), vector, "left_semi").select("host", "tag")
+    texts = in_root.unionByName(in_nested).groupBy("host").agg(F.sort_array(F.collect_set("tag")).alias("texts"))
+    whole = roots.join(nested, "host", "left").join(texts, "host", "left")
+    return whole.select("host", "n_pages", F.transform("root", lambda r: r["tag"]).alias("skeleton"), "nested", "texts")
 
 
 class Template:
@@ -189,7 +223,9 @@ class Template:
     it. Other tags are read within their slot, page by page.
     """
 
-    def __init__(self, skeleton: list[str]):
+    def __init__(self, skeleton: list[str], texts: list[str] | None = None, slots: list[dict] | None = None):
+        """slots: (slot, chars, linked) of the texts that vary, of a host that is judged by them; without, article and main elements and the parts' names decide."""
+        self.texts = frozenset(texts or ()) if slots is not None else frozenset()
         path: list[int] = []
         valid: set[int] = set()
         for i, t in enumerate(skeleton):
@@ -217,6 +253,28 @@ class Template:
                     pass
             main = not self.has_main or any(element(p) in MAIN for p in inside)
             self.content.append(main and not any(is_dropped(p) for p in inside))
+        self.varying = slots is not None
+        if self.varying:
+            body = self._body(tags, {x["slot"]: x["chars"] - x["linked"] for x in slots})
+            vary = {x["slot"] for x in slots if 2 * x["linked"] <= x["chars"]}
+            self.content = [on and i in vary and i in body for i, on in enumerate(self.content)]
+
+    @staticmethod
+    def _body(tags: list[str], plain: dict[int, int]) -> range:
+        """The slots of the innermost element that holds BODY_SHARE of the plain text by slot; all if none does."""
+        before = [0]
+        for i in range(len(tags)):
+            before.append(before[-1] + plain.get(i, 0))
+        least, spans, path = BODY_SHARE * before[-1], [range(len(tags))], []
+        for i, t in enumerate(tags):
+            if t[0] != "/":
+                path.append(i)
+                continue
+            while tags[o := path.pop()] != t[1:]:
+                pass
+            if before[i] - before[o] >= least and element(t) not in TEXT_LEVEL | INLINE:
+                spans.append(range(o, i))
+        return min(spans, key=len)
 
     def in_order(self, tags: list[tuple[int, str]]) -> dict[int, int]:
         """{place in the page: place in the skeleton} of the page's skeleton tags that keep the skeleton's order (the longest such run)."""
@@ -236,16 +294,34 @@ class Template:
             k = back[k]
         return keep
 
-    def extract(self, page: str | None) -> str:
-        toks = list(tokens(page))
+    def marks(self, toks: list[tuple[str, str]]) -> dict[int, int]:
+        """{place: slot} of the skeleton's tags in a page; a tag that the page repeats is read within its slot."""
         once: dict[str, int] = {}
         for kind, x in toks:
             if kind == "tag":
                 once[x] = once.get(x, 0) + 1
-        # a tag that this page repeats is read within its slot
-        marks = self.in_order([(i, x) for i, (kind, x) in enumerate(toks) if kind == "tag" and once[x] == 1])
-        # a page that lacks the host's main element, or of a host that has none in its skeleton, is read like a page of its own
-        if not any(self.content[s] for s in marks.values()) or not self.has_main:
+        return self.in_order([(i, x) for i, (kind, x) in enumerate(toks) if kind == "tag" and once[x] == 1])
+
+    def slot_texts(self, page: str | None, texts: frozenset[str]) -> dict[int, list[int]]:
+        """{slot: [characters that are no template text, those of them in links]}."""
+        toks, out, slot, links = list(tokens(page)), {}, -1, 0
+        marks = self.marks(toks)
+        for i, (kind, x) in enumerate(toks):
+            if kind == "tag":
+                links = max(0, links + (element(x) == "a") * (-1 if x[0] == "/" else 1))
+                slot = marks.get(i, slot)
+            elif (t := text_token(x)) and t not in texts:
+                n = out.setdefault(slot, [0, 0])
+                n[0] += len(x)
+                n[1] += len(x) * (links > 0)
+        return out
+
+    def extract(self, page: str | None) -> str:
+        toks = list(tokens(page))
+        marks = self.marks(toks)
+        own_main = self.varying and any(kind == "tag" and element(x) in MAIN for kind, x in toks)
+        # a page that lacks the host's main element, or of a host that has none and was not judged by what varies, is read like a page of its own
+        if own_main or not any(self.content[s] for s in marks.values()) or not (self.has_main or self.varying):
             return Template.own(toks).extract_tokens(toks)
         return self.extract_tokens(toks, marks)
 
@@ -266,7 +342,7 @@ class Template:
         out: list[str] = []
         for i, (kind, x) in enumerate(toks):
             if kind == "text":
-                if on and not skipped:
+                if on and not skipped and (not self.texts or text_token(x) not in self.texts):
                     out.append(x)
                 continue
             name = element(x)
@@ -287,30 +363,65 @@ class Template:
         return " ".join("".join(out).split())
 
 
+def _joined(pages: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
+    """pages with their hosts' columns of found, which is broadcast up to a measured size; beyond it, an exchange of its own lets AQE choose and split."""
+    chars = sum((F.coalesce(F.length(F.array_join(c, ",")), F.lit(0)) for c in ("skeleton", "texts")), F.lit(200)) + 32 * F.size("skeleton")
+    size = found.agg(F.sum(chars)).first()[0] or 0
+    side = found.select("host", *columns)
+    return pages.join(F.broadcast(side) if 2 * size <= MAX_BROADCAST else side.repartition(F.xxhash64("host")), "host", "left")
+
+
+def with_varying_slots(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """found (templates, cut) with slots (slot, chars, linked) of the skeleton's slots that hold varying text, for hosts of MIN_PAGES pages without an article or main element; else null."""
+    no_main = ~F.exists("skeleton", lambda t: F.substring_index(t, " ", 1).isin(*sorted(MAIN)))
+    judged = found.where(no_main & (F.col("n_pages") >= MIN_PAGES)).select("host", "n_pages", "skeleton", "texts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            total: dict[tuple[str, int], list[int]] = {}
+            known: dict[str, tuple[Template, frozenset[str]]] = {}
+            for host, page, skeleton, texts in zip(*b.columns):
+                if (h := host.as_py()) not in known:
+                    known[h] = Template(skeleton.as_py()), frozenset(texts.as_py() or ())
+                for slot, n in known[h][0].slot_texts(page.as_py(), known[h][1]).items():
+                    t = total.setdefault((h, slot), [0, 0])
+                    t[0], t[1] = t[0] + n[0], t[1] + n[1]
+            rows = [(h, slot, *n) for (h, slot), n in total.items()]
+            host, slot, chars, linked = zip(*rows) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), *(pa.array(x, pa.int64()) for x in (slot, chars, linked))], names=["host", "slot", "chars", "linked"])
+
+    if judged.isEmpty():
+        return found.withColumn("slots", F.lit(None).cast("array<struct<slot: bigint, chars: bigint, linked: bigint>>"))
+    own = _joined(pages.select("host", "html"), judged, "skeleton", "texts").where("skeleton is not null").select("host", "html", "skeleton", "texts")
+    slots = own.mapInArrow(run, "host string, slot long, chars long, linked long").groupBy("host", "slot").agg(F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
+    # a row per tag of the host's skeleton at most
+    by_host = slots.where("slot >= 0").groupBy("host").agg(F.sort_array(F.collect_list(F.struct("slot", "chars", "linked"))).alias("slots"))
+    return found.join(by_host, "host", "left")
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text, n_chars.
 
     Pages are grouped by the host of their url; those without one are a group, too. A null or empty page and one without content
-    have an empty text. Null ids and repeated rows stay; no rows give no rows; other columns are not read.
+    have an empty text. Null ids and repeated rows stay, and equal pages have equal texts; a very long page is read whole; no rows give no rows; other columns are not read.
     """
     url = F.col(url_col).cast("string")
     rows = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), host_and_path(url)[0].alias("host"), F.col(html_col).cast("string").alias("html"))
     keyed = rows.select("host", F.xxhash64("page_id", "url", "html").alias("page"), "html")
-    # an exchange of its own lets AQE measure the skeletons and broadcast them, so that a large host's pages are not one task
-    found = templates(equivalence_classes(keyed)).select("host", "skeleton").repartition(F.xxhash64("host"))
+    found = cut(with_varying_slots(rows, cut(templates(equivalence_classes(keyed)))).drop("nested"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple[str, ...], Template] = {}
+        known: dict[str, Template] = {}
         for b in batches:
-            texts = []
-            for page, skeleton in zip(b.column(2), b.column(3)):
-                key = tuple(skeleton.as_py() or ())
+            out = []
+            for host, page, skeleton, texts, slots in zip(*b.columns[2:]):
+                key = host.as_py()
                 if key not in known:
                     if len(known) > 500:
                         known.clear()
-                    known[key] = Template(list(key))
-                texts.append(known[key].extract(page.as_py()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+                    known[key] = Template(skeleton.as_py() or [], texts.as_py(), slots.as_py())
+                out.append(known[key].extract(page.as_py()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
-    joined = rows.join(found, "host", "left").select("page_id", "url", "html", "skeleton")
+    joined = _joined(rows, found, "skeleton", "texts", "slots").select("page_id", "url", "host", "html", "skeleton", "texts", "slots")
     return joined.mapInArrow(run, extended(rows.select("page_id", "url"), "text string")).withColumn("n_chars", F.length("text").cast("long"))

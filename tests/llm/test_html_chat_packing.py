@@ -1,4 +1,5 @@
 import html
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -55,6 +56,82 @@ def test_odd_pages_leave_their_host_its_template(spark):
     assert all(page(i) == f"Head {i} First para & more text{i}. Second line point" for i in range(40))
 
 
+PLAIN = """<html><body><center><i>Welcome to Acme portal</i></center><dl><dt><a href=/>{n} Home</a></dt><dt><a href=/x>{n} Things</a></dt></dl>
+<div><h2>Title {i}</h2><p>{words}</p><p class="related-work">Others did {i}</p></div><table><tr><td>Last</td><td>{i} days ago</td></tr></table><ul><li>All rights</li><li>reserved Acme</li></ul></body></html>"""
+
+
+def plain_pages(n=20):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    words = [" ".join(word() for _ in range(40)) for _ in range(n)]
+    return [(i, f"https://plain.org/{i}", PLAIN.format(i=i, n=word(), words=words[i])) for i in range(n)], words
+
+
+def brute_template(pages):
+    """Tags that are once in 70 % of the pages, texts of the same kind, the smallest element with 70 % of the other text outside links, and in it the slots that are not
+    mostly links."""
+    toks = [list(html_extract.tokens(p)) for p in pages]
+    counts = [Counter(x if k == "tag" else " ".join(x.split()) for k, x in t) for t in toks]
+    often = {x for x in set().union(*counts) if x and sum(c[x] == 1 for c in counts) >= 0.7 * len(pages)}
+    order = [x for k, x in toks[0] if k == "tag" and x in often]
+    order = [x for x in order if x[0] == "/" and x[1:] in order or f"/{x}" in order]
+    mass = Counter(), Counter()
+    for t in toks:
+        slot, link = None, False
+        for k, x in t:
+            if k == "tag":
+                link = x == "a" or link and x != "/a"
+                slot = x if x in order else slot
+            elif " ".join(x.split()) and " ".join(x.split()) not in often:
+                mass[link][slot] += len(x)
+    spans = [order[i : order.index(f"/{x}")] for i, x in enumerate(order) if x[0] != "/" and x.split()[0] not in ("p", "h2", "td")]
+    body = min(([*s] for s in spans if sum(mass[0][x] for x in s) >= 0.7 * mass[0].total()), key=len)
+    content = {x for x in body if mass[0][x] and mass[1][x] <= mass[0][x]}
+    out = []
+    for t in toks:
+        slot, text = None, []
+        for k, x in t:
+            if k == "tag":
+                slot = x if x in order else slot
+                text.append(" ")
+            elif slot in content and " ".join(x.split()) not in often:
+                text.append(x)
+        out.append(" ".join("".join(text).split()))
+    return out
+
+
+def test_template_decides_without_semantic_marks(spark, monkeypatch):
+    """A host of plain elements: texts that all pages have and slots of links go, what varies stays, and without the template nothing does that."""
+    rows, words = plain_pages()
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+    want = brute_template([r[2] for r in rows])
+    assert [got[i] for i in range(20)] == want
+    assert all(got[i] == f"Title {i} {words[i]} Others did {i}" for i in range(20))
+    alone = {i: html_extract.Template([]).extract(r[2]) for i, r in enumerate(rows)}
+    assert all("Welcome to Acme portal" in alone[i] and alone[i] != got[i] for i in range(20))
+    # templates too large to broadcast are joined, with the same texts; null and odd pages beside them change nothing
+    monkeypatch.setattr(html_extract, "MAX_BROADCAST", 0)
+    odd = [(100, "https://plain.org/n", None), (101, "https://plain.org/e", ""), (102, "https://plain.org/o", "<article>Odd <b>page</b></article>"), (0, rows[0][1], rows[0][2])]
+    mixed = html_extract.extract(spark.createDataFrame(rows + odd, "page_id long, url string, html string")).collect()
+    assert len(mixed) == 24 and all(r.text == got[r.page_id] for r in mixed if r.page_id < 100)
+    assert {r.page_id: r.text for r in mixed if r.page_id >= 100} == {100: "", 101: "", 102: "Odd page"}
+
+
+def test_nested_template_texts(spark):
+    """A text that has the vector of a nested class of tags is template: labels that every page repeats as often as its blocks."""
+    words = lambda i, k: f"opinion {i} {k} " + "long " * 9
+    pages = [(i, "https://n.org/%d" % i, "<body><section>" + "".join(f"<p>{words(i, k)}</p><i>Reply</i>" for k in range(1 + i % 4)) + "</section></body>") for i in range(12)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == " ".join(words(i, k).strip() for k in range(1 + i % 4)) for i in range(12))
+
+
+def test_part_names():
+    drops = lambda t: html_extract.is_dropped(t)
+    assert all(map(drops, ("div class=ad", "div class=related-posts", "section id=comments", "div class=site-footer main", "ul class=nav-list", "div role=navigation", "nav")))
+    assert not any(map(drops, ("div class=related-work", "p class=social-history", "div class=form-of-government", "div class=post", "article class=comment", "div")))
+
+
 def test_classes_are_occurrence_vectors(spark):
     pages = [(k, "h", "<a><b></b></a>" + "<i></i>" * k + ("<u>" if k % 2 else "")) for k in range(1, 6)]
     df = spark.createDataFrame(pages, "page long, host string, html string")
