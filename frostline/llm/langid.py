@@ -2,7 +2,8 @@
 
 A text is its words (runs of letters, lower-cased), a word is its characters between a start and an
 end mark, and a character's context is at most ORDER - 1 characters of its own word. Spark counts the
-character sequences of all training texts by language; from the counts the driver makes one table for
+character sequences of all training texts by language, and makes continuation counts, context totals and interpolated probabilities
+from the counts, order by order, by grouping and joining. What comes out is one table for
 all languages: for each order, the sorted 64-bit hashes of the sequences that any language has seen, with each
 language's interpolated log probability, and the sorted hashes of the contexts with each language's
 log weight of the lower order. Scoring looks characters up in these arrays by binary search, only once
@@ -11,7 +12,7 @@ for each distinct word of a block of texts.
 The language is the one of least cross-entropy per character. A text whose best cross-entropy is beyond what is
 usual for training texts of that language (mean + REJECT_SIGMAS standard deviations over all of them) is marked as not accepted.
 
-The tables hold every sequence of the training texts: what the driver gathers and tasks are sent grows with the different sequences.
+The tables hold every sequence of the training texts: what the driver gathers, as arrays of numbers, and tasks are sent grows with the different sequences.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frostline.llm.lineage import extended
+from frostline.llm.lineage import cut, extended
 
 ORDER = 5
 DISCOUNT = 0.75
@@ -42,7 +43,11 @@ _FLUSH = 400_000
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORDS.findall(text.lower()) if text else []
+    """Runs of letters; digits and numbers of other kinds, such as fractions, part them."""
+    words = _WORDS.findall(text.lower()) if text else []
+    if all(map(str.isalpha, words)):
+        return words
+    return [x for w in words for x in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
 
 
 def sequences(word: str, order: int = ORDER) -> list[str]:
@@ -119,64 +124,70 @@ class Models:
     limits: dict[str, float] = field(default_factory=dict)
 
 
-def estimate(rows: list[tuple[str, str, int]], order: int = ORDER, discount: float = DISCOUNT) -> Models:
-    """Interpolated Kneser-Ney from (lang, sequence, count) rows as sequences() makes them.
+def estimate(counts: DataFrame, order: int = ORDER, discount: float = DISCOUNT) -> Models:
+    """Interpolated Kneser-Ney from counts (lang, seq, n) as sequence_counts() makes them.
 
     Sequences of full length and those that begin with the start mark have their counts; others count the different
-    characters seen before them.
+    characters seen before them. Each order is one row per sequence, with an array of a number for every language.
     """
-    langs = sorted({r[0] for r in rows})
+    counts = cut(counts)
+    langs = [r.lang for r in counts.select("lang").distinct().orderBy("lang").collect()]
     if not langs:
         none = (np.empty(0, np.uint64), np.zeros((0, 0), np.float32))
         return Models([], [none] * order, [none] * order, np.zeros(0, np.float32))
-    by_lang: list[list[dict[str, int]]] = []
-    for lang in langs:
-        levels: list[dict[str, int]] = [defaultdict(int) for _ in range(order)]
-        for _, s, n in (r for r in rows if r[0] == lang):
-            levels[len(s) - 1][s] += n
-        for k in range(order - 1, 0, -1):
-            for s in levels[k]:  # the start mark is a left neighbour like any other
-                levels[k - 1][s[1:]] += 1
-        by_lang.append(levels)
-    vocabulary = {s for levels in by_lang for s in levels[0]}
-    floor = 1.0 / (len(vocabulary) + 1)
-    probs: list[dict[str, np.ndarray]] = []
-    weights: list[dict[str, np.ndarray]] = []
-    L = len(langs)
-    for k in range(order):
-        contexts: dict[str, np.ndarray] = {}  # total count and different followers, by language
-        for i, levels in enumerate(by_lang):
-            for s, n in levels[k].items():
-                c = contexts.setdefault(s[:-1], np.zeros((2, L)))
-                c[0, i] += n
-                c[1, i] += 1
-        lam = {h: np.where(c[0] > 0, discount * c[1] / np.maximum(c[0], 1), 1.0) for h, c in contexts.items()}
-        own: dict[str, np.ndarray] = {}
-        for s in {s for levels in by_lang for s in levels[k]}:
-            h = s[:-1]
-            n = np.array([levels[k].get(s, 0) for levels in by_lang], float)
-            lower = _lower(s[1:], k - 1, probs, weights, floor, L) if k else np.full(L, floor)
-            own[s] = np.maximum(n - discount, 0) / np.maximum(contexts[h][0], 1) + lam[h] * lower
-        probs.append(own)
-        weights.append(lam)
-    seq, context = [], []
-    for k in range(order):
-        keys = list(probs[k])
-        at = np.argsort(h := _hash(keys))
-        seq.append((h[at], np.log(np.array([probs[k][s] for s in keys]).reshape(-1, L))[at].astype(np.float32)))
-        keys = list(weights[k]) if k else []
-        at = np.argsort(h := _hash(keys))
-        context.append((h[at], np.log(np.array([weights[k][s] for s in keys]).reshape(-1, L))[at].astype(np.float32)))
-    return Models(langs, seq, context, np.log(weights[0][""] * floor).astype(np.float32))
-
-
-def _lower(s: str, k: int, probs, weights, floor: float, L: int) -> np.ndarray:
-    """Probability of s's last character after the rest, by the models up to order k + 1."""
-    if s in probs[k]:
-        return probs[k][s]
-    w = weights[k].get(s[:-1])
-    below = _lower(s[1:], k - 1, probs, weights, floor, L) if k else np.full(L, floor)
-    return below if w is None else w * below
+    each = range(len(langs))
+    levels: list[DataFrame] = []  # longest first
+    for k in range(order, 0, -1):
+        own = counts.where(F.length("seq") == k)
+        if levels:  # the start mark is a left neighbour like any other
+            own = own.unionByName(levels[-1].select("lang", F.substring("seq", 2, k).alias("seq"), F.lit(1).cast("long").alias("n")))
+        levels.append(cut(own.groupBy("lang", "seq").agg(F.sum("n").alias("n"))))
+    wide = [x.groupBy("seq").agg(*(F.sum(F.when(F.col("lang") == g, F.col("n")).otherwise(0)).alias(f"n{i}") for i, g in enumerate(langs))) for x in levels[::-1]]
+    floor = 1.0 / (wide[0].count() + 1)
+    below: DataFrame | None = None
+    kind = "part int, k int, h long, p array<float>"
+    tables = []
+    for k, seqs in enumerate(wide):
+        context = F.substring("seq", 1, k)
+        sums = [f(i) for i in each for f in (lambda i: F.sum(f"n{i}").alias(f"t{i}"), lambda i: F.count_if(F.col(f"n{i}") > 0).alias(f"d{i}"))]
+        contexts = seqs.groupBy(context.alias("context")).agg(*sums)
+        weight = [F.when(F.col(f"t{i}") > 0, F.lit(discount) * F.col(f"d{i}") / F.col(f"t{i}")).otherwise(F.lit(1.0)) for i in each]
+        contexts = contexts.select("context", *(F.col(f"t{i}") for i in each), *(w.alias(f"w{i}") for i, w in enumerate(weight)))
+        both = seqs.withColumn("context", context).join(contexts, "context")
+        if below is None:
+            both = both.select("*", *(F.lit(floor).alias(f"b{i}") for i in each))
+            unseen = np.log(np.array([contexts.first()[f"w{i}"] for i in each]) * floor).astype(np.float32)
+        else:
+            both = both.join(below.select(F.col("seq").alias("rest"), *(F.col(f"p{i}").alias(f"b{i}") for i in each)), F.substring("seq", 2, k) == F.col("rest"))
+        share = lambda i: F.greatest(F.col(f"n{i}") - F.lit(discount), F.lit(0.0)) / F.greatest(F.col(f"t{i}"), F.lit(1)) + F.col(f"w{i}") * F.col(f"b{i}")
+        below = cut(both.select("seq", *(share(i).alias(f"p{i}") for i in each)))
+        tables.append(below.select(F.lit(0).alias("part"), F.lit(k).alias("k"), "seq", F.array(*(F.log(f"p{i}").cast("float") for i in each)).alias("p")))
+        if k:
+            tables.append(contexts.select(F.lit(1).alias("part"), F.lit(k).alias("k"), F.col("context").alias("seq"), F.array(*(F.log(f"w{i}").cast("float") for i in each)).alias("p")))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:  # a batch's sequences are of one length, as it is of one table
+            seqs = b.column(2).to_pylist()
+            sizes = np.fromiter(map(len, seqs), np.int64, len(seqs))
+            h = np.empty(len(seqs), np.uint64)
+            for n in set(sizes.tolist()):
+                own = np.flatnonzero(sizes == n)
+                h[own] = _hash([seqs[i] for i in own.tolist()])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(h.view(np.int64)), b.column(3)], names=["part", "k", "h", "p"])
+
+    every = tables[0]
+    for t in tables[1:]:
+        every = every.unionByName(t)
+    got = every.mapInArrow(hashed, kind).toArrow().combine_chunks()
+    part, level, h = (got[c].to_numpy() for c in ("part", "k", "h"))
+    p = got["p"].combine_chunks().flatten().to_numpy().reshape(-1, len(langs)) if len(got) else np.zeros((0, len(langs)), np.float32)
+
+    def table(a: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        own = np.flatnonzero((part == a) & (level == k))
+        own = own[np.argsort(h[own].view(np.uint64))]
+        return h[own].view(np.uint64), p[own]
+
+    return Models(langs, [table(0, k) for k in range(order)], [table(1, k) for k in range(order)], unseen)
 
 
 def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -248,9 +259,7 @@ def fit(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(
         F.col("lang").isNotNull() & may_learn
     )
-    counts = sequence_counts(rows, "text", "lang")
-    every = counts.toArrow()
-    models = estimate(sorted(zip(*(every.column(c).to_pylist() for c in ("lang", "seq", "n")))))
+    models = estimate(sequence_counts(rows, "text", "lang"))
     if models.langs:
         scored = predict(rows.withColumn("l", F.col("lang").cast("string")), models, keep=("l",))
         stats = scored.where("lang_pred = l").groupBy("lang_pred").agg(F.avg("cross_entropy").alias("m"), F.stddev_pop("cross_entropy").alias("s"))
@@ -262,7 +271,7 @@ def predict(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: s
     """One row per document: doc_id, lang_pred, score, cross_entropy, accepted.
 
     score is the languages' soft-max of minus SHARPNESS times the cross-entropy per character. A text that is null or has no letter, and any text
-    if no language was learned, is 'und' with score 0, null cross_entropy, not accepted. Equal scores: the first language by name. Null ids
+    if no language was learned, is 'und' with score 0, null cross_entropy, not accepted. Equal scores: the first language by name. A very long text is read whole. Null ids
     and repeated rows stay; no rows give no rows; other columns are not read.
     """
     names = np.array([*models.langs, UNDETERMINED], dtype=object)

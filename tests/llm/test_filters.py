@@ -2,6 +2,7 @@
 
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -113,15 +114,10 @@ def test_network_on_held_out_rows(spark, text_rows):
     assert {r.score for r in quality_net.score_documents(text_rows, empty).collect()} == {0.5}
 
 
-def test_models_sum_to_one():
+def test_models_sum_to_one(spark):
     """After every context the probabilities of all characters add up to one but for what is left for unseen ones."""
     words = {"en": ["the", "then", "hat", "that"], "de": ["der", "die", "das"]}
-    counts = {}
-    for lang, ws in words.items():
-        for w in ws:
-            for s in langid.sequences(w):
-                counts[lang, s] = counts.get((lang, s), 0) + 1
-    m = langid.estimate([(a, b, n) for (a, b), n in counts.items()])
+    m = langid.estimate(spark.createDataFrame([(lang, s, 1) for lang, ws in words.items() for w in ws for s in langid.sequences(w)], "lang string, seq string, n long").groupBy("lang", "seq").agg(F.sum("n").alias("n")))
     alphabet = sorted({c for ws in words.values() for w in ws for c in w} | {langid._END})
     for prefix in ("", "t", "th", "d", "x"):
         total = np.zeros(2)
@@ -135,6 +131,55 @@ def test_models_sum_to_one():
         assert np.all(total <= want * 1.001) and np.all(total > want * 0.9)
 
 
+def kneser_ney(words, order=langid.ORDER, d=langid.DISCOUNT):
+    """{language: probability of a character after a history} by the definition, from the words' places and sets of left neighbours."""
+    alphabets, models = set(), {}
+    for lang, ws in words.items():
+        grams = Counter()
+        for w in ws:
+            x = langid._START + w + langid._END
+            for i in range(1, len(x)):
+                grams[x[max(0, i - order + 1) : i + 1]] += 1
+        n = Counter(grams)  # what a context of k characters saw next; left neighbours are counted once each
+        for k in range(order, 1, -1):
+            for g in [g for g in n if len(g) == k]:
+                n[g[1:]] += 1
+        models[lang] = n
+        alphabets |= {g for g in n if len(g) == 1}
+    floor = 1 / (len(alphabets) + 1)
+
+    def p(lang, history, c):
+        n = models[lang]
+        after = {g: x for g, x in n.items() if len(g) == len(history) + 1 and g[:-1] == history}
+        low = p(lang, history[1:], c) if history else floor
+        if not after:
+            return low
+        total = sum(after.values())
+        return max(after.get(history + c, 0) - d, 0) / total + d * len(after) / total * low
+
+    def word(lang, w):
+        x = langid._START + w + langid._END
+        return sum(np.log(p(lang, x[max(0, i - order + 1) : i], x[i])) for i in range(1, len(x)))
+
+    return word
+
+
+def test_models_are_kneser_ney(spark):
+    """Scores of seen and unseen words, with unseen characters, are those of the definition."""
+    rng = np.random.default_rng(4)
+    words = {"en": ["the", "then", "that", "hat", "ate", "naïve"], "de": ["der", "die", "das", "dann", "hatte"], "xx": ["".join(rng.choice(list("abcde"), 4)) for _ in range(30)]}
+    docs = spark.createDataFrame([(i, " ".join(ws), lang) for i, (lang, ws) in enumerate(words.items())], "doc_id long, text string, lang string")
+    m = langid.estimate(langid.sequence_counts(docs, "text", "lang"))
+    want = kneser_ney(words)
+    asked = ["the", "hatten", "abcde", "zzz", "", "d", "thenat", "çava", "bbbbbbbb", "naïv"]
+    assert m.langs == sorted(words) and np.allclose(langid.score_words(asked, m), [[want(g, w) for g in m.langs] for w in asked], atol=1e-4)
+
+
+def test_letters():
+    """Fractions, superscripts, circled digits and digits are no letters."""
+    assert langid.words_of("½ ² ① 12 _ x²y ab1cd Éa٣b") == ["x", "y", "ab", "cd", "éa", "b"] and langid.words_of(None) == langid.words_of("½ ² ①") == []
+
+
 def prefix_score(word, m):
     return langid.score_words([word], m)[0] - end_share(word, m)
 
