@@ -78,6 +78,12 @@ def deletion_progress(batches: DataFrame, jobs: DataFrame) -> DataFrame:
     return both.withColumns(zero).select("job_id", *zero, (F.coalesce("n", F.lit(0)) == F.col("n_batches")).alias("complete"))
 
 
-def purge(src: DataFrame, decisions: DataFrame, key: str, out: str) -> None:
-    """A new version of the source without the deleted rows; an existing path is refused, the old version is not touched."""
+def purge(src: DataFrame, decisions: DataFrame, key: str, out: str, allowed: DataFrame, job_id: str) -> None:
+    """A new version of the source without the deleted rows; an existing path is refused, the old version is not touched.
+
+    allowed is authorize_delete()'s frame: without exactly one row of this job that allows it, nothing is written.
+    """
+    rows = allowed.where(F.col("job_id") == job_id).select("allowed").limit(2).collect()
+    if [r.allowed for r in rows] != [True]:
+        raise PermissionError(f"{job_id}: no current authorisation to delete")
     survivors(src, decisions, key).write.mode("errorifexists").parquet(out)

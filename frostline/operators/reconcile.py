@@ -87,6 +87,18 @@ def fk_orphans(child: DataFrame, parent: DataFrame, child_cols: list[str], paren
     return child.na.drop("any", subset=child_cols).join(keys, same, "left_anti")
 
 
+def source_report(checked: DataFrame, job: DataFrame, started_ms: int, finished_ms: int) -> DataFrame:
+    """One row as authorize_delete() takes it, from reconcile() over the archived keys; job is one row with job_id and digest."""
+    bad = (F.col("status") != MATCH).cast("long")
+    rows = checked.select(F.lit(1).cast("long").alias("n"), bad.alias("bad"), *(F.lit(None).cast("string").alias(c) for c in ("job_id", "digest")))
+    own = job.select(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("bad"), F.col("job_id").cast("string"), "digest")
+    both = rows.unionByName(own).agg(F.sum("n").alias("n_rows"), F.sum("bad").alias("source_mismatches"), F.max("job_id").alias("job_id"), F.max("digest").alias("digest"))
+    return both.select(
+        "job_id", F.lit(started_ms).alias("started"), F.lit(finished_ms).alias("finished"), F.when(F.col("source_mismatches") == 0, "passed").otherwise("mismatch").alias("status"),
+        "n_rows", F.col("n_rows").alias("lookups"), "source_mismatches", F.lit(0).alias("serving_mismatches"), "digest",
+    )
+
+
 def authorize_delete(jobs: DataFrame, reports: DataFrame, now_ms: int, max_age_ms: int) -> DataFrame:
     """(job_id, group_id, allowed): the job's latest report passed, covers all its rows (more than none) and its manifest, found
     nothing wrong and is young enough; a job of a group only if all members are so.

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import time
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frostline.operators.purge import plan_delete, survivors
-from frostline.operators.reconcile import reconcile
+from frostline.operators.purge import blocked_parents, plan_delete, purge, survivors
+from frostline.operators.reconcile import authorize_delete, reconcile, source_report
 from frostline.operators.select import assign_batches, eligible, select_group
+from frostline.plans.lineage import cut
 from frostline.plans.model import ForeignKey, Plan, Policy, group_order
-from frostline.sources.archive import read_archive, verify_archive, write_archive
+from frostline.sources.archive import read_archive, read_manifest, verify_archive, write_archive
 
 
 def may_run(jobs: DataFrame) -> DataFrame:
@@ -28,31 +30,77 @@ def _archived(rows: DataFrame, job: str, uri: str, key: str, batch: int) -> Data
     return read_archive(spark, uri)
 
 
-def run_cycle(spark: SparkSession, source: str, lake: str, policy: Policy, as_of: datetime, cycle: int) -> str:
+MAX_REPORT_AGE_MS = 3_600_000
+
+
+def require_ready(jobs: DataFrame | None, policy: str) -> None:
+    """Refuses a cycle while an earlier job of the policy is unfinished, undeleted or imported; no earlier job is no hindrance."""
+    if jobs is not None and not may_run(jobs.where(F.col("policy") == policy)).where("not ready").isEmpty():
+        raise PermissionError(f"{policy}: an earlier job is not finished and deleted")
+
+
+def _report(src: DataFrame, arc: DataFrame, uri: str, job: str, key: str, columns: list[str], started: int) -> tuple[DataFrame, DataFrame]:
+    """(job, report), one row each, as authorize_delete() takes them: source and archive compared value by value over the archived keys."""
+    spark = arc.sparkSession
+    now = src.join(arc.select(key), key, "left_semi")
+    checked = cut(reconcile(now, arc, key, columns))
+    manifest = read_manifest(spark, uri).where("batch_seq is not null")
+    digest = manifest.agg(F.sum("n_rows").alias("n_rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("batch_seq", "digest"))), lambda x: x["digest"]), "\n"), 256).alias("digest"))
+    job_row = cut(digest.select(F.lit(job).alias("job_id"), F.lit(None).cast("string").alias("group_id"), "n_rows", "digest"))
+    return job_row, cut(source_report(checked, job_row, started, int(time.time() * 1000)))
+
+
+def run_cycle(spark: SparkSession, source: str, lake: str, policy: Policy, as_of: datetime, cycle: int, jobs: DataFrame | None = None) -> str:
     """Archives the policy's old rows of the table at source, verifies and compares them, and writes the table's next version; returns its path.
 
-    The whole table is read again each time, so rows that came late or with an old date are caught by the next cycle.
+    The whole table is read again each time, so rows that came late or with an old date are caught by the next cycle. jobs (policy, status, deleted, imported)
+    are the policy's earlier jobs, all of which must be done; rows are deleted only by the authorisation that this cycle's own report earns.
     """
+    require_ready(jobs, policy.name)
+    started = int(time.time() * 1000)
     src = spark.read.parquet(source)
-    job = f"{policy.name}-{cycle}"
-    arc = _archived(eligible(src, Plan.freeze(policy, as_of)), job, f"{lake}/{job}", policy.key, policy.batch_size)
-    checked = reconcile(src.join(arc.select(policy.key), policy.key, "left_semi"), arc, policy.key, src.columns)
-    if not checked.where("status <> 'match'").isEmpty():
-        raise ValueError(f"{job}: source and archive differ")
+    job, uri = f"{policy.name}-{cycle}", f"{lake}/{policy.name}-{cycle}"
+    arc = _archived(eligible(src, Plan.freeze(policy, as_of)), job, uri, policy.key, policy.batch_size)
     out = f"{lake}/{policy.table}-v{cycle}"
-    survivors(src, plan_delete(arc, src, policy.key, src.columns), policy.key).write.mode("errorifexists").parquet(out)
+    if arc.isEmpty():  # nothing was old enough, so there is nothing to authorise
+        src.write.mode("errorifexists").parquet(out)
+        return out
+    job_row, report = _report(src, arc, uri, job, policy.key, src.columns, started)
+    allowed = authorize_delete(job_row, report, int(time.time() * 1000), MAX_REPORT_AGE_MS)
+    purge(src, plan_delete(arc, src, policy.key, src.columns), policy.key, out, allowed, job)
     return out
 
 
-def run_group_cycle(spark: SparkSession, sources: dict[str, str], keys: dict[str, str], lake: str, policy: Policy, fks: list[ForeignKey], as_of: datetime, cycle: int) -> dict[str, str]:
-    """run_cycle over a group: parents are archived first, all archives verified before any row is deleted, children deleted first."""
+def run_group_cycle(spark: SparkSession, sources: dict[str, str], keys: dict[str, str], lake: str, policy: Policy, fks: list[ForeignKey], as_of: datetime, cycle: int, jobs: DataFrame | None = None) -> dict[str, str]:
+    """run_cycle over a group: parents are archived first; all members are verified, compared and planned before any row is deleted, children first.
+
+    One member that is not authorised keeps all. So does a parent to be deleted at which a child would still point that stays.
+    """
+    require_ready(jobs, policy.name)
+    started = int(time.time() * 1000)
     tables = {t: spark.read.parquet(p) for t, p in sources.items()}
     order = group_order(list(tables), fks)
     picked = select_group(tables, policy, fks, as_of)
-    arcs = {t: _archived(picked[t], f"{policy.name}-{t}-{cycle}", f"{lake}/{policy.name}-{t}-{cycle}", keys[t], policy.batch_size) for t in order}
+    names = {t: f"{policy.name}-{t}-{cycle}" for t in order}
+    arcs = {t: _archived(picked[t], names[t], f"{lake}/{names[t]}", keys[t], policy.batch_size) for t in order}
+    full = [t for t in order if not arcs[t].isEmpty()]
+    allowed = None
+    for t in full:
+        job_row, report = _report(tables[t], arcs[t], f"{lake}/{names[t]}", names[t], keys[t], tables[t].columns, started)
+        rows = [job_row.withColumn("group_id", F.lit(policy.name)), report]
+        allowed = rows if allowed is None else [x.unionByName(y) for x, y in zip(allowed, rows)]
+    allowed = cut(authorize_delete(*allowed, int(time.time() * 1000), MAX_REPORT_AGE_MS)) if allowed else None
+    decisions = {t: cut(plan_delete(arcs[t], tables[t], keys[t], tables[t].columns)) for t in order}
+    for t in order:
+        gone = tables[t].join(decisions[t].where("decision = 'delete'").select(keys[t]), keys[t], "left_semi")
+        children = [(survivors(tables[k.child], decisions[k.child], keys[k.child]), k) for k in fks if k.parent == t]
+        if children and not blocked_parents(gone, children).isEmpty():
+            raise PermissionError(f"{names[t]}: rows that stay point at rows to be deleted")
     out = {}
     for t in reversed(order):
-        decisions = plan_delete(arcs[t], tables[t], keys[t], tables[t].columns)
         out[t] = f"{lake}/{t}-v{cycle}"
-        survivors(tables[t], decisions, keys[t]).write.mode("errorifexists").parquet(out[t])
+        if t in full:
+            purge(tables[t], decisions[t], keys[t], out[t], allowed, names[t])
+        else:
+            tables[t].write.mode("errorifexists").parquet(out[t])
     return out

@@ -7,7 +7,6 @@ every 19th is there twice and every 23rd has another price. Times are literals,
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from datetime import datetime
@@ -53,8 +52,7 @@ def okey():
 def scratch(spark: SparkSession) -> str:
     """A new folder under the shared checkpoint folder."""
     ensure_checkpoint_dir(spark)
-    top = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return f"{top.get() if top.isDefined() else tempfile.mkdtemp()}/frostline-{uuid.uuid4().hex}"
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/frostline-{uuid.uuid4().hex}"
 
 
 def archived_orders(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frostline.operators import gates, purge, reconcile
+from frostline.plans.lineage import cut
 from frostline.queries.common import (
     ARC_SQL, COLUMNS, CUT, NOW_SQL, PLAN, SAME_SQL, SERVING_SQL, archived_orders, current_orders, query, scratch, serving_orders, table,
 )
@@ -42,16 +43,27 @@ def reconcile_serving(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.reconcile_serving(arc, serving_orders(arc), "o_orderkey", COLUMNS)
 
 
-@query(f"""WITH {ARC_SQL}, {NOW_SQL}, {RECONCILED}, {SERVING_SQL}, {SERVED} SELECT count(*) FILTER (status <> 'extra_in_source') AS n_rows,
-  count(DISTINCT CASE WHEN status <> 'extra_in_source' THEN batch_seq END) AS n_batches,
+@query(f"""WITH {ARC_SQL}, {NOW_SQL}, {RECONCILED}, {SERVING_SQL}, {SERVED}, n AS (SELECT count(*) AS n_rows, max(batch_seq) AS n_batches FROM arc)
+SELECT 'changed' AS trial, count(*) FILTER (status <> 'extra_in_source') AS n_rows, count(DISTINCT CASE WHEN status <> 'extra_in_source' THEN batch_seq END) AS n_batches,
   count(DISTINCT CASE WHEN status IN ('changed', 'missing_in_source') THEN batch_seq END) + CASE WHEN count(*) FILTER (status = 'extra_in_source') > 0 THEN 1 ELSE 0 END AS source_mismatches,
-  (SELECT count(*) FROM ser WHERE status <> 'match') AS serving_mismatches, 'mismatch' AS status FROM rec""")
+  (SELECT count(*) FROM ser WHERE status <> 'match') AS serving_mismatches,
+  CASE WHEN (SELECT count(*) FROM rec WHERE status <> 'match') + (SELECT count(*) FROM ser WHERE status <> 'match') > 0 THEN 'mismatch' ELSE 'passed' END AS status FROM rec
+UNION ALL SELECT 'same', n_rows, n_batches, 0, 0, 'passed' FROM n UNION ALL SELECT 'short', n_rows, n_batches, 0, 0, CASE WHEN n_batches < n_batches + 1 THEN 'incomplete' END FROM n""")
 def shadow_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three trials: source and serving as they are now, both as they were exported, and the latter with a batch that never came."""
     arc, source = reconciled(spark, sf_dir)
-    serving = reconcile.reconcile_serving(arc, serving_orders(arc), "o_orderkey", COLUMNS)
+    arc = cut(arc)
+    served = lambda s: reconcile.reconcile_serving(arc, s, "o_orderkey", COLUMNS)
     n = arc.agg(F.max("batch_seq")).first()[0]
-    out = reconcile.shadow_report(source, serving, arc, n)
-    return out.select(*(F.col(c).cast("long").alias(c) for c in out.columns[:-1]), "status")
+    own = arc.select("o_orderkey", *COLUMNS)
+    exported = reconcile.reconcile(table(spark, sf_dir, "orders").join(arc.select("o_orderkey"), "o_orderkey", "left_semi"), arc, "o_orderkey", COLUMNS)
+    trials = [("changed", source, served(serving_orders(arc)), n), ("same", exported, served(own), n), ("short", exported, served(own), n + 1)]
+    out = None
+    for name, src, srv, expected in trials:
+        one = reconcile.shadow_report(src, srv, arc, expected)
+        one = one.select(F.lit(name).alias("trial"), *(F.col(c).cast("long").alias(c) for c in one.columns[:-1]), "status")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def late_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,10 +124,40 @@ def survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {ARC_SQL}, {NOW_SQL}, {LIVE} SELECT o_orderkey, o_totalprice FROM src WHERE o_orderkey NOT IN (SELECT o_orderkey FROM dec WHERE decision = 'delete')")
 def purge_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch(spark)
-    purge.purge(current_orders(spark, sf_dir), delete_live(spark, sf_dir), "o_orderkey", out)
+    purge.purge(current_orders(spark, sf_dir), delete_live(spark, sf_dir), "o_orderkey", out, authorisations(spark, sf_dir), "exported")
     return spark.read.parquet(out).select("o_orderkey", "o_totalprice")
 
 
+def authorisations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two jobs of the same archive: one compared with the orders that were exported, one with the orders as they are now, which differ."""
+    arc = cut(archived_orders(spark, sf_dir))
+    own = arc.agg(F.count("*").alias("n_rows"), F.sha2(F.sum(F.xxhash64("o_orderkey", *COLUMNS).cast("decimal(38,0)")).cast("string"), 256).alias("digest"))
+    jobs, reports = None, None
+    for name, src in (("exported", table(spark, sf_dir, "orders")), ("drifted", current_orders(spark, sf_dir))):
+        job = own.select(F.lit(name).alias("job_id"), F.lit(None).cast("string").alias("group_id"), "n_rows", "digest")
+        checked = reconcile.reconcile(src.join(arc.select("o_orderkey"), "o_orderkey", "left_semi"), arc, "o_orderkey", COLUMNS)
+        report = reconcile.source_report(checked, job, 4000, 4500)
+        jobs, reports = (job, report) if jobs is None else (jobs.unionByName(job), reports.unionByName(report))
+    return reconcile.authorize_delete(jobs, reports, 4800, 900)
+
+
+@query(f"""WITH {ARC_SQL}, {NOW_SQL}, {LIVE} SELECT 'exported' AS job_id, 'purged' AS outcome, count(*) AS n_left FROM src WHERE o_orderkey NOT IN (SELECT o_orderkey FROM dec WHERE decision = 'delete')
+UNION ALL SELECT 'drifted', 'refused', count(*) FROM src""")
+def guarded_deletion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each job tries to delete; what it may not delete stays."""
+    src, decisions, allowed, rows = current_orders(spark, sf_dir), cut(delete_live(spark, sf_dir)), authorisations(spark, sf_dir), None
+    for job in ("exported", "drifted"):
+        out = scratch(spark)
+        try:
+            purge.purge(src, decisions, "o_orderkey", out, allowed, job)
+            left, outcome = spark.read.parquet(out), "purged"
+        except PermissionError:
+            left, outcome = src, "refused"
+        one = left.agg(F.lit(job).alias("job_id"), F.lit(outcome).alias("outcome"), F.count("*").alias("n_left"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
 @query("""SELECT event_id AS key, CASE WHEN event_id % 11 = 0 THEN 'absent' ELSE 'delete' END AS decision, event_id // 100 + 1 AS batch_seq FROM events WHERE event_id // 100 + 1 < 8
   UNION ALL SELECT event_id, 'kept', event_id // 100 + 1 FROM events WHERE event_id // 100 + 1 >= 8""")
 def delete_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

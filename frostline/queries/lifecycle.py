@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,9 +33,21 @@ def archive_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.read_manifest(spark, written(spark, sf_dir)).where("batch_seq is not null").select("batch_seq", "n_rows", "first_key", "last_key")
 
 
-@query("SELECT 'x' AS rule, 'x' AS entity, 'x' AS detail FROM orders WHERE false")
+@query(f"""WITH {ARC_SQL}, last AS (SELECT max(batch_seq) AS b FROM arc), n AS (SELECT batch_seq, count(*) AS n FROM arc GROUP BY batch_seq)
+SELECT 'whole' AS archive, NULL AS rule, 0 AS n UNION ALL SELECT 'damaged', 'file_foreign', 1 UNION ALL SELECT 'damaged', 'batch_n_rows', 1 FROM last UNION ALL SELECT 'damaged', 'batch_foreign', 1""")
 def archive_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive.verify_archive(spark, written(spark, sf_dir), "o_orderkey")
+    """What is wrong with a whole archive, and with one to which a foreign file has brought a copy of each row of the first batch and a batch of its own."""
+    whole, damaged = written(spark, sf_dir), written(spark, sf_dir)
+    first = archived_orders(spark, sf_dir).where("batch_seq = 1")
+    extra = first.unionByName(first.withColumn("batch_seq", F.lit(10**9).cast("long"))).coalesce(1)
+    extra.select(spark.read.parquet(f"{damaged}/data").columns).write.mode("append").parquet(f"{damaged}/data")
+    out = None
+    for name, uri in (("whole", whole), ("damaged", damaged)):
+        found = archive.verify_archive(spark, uri, "o_orderkey").groupBy("rule").agg(F.count("*").alias("n"))
+        every = found if name == "damaged" else found.agg(F.max("rule").alias("rule"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+        one = every.select(F.lit(name).alias("archive"), "rule", F.col("n").cast("long").alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query(f"WITH {ARC_SQL} SELECT 'orders-1' AS job_id, count(*) AS n_rows, 'unauthenticated' AS basis FROM arc")
@@ -106,6 +120,24 @@ def cycle_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cycles.may_run(jobs)
 
 
+@query(f"""WITH p AS (SELECT o_orderpriority AS policy, bool_and(o_orderstatus <> 'P' OR o_orderkey % 4 <> 0 OR o_orderpriority <> '5-LOW') AS ready FROM orders GROUP BY o_orderpriority)
+SELECT policy, CASE WHEN ready THEN 'ran' ELSE 'refused' END AS outcome, CASE WHEN ready THEN (SELECT count(*) FROM orders WHERE NOT o_orderdate < {CUT}) ELSE (SELECT count(*) FROM orders) END AS n_left
+FROM p WHERE policy IN ('1-URGENT', '5-LOW')""")
+def gated_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cycle of a policy whose earlier jobs are done, and one of a policy that has an unfinished job."""
+    bad = (F.col("o_orderstatus") == "P") & (okey() % 4 == 0) & (F.col("o_orderpriority") == "5-LOW")
+    jobs = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("policy"), F.when(bad, "running").otherwise("completed").alias("status"), F.lit(True).alias("deleted"), F.lit(False).alias("imported"))
+    source, out = f"{sf_dir}/orders.parquet", None
+    for name in ("1-URGENT", "5-LOW"):
+        try:
+            path, outcome = cycles.run_cycle(spark, source, scratch(spark), replace(ORDERS, name=name), AS_OF, 1, jobs), "ran"
+        except PermissionError:
+            path, outcome = source, "refused"
+        one = spark.read.parquet(path).agg(F.lit(name).alias("policy"), F.lit(outcome).alias("outcome"), F.count("*").alias("n_left"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def status_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = F.col("event_type") == "error"
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.lit("job").alias("kind"), F.col("user_id").cast("string").alias("entity"), failed.alias("failed"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("created"))
@@ -234,9 +266,9 @@ POLICY = {"window": (1200, 300), "max_age_ms": 3_600_000, "limits": {"cpu": 80.0
 @query("""WITH s AS (SELECT user_id % 5 AS source, epoch_us(ts) // 1000 AS ts, CASE WHEN event_id % 17 <> 0 THEN value END AS cpu, CAST(event_id % 100 AS DOUBLE) AS lag FROM events WHERE event_type <> 'error'),
 c AS (SELECT user_id % 5 AS source, epoch_us(ts) // 1000 AS ts FROM events WHERE event_type = 'error'),
 m AS (SELECT c.source, c.ts, s.ts AS st, s.cpu, s.lag FROM c ASOF LEFT JOIN s ON c.source = s.source AND c.ts >= s.ts),
-r AS (SELECT *, CASE WHEN NOT ((ts // 60000) % 1440 >= 1200 OR (ts // 60000) % 1440 < 300) THEN 'outside UTC operating window' WHEN st IS NULL THEN 'monitoring sample unavailable'
-  WHEN ts - st > 3600000 THEN 'monitoring sample stale or from future' WHEN cpu IS NULL THEN 'required metric unavailable' WHEN cpu < 0 OR cpu >= 80 THEN 'production metric reached limit'
-  WHEN lag >= 90 THEN 'production metric reached limit' END AS why FROM m)
+r AS (SELECT *, CASE WHEN NOT ((ts // 60000) % 1440 >= 1200 OR (ts // 60000) % 1440 < 300) THEN 'window' WHEN st IS NULL THEN 'sample_missing'
+  WHEN ts - st > 3600000 THEN 'sample_age' WHEN cpu IS NULL THEN 'metric_missing' WHEN cpu < 0 OR cpu >= 80 THEN 'metric_limit'
+  WHEN lag >= 90 THEN 'metric_limit' END AS why FROM m)
 SELECT source, ts, why IS NULL AS allowed, coalesce(why, 'admitted') AS reason,
   CASE WHEN why IS NULL THEN 10 + CAST(floor(1000.0::DOUBLE * greatest(0.0, cpu / 80, lag / 90) * greatest(0.0, cpu / 80, lag / 90)) AS BIGINT) ELSE 0 END AS delay_ms FROM r""")
 def admission_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:

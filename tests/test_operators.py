@@ -120,9 +120,22 @@ def test_admission(spark):
     checks = spark.createDataFrame([("a", t) for t in (500, 1000, 1101, 2050, 3000)] + [("b", 1000)], "source string, ts long")
     got = {(r.source, r.ts): (r.reason, r.delay_ms) for r in reports.admission(checks, samples, policy).collect()}
     assert got[("a", 1000)] == ("admitted", 250)
-    assert got[("a", 500)][0] == got[("b", 1000)][0] == "monitoring sample unavailable"
-    assert got[("a", 1101)][0] == "monitoring sample stale or from future"
-    assert got[("a", 2050)][0] == "production metric reached limit" and got[("a", 3000)][0] == "required metric unavailable"
+    assert got[("a", 500)][0] == got[("b", 1000)][0] == "sample_missing"
+    assert got[("a", 1101)][0] == "sample_age"
+    assert got[("a", 2050)][0] == "metric_limit" and got[("a", 3000)][0] == "metric_missing"
+
+
+def test_admission_over_buckets(spark, monkeypatch):
+    """The as-of sample is the same whatever the time that makes a group, for a busy source, ties and a null source."""
+    rows = [(s, t * 37 % 5000, float(t % 60)) for t in range(400) for s in ("busy", None)] + [("busy", 100, 3.0), ("busy", 100, 4.0)]
+    samples = spark.createDataFrame(rows, "source string, ts long, cpu double")
+    checks = spark.createDataFrame([(s, t) for t in range(0, 6000, 50) for s in ("busy", None, "other")], "source string, ts long")
+    policy = {"window": None, "max_age_ms": 900, "limits": {"cpu": 50.0}, "min_delay_ms": 0, "max_delay_ms": 1000}
+    got = []
+    for ms in (10, 1000, 10**9):
+        monkeypatch.setattr(reports, "BUCKET_MS", ms)
+        got.append(sorted(map(str, reports.admission(checks, samples, policy).collect())))
+    assert got[0] == got[1] == got[2] and len(got[0]) == 360
 
 
 def test_chunks(spark):
