@@ -17,6 +17,7 @@
 from __future__ import annotations
 
 from fractions import Fraction
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ SIMILARITY = 0.8
 #: Different shingles at anchors from which on a line is sketched by its anchors, and up to which it is sketched by all shingles.
 ANCHORED, DENSE = 14, 24
 #: 64-bit words of a parity bitmap.
-PARITY = 8
+PARITY = 32
 #: Bits of the filter that picks candidates' texts: 1 MB whatever the corpus; more candidates let more other texts through.
 FILTER_BITS = 23
 _WORD = r"[^\x20\x09-\x0D]"
@@ -50,11 +51,13 @@ def shingle_hashes(line: Column, size: int = SHINGLE) -> Column:
     hashes = lambda p: F.transform(  # noqa: E731  two bytes a character: a shingle is a slice
         F.sequence(F.lit(1), F.greatest(F.octet_length(p) - (2 * size - 1), F.lit(1)), F.lit(2)), lambda i: F.xxhash64(F.substring(p, i, 2 * size))
     )
+    # bound to a variable, the bytes are not copied out of the row for every shingle
     return once(F.encode(line, "UTF-16BE"), hashes)
 
 
-def shingle_set(line: Column) -> Column:
-    return F.array_distinct(shingle_hashes(line))
+def with_shingle_set(df: DataFrame, line: str, out: str) -> DataFrame:
+    """df with the different hashes of a line's shingles in place of the line."""
+    return df.withColumn(out, F.array_distinct(shingle_hashes(F.col(line)))).drop(line)
 
 
 def anchored(line: Column, size: int = SHINGLE) -> Column:
@@ -64,48 +67,49 @@ def anchored(line: Column, size: int = SHINGLE) -> Column:
 
 
 def sketch(hashes: Column) -> Column:
-    """The SKETCH least different hashes, in order; repeats are looked for beyond the first ones only where these are too many."""
+    """The SKETCH least different hashes, in order."""
+    return F.slice(F.array_distinct(F.sort_array(hashes)), 1, SKETCH)
 
-    def least(h: Column) -> Column:
-        return once(F.array_distinct(F.slice(h, 1, 2 * SKETCH)), lambda d: F.when((F.size(d) < SKETCH) & (F.size(h) > 2 * SKETCH), F.array_distinct(h)).otherwise(d))
 
-    return F.slice(once(F.sort_array(hashes), least), 1, SKETCH)
-
-
-def _runs(h: Column, starts: Column) -> Column:
-    """The hashes of ROWS neighbours from each start on; a sketch that is a whole set is a ring."""
-    ring = F.when(F.size(h) < SKETCH, F.concat(h, F.slice(h, 1, ROWS - 1))).otherwise(h)
-    return once(ring, lambda r: F.transform(starts, lambda i: F.xxhash64(F.slice(r, i, ROWS))))
-
-
-def bands(least: Column) -> Column:
-    """The bands of a sketch.
+def _with_bands(df: DataFrame, least: str, out: str) -> DataFrame:
+    """df with the bands of the sketch in column least, none where it is null.
 
     Sets of c common and d other hashes have at most d runs on the ring, one of c / d at least: with every start, all
-    pairs of similarity ROWS / (ROWS + 1) and more meet.
+    pairs of similarity ROWS / (ROWS + 1) and more meet. Every step is a column of its own, so that none is computed twice.
     """
-    starts = lambda h, mask: F.filter(F.sequence(F.lit(1), F.size(h)), lambda i: F.get(h, i - 1).bitwiseAND(F.lit(mask)) == 0)
+    h, ring = F.col(least), F.col("_ring")
 
-    def fewer(h: Column) -> Column:
-        every = F.when(F.size(h) < ROWS, F.array(F.xxhash64(h))).otherwise(_runs(h, F.sequence(F.lit(1), F.size(h))))
-        return once(starts(h, 1), lambda s: F.when(F.size(s) >= EVEN_BANDS, _runs(h, F.slice(s, 1, EVEN_BANDS))).otherwise(every))
+    def runs(mask: int) -> Column:
+        """What ROWS neighbours from each hash on make whose masked bits are 0."""
+        mixed = lambda i: reduce(lambda x, k: x.bitwiseXOR(F.shiftleft(F.get(ring, i + k), 7 * k)), range(1, ROWS), F.get(ring, i))
+        return F.array_compact(F.transform(h, lambda x, i: F.when(x.bitwiseAND(F.lit(mask)) == 0, mixed(i))))
 
-    many = lambda h: once(starts(h, 3), lambda s: F.when(F.size(s) >= BANDS, _runs(h, F.slice(s, 1, BANDS))).otherwise(fewer(h)))
-    return once(least, many)
+    # a sketch that is a whole set is a ring; the last hashes of a longer one start no run
+    df = df.withColumn("_ring", F.when(F.size(h) < SKETCH, F.concat(h, F.slice(h, 1, ROWS - 1))).otherwise(h))
+    df = df.withColumn("_runs", runs(3)).withColumn("_more", F.when(F.size("_runs") < BANDS, runs(1)))
+    every = F.when(F.size(h) < ROWS, F.array(F.xxhash64(h))).otherwise(runs(0))
+    fewer = F.when(F.size("_more") >= EVEN_BANDS, F.slice("_more", 1, EVEN_BANDS)).otherwise(every)
+    found = F.when(F.size("_runs") >= BANDS, F.slice("_runs", 1, BANDS)).when(h.isNotNull(), fewer)
+    return df.withColumn(out, F.coalesce(found, F.array().cast("array<bigint>"))).drop("_ring", "_runs", "_more")
 
 
-def line_bands(line: Column) -> Column:
-    none = F.array().cast("array<bigint>")
-    by_anchor = lambda k: F.when(F.size(k) >= ANCHORED, bands(k)).otherwise(none)
-    by_all = lambda k: F.when(F.size(k) < DENSE, bands(sketch(shingle_hashes(line)))).otherwise(none)
-    return once(sketch(F.transform(anchored(line), lambda x: F.xxhash64(x))), lambda k: F.concat(by_anchor(k), by_all(k)))
+def with_line_bands(lines: DataFrame) -> DataFrame:
+    """lines with bands in place of line."""
+    df = lines.withColumn("_anchors", sketch(F.transform(anchored(F.col("line")), lambda x: F.xxhash64(x))))
+    df = df.withColumns({
+        "_few": F.when(F.size("_anchors") >= ANCHORED, F.col("_anchors")),
+        "_all": sketch(F.when(F.size("_anchors") < DENSE, shingle_hashes(F.col("line")))),
+    }).drop("line", "_anchors")
+    df = _with_bands(_with_bands(df, "_few", "_b1"), "_all", "_b2")
+    return df.withColumn("bands", F.concat("_b1", "_b2")).drop("_few", "_all", "_b1", "_b2")
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, doc_key, line_no, line) of the lines that have a word; doc_key is a hash of the text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("doc_key"), F.split(text, "\n").alias("lines"))
-    exploded = keyed.select("doc_id", "doc_key", F.posexplode("lines").alias("line_no", "line"))
+    # a split has one part at least; the outer form keeps the optimizer from splitting once more to test that
+    exploded = keyed.select("doc_id", "doc_key", F.posexplode_outer("lines").alias("line_no", "line"))
     return exploded.where(F.col("line").rlike(_WORD))
 
 
@@ -113,7 +117,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, doc_key, line_no, h1, h2, bands) of every line that has a word."""
     line = F.col("line")
     ids = F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("second"), line).alias("h2")
-    return lines_of(docs, id_col, text_col).select("doc_id", "doc_key", "line_no", *ids, line_bands(line).alias("bands"))
+    return with_line_bands(lines_of(docs, id_col, text_col).select("doc_id", "doc_key", "line_no", *ids, "line"))
 
 
 def _place(lines: DataFrame) -> Column:
@@ -130,7 +134,7 @@ def _bitmap(ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
     words = ids.select(F.shiftright(slot, 6).alias("id"), bit.alias("bit")).groupBy("id").agg(F.bit_or("bit").alias("set"))
     every = ids.sparkSession.range(1 << (bits - 6)).join(words, "id", "left").select(F.struct("id", F.coalesce("set", F.lit(0)).alias("set")).alias("w"))
-    return every.agg(F.transform(F.array_sort(F.collect_list("w")), lambda w: w["set"]).alias("bits"))
+    return every.agg(F.transform(F.sort_array(F.collect_list("w")), lambda w: w["set"]).alias("bits"))
 
 
 def _may_be_in(h: Column, wanted: DataFrame) -> Column:
@@ -152,17 +156,17 @@ def _texts(docs: DataFrame, id_col: str, text_col: str, lines: DataFrame, wanted
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) whose lines' shingle sets have that Jaccard similarity."""
     a, b = (texts.select(F.col("h1").alias(x), F.col("line").alias(f"line_{x}")) for x in "ab")
-    both = pairs.join(a, "a").join(b, "b")
-    sets = F.struct(shingle_set(F.col("line_a")).alias("x"), shingle_set(F.col("line_b")).alias("y"))
+    both = with_shingle_set(with_shingle_set(pairs.join(a, "a").join(b, "b"), "line_a", "x"), "line_b", "y")
     share = Fraction(similarity).limit_denominator(1000)
     # c / (x + y - c) >= share, in whole numbers
-    like = lambda p: F.size(F.array_intersect(p["x"], p["y"])) * (share.numerator + share.denominator) >= (F.size(p["x"]) + F.size(p["y"])) * share.numerator
-    return both.where(once(sets, like)).select("a", "b")
+    like = F.size(F.array_intersect("x", "y")) * (share.numerator + share.denominator) >= (F.size("x") + F.size("y")) * share.numerator
+    # an outer generator, unlike a filter, is not moved to where the sets would be made once for each mention
+    return both.select("a", "b", F.explode_outer(F.when(like, F.array(F.lit(1)))).alias("_like")).where("_like is not null").select("a", "b")
 
 
 def parities(texts: DataFrame) -> DataFrame:
     """(h1, n, x0, x1, ..): number of different shingles, and a bitmap in which each shingle flips one bit."""
-    each = texts.select("h1", F.explode(shingle_set(F.col("line"))).alias("h"))
+    each = with_shingle_set(texts.select("h1", "line"), "line", "set").select("h1", F.explode_outer("set").alias("h"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
     word = F.pmod(F.shiftright("h", 6), F.lit(PARITY))
     flips = (F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"x{k}") for k in range(PARITY))
