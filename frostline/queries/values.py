@@ -11,7 +11,48 @@ from frostline.plans.model import Column
 from frostline.queries.common import ARC_SQL, archived_orders, okey, query, table
 from frostline.sources import archive, catalog, scan
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "conversations", "pages", "benchmark")
+# The test tables' columns and types.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double,"
+    " l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+TABLES = tuple(SCHEMAS)
+KEYS = {t: [c.split()[0] for c in s.split(", ")[:1]] for t, s in SCHEMAS.items()} | {"conversations": ["conv_id", "turn"], "lineitem": ["l_orderkey", "l_linenumber"]}
+
+
+def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {t: table(spark, sf_dir, t) for t in TABLES}
+
+
+def _columns_sql() -> str:
+    """(table, position, name, type, is_time, n_rows, n_nulls) of every column."""
+    each = [
+        f"SELECT '{t}' AS \"table\", {i} AS position, '{c}' AS name, '{k}' AS type, {str(k.startswith('timestamp')).lower()} AS is_time, count(*) AS n_rows, count(*) - count({c}) AS n_nulls FROM {t}"
+        for t, s in SCHEMAS.items()
+        for i, (c, k) in enumerate(x.split() for x in s.split(", "))
+    ]
+    return "col AS (" + " UNION ALL ".join(each) + ")"
+
+
+def _keys_sql() -> str:
+    each = [
+        f"SELECT '{t}' AS \"table\", '{','.join(k)}' AS key, count(*) AS n_rows, count(*) = count(DISTINCT ({', '.join(k)})) AND count(*) FILTER ({' OR '.join(f'{c} IS NULL' for c in k)}) = 0 AS uniq FROM {t}"
+        for t, k in KEYS.items()
+    ]
+    return "keys AS (" + " UNION ALL ".join(each) + ")"
 
 
 @query("""SELECT 'type' AS rule, c AS entity, n AS detail FROM (SELECT 'amount' AS c, count(*) AS n FROM orders WHERE o_orderkey % 7 = 0 UNION ALL SELECT 'flag', count(*) FROM orders
@@ -45,19 +86,30 @@ def temporal_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", codecs.temporal_text(F.col("ts"), "timestamp").alias("at"), codecs.temporal_text(F.col("ts"), "date").alias("day"))
 
 
-@query("""SELECT o_orderkey, CAST(o_orderkey::HUGEINT * 1229782938247303 - 9223372036854775808 AS BIGINT) AS token, CAST(o_orderkey::HUGEINT * 1229782938247303 AS VARCHAR) AS back FROM orders WHERE o_orderkey < 15000""")
+@query("""WITH k AS (SELECT o_orderkey, (o_orderkey::HUGEINT * 1229782938247303::HUGEINT) % 18446744073709551616::HUGEINT AS k FROM orders)
+SELECT o_orderkey, CAST(k - 9223372036854775808::HUGEINT AS BIGINT) AS token, CAST(k AS VARCHAR) AS back FROM k""")
 def unsigned_key_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    big = table(spark, sf_dir, "orders").where(okey() < 15000).select("o_orderkey", (okey().cast("decimal(20,0)") * F.lit(1229782938247303).cast("decimal(17,0)")).cast("decimal(20,0)").alias("k"))
+    """Unsigned keys over the whole range, some for every order."""
+    wide = okey().cast("decimal(20,0)") * F.lit(1229782938247303).cast("decimal(17,0)")
+    big = table(spark, sf_dir, "orders").select("o_orderkey", (wide % F.lit(str(1 << 64)).cast("decimal(20,0)")).cast("decimal(20,0)").alias("k"))
     token = big.select("o_orderkey", codecs.key_token(F.col("k")).alias("token"))
     return token.withColumn("back", codecs.key_from_token(F.col("token")).cast("string"))
 
 
-@query("""SELECT o_orderkey, o_orderkey % 4 <> 1 OR o_orderkey < 10 AND false AS canonical FROM orders""")
+@query("""SELECT o_orderkey, o_orderkey % 4 = 0 OR o_orderkey % 4 = 2 AND o_orderkey < 2000 AS canonical FROM orders""")
 def canonical_key_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.when(okey() % 4 == 1, F.concat(F.lit("0"), okey().cast("string"))).otherwise(okey().cast("string"))
+    """Keys as they are, with a leading zero, with 16 zeros behind (too long from 2000 on), and with a sign."""
+    k = okey().cast("string")
+    text = F.when(okey() % 4 == 1, F.concat(F.lit("0"), k)).when(okey() % 4 == 2, F.concat(k, F.lit("0" * 16))).when(okey() % 4 == 3, F.concat(F.lit("-"), k)).otherwise(k)
     return table(spark, sf_dir, "orders").select("o_orderkey", codecs.canonical_unsigned(text).alias("canonical"))
 
 
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, nullif(o_orderstatus, 'P') AS o_orderstatus, CAST(o_orderdate AS VARCHAR) AS o_orderdate FROM orders")
+def text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").withColumn("o_orderstatus", F.nullif(F.col("o_orderstatus"), F.lit("P")))
+    return codecs.to_text_row(o, ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"])
+
+
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN false ELSE true END AS same FROM orders""")
 def exact_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
@@ -86,12 +138,20 @@ def non_finite_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codecs.non_finite(table(spark, sf_dir, "events").select("event_id", bad.alias("value")), "event_id")
 
 
-@query()
+@query(f"""WITH {_columns_sql()} SELECT "table", sha256(string_agg(name || ':' || type || ':null', chr(10) ORDER BY position)) AS signature, any_value(n_rows) AS n_rows, CAST(sum(n_nulls) AS BIGINT) AS n_nulls
+FROM col GROUP BY "table\"""")
 def schema_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return codecs.schema_signature(catalog.discover({t: table(spark, sf_dir, t) for t in TABLES}))
+    """Each table's signature, and how many rows and nulls it holds under this schema."""
+    tables = _tables(spark, sf_dir)
+    held = catalog.column_nulls(tables).groupBy("table").agg(F.max("n_rows").alias("n_rows"), F.sum("n_nulls").alias("n_nulls"))
+    return codecs.schema_signature(catalog.discover(tables)).select("table", "signature").join(held, "table")
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT doc_id // 1000 + 1 AS batch_seq, doc_id AS key, 6 * coalesce(strlen(text), 0) + 4 + 544 AS size, row_number() OVER (PARTITION BY doc_id // 1000 ORDER BY doc_id) AS i FROM documents),
+c AS (SELECT batch_seq, key, i, 1 AS chunk, 1 AS n, size AS total FROM r WHERE i = 1 UNION ALL
+  SELECT r.batch_seq, r.key, r.i, CASE WHEN n >= 1000 OR total + size > 786432 THEN chunk + 1 ELSE chunk END, CASE WHEN n >= 1000 OR total + size > 786432 THEN 1 ELSE n + 1 END,
+    CASE WHEN n >= 1000 OR total + size > 786432 THEN size ELSE total + size END FROM c JOIN r ON r.batch_seq = c.batch_seq AND r.i = c.i + 1)
+SELECT batch_seq, key, CAST(chunk AS BIGINT) AS chunk FROM c""")
 def wide_row_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.floor(F.col("doc_id") / 1000) + 1).alias("batch_seq"))
     return reports.pack_chunks(docs, "doc_id", ["text"])
@@ -126,7 +186,7 @@ def document_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT f AS field, t AS type, count(*) AS n FROM (SELECT 'k' AS f, CASE WHEN event_id % 3 = 0 THEN 'string' ELSE 'integer' END AS t FROM events UNION ALL SELECT 'ok', 'boolean' FROM events WHERE event_id % 2 = 0) GROUP BY f, t")
 def document_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
-    v = F.when(k % 3 == 0, F.lit('"x"')).otherwise(F.get_json_object("props", "$.k"))
+    v = F.when(k % 9 == 0, F.lit('"123"')).when(k % 9 == 3, F.lit('"true"')).when(k % 9 == 6, F.lit('"{x"')).otherwise(F.get_json_object("props", "$.k"))
     raw = F.concat(F.lit('{"k":'), v, F.when(k % 2 == 0, F.lit(',"ok":true')).otherwise(""), F.lit("}"))
     return catalog.profile_document_fields(table(spark, sf_dir, "events").select(raw.alias("raw")), "raw")
 
@@ -150,28 +210,34 @@ def table_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.scan(spark, f"{sf_dir}/lineitem.parquet", ["l_orderkey", "l_quantity", "l_shipdate"]).where(F.col("l_shipdate") < F.lit("1996-01-01").cast("timestamp_ntz")).drop("l_shipdate")
 
 
-@query()
+@query(f'WITH {_columns_sql()} SELECT "table", position, name, type, true AS nullable, is_time, n_rows, n_nulls FROM col')
 def discovered_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.discover({t: table(spark, sf_dir, t) for t in TABLES})
+    """Every column of every table, and how many of its rows have no value there."""
+    tables = _tables(spark, sf_dir)
+    return catalog.discover(tables).join(catalog.column_nulls(tables), ["schema", "table", "name"]).drop("schema")
+
+
+@query(f'WITH {_keys_sql()} SELECT "table", CASE WHEN uniq THEN key ELSE \'\' END AS primary_key, n_rows FROM keys')
+def discovered_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.unique_keys(_tables(spark, sf_dir), KEYS).select("table", F.array_join("primary_key", ",").alias("primary_key"), "n_rows")
 
 
 @query()
 def table_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.table_statistics({t: table(spark, sf_dir, t) for t in TABLES})
+    return catalog.table_statistics(_tables(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {_columns_sql()}, {_keys_sql()}, t AS (SELECT "table", count(*) AS n_columns, bool_or(is_time) AS timed FROM col GROUP BY "table"),
+a AS (SELECT "table", CASE WHEN k.n_rows % 2 = 0 THEN k.n_rows * n_columns * 8 END AS total_bytes, CASE WHEN NOT uniq THEN 'missing_primary_key' END AS f1, CASE WHEN NOT timed THEN 'no_time_column' END AS f2,
+  CASE WHEN "table" = 'part' THEN 'unknown_row_estimate' END AS f3, CASE WHEN "table" = 'events' THEN 'partitioned_parent' END AS f4 FROM t JOIN keys k USING ("table"))
+SELECT CAST(row_number() OVER (ORDER BY total_bytes DESC NULLS LAST, "table") AS INTEGER) AS rank, "table", total_bytes, concat_ws(',', f1, f2, f3, f4) AS findings FROM a""")
 def archival_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = {t: table(spark, sf_dir, t) for t in TABLES}
-    known = catalog.tables_of(catalog.discover(tables))
-    rows = None
-    for t, df in tables.items():
-        n = df.agg(F.count("*").alias("estimated_rows")).select(F.lit(t).alias("table"), "estimated_rows")
-        rows = n if rows is None else rows.unionByName(n)
-    key = F.when(F.col("table") == "lineitem", F.array().cast("array<string>")).otherwise(F.slice("columns", 1, 1))
-    return reports.assess(known.join(rows, "table").select("schema", "table", key.alias("primary_key"), "time_columns", "estimated_rows", F.lit(False).alias("partitioned")), catalog.table_statistics(tables)).withColumn(
-        "findings", F.array_join("findings", ",")
-    )
+    """Keys and row counts are read from the rows; tables of an odd number of rows stand for those of unknown size, part for one without an estimate, events for a partitioned one."""
+    tables = _tables(spark, sf_dir)
+    known = catalog.tables_of(catalog.discover(tables)).join(catalog.unique_keys(tables, KEYS), ["schema", "table"])
+    rows = known.select("schema", "table", "primary_key", "time_columns", F.when(F.col("table") != "part", F.col("n_rows")).alias("estimated_rows"), (F.col("table") == "events").alias("partitioned"))
+    stats = known.select("schema", "table", F.when(F.col("n_rows") % 2 == 0, F.col("n_rows") * F.size("columns") * 8).alias("total_bytes"))
+    return reports.assess(rows, stats).select("rank", "table", "total_bytes", F.array_join("findings", ",").alias("findings"))
 
 
 @query("""WITH x AS (SELECT o_custkey AS t, CAST(o_orderkey AS VARCHAR) AS name, o_orderstatus AS s, o_orderkey AS k FROM orders)

@@ -25,6 +25,23 @@ def test_gives_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_file_statistics(spark):
+    """Bytes are those of the files; SQL does not know them."""
+    from pathlib import Path
+
+    got = {r.table: (r.n_files, r.total_bytes) for r in QUERIES["table_statistics"](spark, SF).collect()}
+    assert len(got) == 14 and all(v == (1, Path(f"{SF}/{t}.parquet").stat().st_size) for t, v in got.items())
+
+
+def test_fields_with_odd_names(spark):
+    from frostline.sources import catalog
+
+    raw = """{"a'b": 1, "x.y": "2", "n": null, "o": {"k": 1}, "l": [1], "f": 1.5, "big": 123456789012345678901, "t": true}"""
+    docs = spark.createDataFrame([(raw,), ("{broken",), (None,), ("[1]",), ("{}",)], "raw string")
+    got = {r.field: (r.type, r.n) for r in catalog.profile_document_fields(docs, "raw").collect()}
+    assert got == {"a'b": ("integer", 1), "x.y": ("string", 1), "n": ("null", 1), "o": ("object", 1), "l": ("array", 1), "f": ("number", 1), "big": ("integer", 1), "t": ("boolean", 1)}
+
+
 def test_entry(spark):
     import __spark_entry__
 
