@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType
+from pyspark.sql.types import BooleanType, DoubleType, FloatType, IntegralType
 
 from frostline.plans.model import Column as Native
 
@@ -44,6 +44,22 @@ def temporal_text(col: Column, kind: str) -> Column:
     return F.date_format(col, "yyyy-MM-dd" if kind == "date" else "yyyy-MM-dd HH:mm:ss.SSSSSS")
 
 
+def duration_text(micros: Column) -> Column:
+    """A signed duration as [-]HH:mm:ss.SSSSSS; hours may be over 24."""
+    n = F.abs(micros)
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    hours = F.floor(n / 3_600_000_000)
+    hours = F.when(hours < 100, two(hours)).otherwise(hours.cast("string"))
+    clock = F.concat_ws(":", hours, two(F.floor(n / 60_000_000) % 60), two(F.floor(n / 1_000_000) % 60))
+    return F.when(micros.isNotNull(), F.concat(F.when(micros < 0, "-").otherwise(""), clock, F.lit("."), F.lpad((n % 1_000_000).cast("string"), 6, "0")))
+
+
+def zero_dates(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(rule, entity, detail) for each row with a date text that has a zero month or day: no archive type holds it."""
+    bad = F.array_compact(F.array(*(F.when(F.col(c).rlike(r"^\d{4}-(00-\d\d|\d\d-00)"), F.lit(c)) for c in columns)))
+    return df.select(F.lit("zero_date").alias("rule"), F.col(key).cast("string").alias("entity"), F.array_join(bad, ",").alias("detail")).where("detail <> ''")
+
+
 def key_token(col: Column) -> Column:
     """The signed long in whose order unsigned 64-bit keys, given as decimal(20,0), stand."""
     return (col.cast("decimal(20,0)") - F.lit(str(KEY_BIAS)).cast("decimal(20,0)")).cast("bigint")
@@ -118,6 +134,19 @@ def non_finite(df: DataFrame, key: str) -> DataFrame:
     return df.select(F.lit("non_finite").alias("rule"), F.col(key).cast("string").alias("entity"), F.array_join(hits, ",").alias("detail")).where("detail <> ''")
 
 
+def native_value(df: DataFrame, columns: list[str]) -> Column:
+    """A row as JSON for comparison with a serving copy: integers, booleans and finite floats as such, all else as text; NaN and infinity fail the job."""
+    kinds = {f.name: f.dataType for f in df.schema}
+
+    def value(c: str) -> Column:
+        if isinstance(kinds[c], (FloatType, DoubleType)):
+            finite = ~F.isnan(c) & (F.abs(F.col(c)) != F.lit(float("inf")))
+            return F.when(F.col(c).isNull() | finite, F.col(c)).otherwise(F.raise_error(F.lit(f"{c} is not finite")).cast(kinds[c]))
+        return F.col(c) if isinstance(kinds[c], (IntegralType, BooleanType)) else F.col(c).cast("string")
+
+    return F.to_json(F.struct(*(value(c).alias(c) for c in columns)), {"ignoreNullFields": "false"})
+
+
 def row_digest(columns: list[str]) -> Column:
     """SHA-256 of the columns' canonical text; a null differs from an empty text."""
     return F.sha2(F.to_json(F.struct(*(F.col(c).cast("string").alias(c) for c in columns)), {"ignoreNullFields": "false"}), 256)

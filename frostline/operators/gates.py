@@ -35,6 +35,21 @@ def document_violations(df: DataFrame, raw: str, key: str, time_field: str) -> D
     return df.withColumn("__rule", rule).where("__rule is not null").select(*violation(F.col("__rule"), F.col(key), F.coalesce(at, F.lit(""))))
 
 
+def document_type_violations(df: DataFrame, raw: str, key: str, time_field: str, key_type: str = "STRING") -> DataFrame:
+    """Documents whose key is not of key_type (a type name of schema_of_variant), or whose time is an array or object: an array of times is no time."""
+    doc = F.try_parse_json(raw)
+    kind = lambda name: F.schema_of_variant(F.try_variant_get(doc, f"$.{name}", "variant"))
+    typed = df.select(F.col(key), kind("_id").alias("k"), kind(time_field).alias("t"))
+    rule = F.when(F.col("k") != key_type, "key_type").when(F.col("t").startswith("ARRAY") | F.col("t").startswith("OBJECT"), "time_type")
+    found = F.when(F.col("k") != key_type, F.col("k")).otherwise(F.substring_index("t", "<", 1))
+    return typed.select(F.col(key), rule.alias("rule"), found.alias("found")).where("rule is not null").select(*violation(F.col("rule"), F.col(key), F.col("found")))
+
+
+def ttl_violations(indexes: DataFrame) -> DataFrame:
+    """Indexes (collection, name, expire_after) that delete documents by themselves: the source would change under the archive."""
+    return indexes.where("expire_after is not null").select(*violation("ttl_index", F.concat_ws(".", "collection", "name"), F.col("expire_after")))
+
+
 def document_eligible(df: DataFrame, raw: str, key: str, time_field: str, cutoff: str) -> DataFrame:
     """Documents that agree with their key and are older than the cutoff."""
     at = F.try_to_timestamp(F.get_json_object(raw, f"$.{time_field}"))
@@ -63,14 +78,20 @@ def repeated_keys(df: DataFrame, key: list[str]) -> DataFrame:
 
 
 def fk_violations(fks: DataFrame, columns: DataFrame) -> DataFrame:
-    """Foreign keys that pair columns of different types. fks: name, child, child_cols, parent, parent_cols; columns: table, name, type."""
+    """Foreign keys that pair columns of different types, modifiers or collations (two unknown ones are the same).
+
+    fks: name, child, child_cols, parent, parent_cols; columns: table, name, type, and modifier and collation if they are known.
+    """
     pairs = fks.select("name", "child", "parent", F.explode(F.arrays_zip("child_cols", "parent_cols")).alias("p"))
-    side = lambda t, c: columns.select(F.col("table").alias(t), F.col("name").alias(c), F.col("type").alias(f"{c}_type"))
+    kinds = ["type", *(c for c in ("modifier", "collation") if c in columns.columns)]
+    side = lambda t, c: columns.select(F.col("table").alias(t), F.col("name").alias(c), *(F.col(k).cast("string").alias(f"{c}_{k}") for k in kinds))
     flat = pairs.select(F.col("name").alias("fk"), "child", "parent", F.col("p.child_cols").alias("cc"), F.col("p.parent_cols").alias("pc"))
     both = flat.join(side("child", "cc"), ["child", "cc"], "left").join(side("parent", "pc"), ["parent", "pc"], "left")
-    differ = ~F.col("cc_type").eqNullSafe(F.col("pc_type")) | F.col("cc_type").isNull()
-    text = F.concat(F.coalesce("cc_type", F.lit("missing")), F.lit(" <> "), F.coalesce("pc_type", F.lit("missing")))
-    return both.where(differ).select(*violation("fk_type", F.concat_ws(".", "fk", "cc"), text))
+    differ = {k: ~F.col(f"cc_{k}").eqNullSafe(F.col(f"pc_{k}")) for k in kinds}
+    differ["type"] = differ["type"] | F.col("cc_type").isNull()
+    rule = F.coalesce(*(F.when(d, f"fk_{k}") for k, d in differ.items()))
+    text = F.coalesce(*(F.when(d, F.concat(F.coalesce(f"cc_{k}", F.lit("missing")), F.lit(" <> "), F.coalesce(f"pc_{k}", F.lit("missing")))) for k, d in differ.items()))
+    return both.where(rule.isNotNull()).select(*violation(rule, F.concat_ws(".", "fk", "cc"), text))
 
 
 def binding_violations(plans: DataFrame, jobs: DataFrame) -> DataFrame:

@@ -28,6 +28,21 @@ def archive_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.read_archive(spark, written(spark, sf_dir)).select("batch_seq", "o_orderkey", "o_totalprice", "o_orderdate")
 
 
+@query(f"""SELECT 'first' AS attempt, 'created' AS outcome, count(*) AS n_rows FROM orders WHERE o_orderdate < {CUT} UNION ALL SELECT 'again', 'same', count(*) FROM orders WHERE o_orderdate < {CUT}
+UNION ALL SELECT 'changed', 'refused', count(*) FROM orders WHERE o_orderdate < {CUT}""")
+def published_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive is published, published again with the same rows, and with others; each time its rows are read."""
+    uri, arc, out = scratch(spark), archived_orders(spark, sf_dir), None
+    for name, rows in (("first", arc), ("again", arc), ("changed", arc.withColumn("o_totalprice", F.col("o_totalprice") + 1))):
+        try:
+            outcome = archive.publish_archive(rows, uri, "orders-1", "o_orderkey", COLS)
+        except FileExistsError:
+            outcome = "refused"
+        one = archive.read_archive(spark, uri).agg(F.lit(name).alias("attempt"), F.lit(outcome).alias("outcome"), F.count("*").alias("n_rows"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(f"WITH {ARC_SQL} SELECT batch_seq, count(*) AS n_rows, CAST(min(o_orderkey) AS VARCHAR) AS first_key, CAST(max(o_orderkey) AS VARCHAR) AS last_key FROM arc GROUP BY batch_seq")
 def archive_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.read_manifest(spark, written(spark, sf_dir)).where("batch_seq is not null").select("batch_seq", "n_rows", "first_key", "last_key")

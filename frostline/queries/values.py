@@ -86,6 +86,28 @@ def temporal_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", codecs.temporal_text(F.col("ts"), "timestamp").alias("at"), codecs.temporal_text(F.col("ts"), "date").alias("day"))
 
 
+@query("""SELECT event_id, CASE WHEN m < 0 THEN '-' ELSE '' END || CASE WHEN abs(m) // 3600000000 < 100 THEN lpad(CAST(abs(m) // 3600000000 AS VARCHAR), 2, '0') ELSE CAST(abs(m) // 3600000000 AS VARCHAR) END || ':' ||
+  lpad(CAST(abs(m) // 60000000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(abs(m) // 1000000 % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST(abs(m) % 1000000 AS VARCHAR), 6, '0') AS took
+FROM (SELECT event_id, (event_id - 50) * 7654321 AS m FROM events)""")
+def duration_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", codecs.duration_text((F.col("event_id") - 50) * 7654321).alias("took"))
+
+
+@query("""SELECT 'zero_date' AS rule, CAST(o_orderkey AS VARCHAR) AS entity, CASE WHEN o_orderkey % 35 = 0 THEN 'day,due' WHEN o_orderkey % 5 = 0 THEN 'day' ELSE 'due' END AS detail FROM orders WHERE o_orderkey % 5 = 0 OR o_orderkey % 7 = 0""")
+def zero_date_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    text = table(spark, sf_dir, "orders").select("o_orderkey", F.when(okey() % 5 == 0, "0000-00-00").otherwise(day).alias("day"), F.when(okey() % 7 == 0, F.concat(F.substring(day, 1, 8), F.lit("00"))).otherwise(day).alias("due"))
+    return codecs.zero_dates(text, "o_orderkey", ["day", "due"])
+
+
+@query("""SELECT o_orderkey, '{"o_orderkey":' || o_orderkey || ',"open":' || CASE WHEN o_orderstatus = 'O' THEN 'true' ELSE 'false' END || ',"half":' || CASE WHEN o_orderkey % 3 = 0 THEN 'null' ELSE (o_orderkey % 1000) || '.5' END ||
+  ',"o_orderdate":"' || CAST(o_orderdate AS VARCHAR) || '"}' AS value FROM orders""")
+def native_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    half = F.when(okey() % 3 != 0, (okey() % 1000).cast("double") + 0.5)
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderstatus") == "O").alias("open"), half.alias("half"), "o_orderdate")
+    return o.select("o_orderkey", codecs.native_value(o, o.columns).alias("value"))
+
+
 @query("""WITH k AS (SELECT o_orderkey, (o_orderkey::HUGEINT * 1229782938247303::HUGEINT) % 18446744073709551616::HUGEINT AS k FROM orders)
 SELECT o_orderkey, CAST(k - 9223372036854775808::HUGEINT AS BIGINT) AS token, CAST(k AS VARCHAR) AS back FROM k""")
 def unsigned_key_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,6 +194,19 @@ def document_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.document_violations(documents_of_events(spark, sf_dir), "raw", "key", "at")
 
 
+@query("""SELECT CASE WHEN event_id % 17 = 0 THEN 'key_type' ELSE 'time_type' END AS rule, CAST(event_id AS VARCHAR) AS entity, CASE WHEN event_id % 17 = 0 THEN 'BIGINT' WHEN event_id % 19 = 0 THEN 'ARRAY' ELSE 'OBJECT' END AS detail
+FROM events WHERE event_id % 17 = 0 OR event_id % 19 = 0 OR event_id % 23 = 0 UNION ALL SELECT 'ttl_index', CASE WHEN event_id % 2 = 0 THEN 'even' ELSE 'odd' END || '.' || event_id, CAST(event_id * 60 AS VARCHAR) FROM events WHERE event_id % 29 = 0""")
+def document_type_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with numbers for keys, arrays and objects for times; events stand for indexes, too, some of which expire documents."""
+    k, at = F.col("event_id"), F.concat(F.lit('"'), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit('"'))
+    key = F.when(k % 17 == 0, k.cast("string")).otherwise(F.concat(F.lit('"'), k.cast("string"), F.lit('"')))
+    time = F.when(k % 19 == 0, F.concat(F.lit("["), at, F.lit("]"))).when(k % 23 == 0, F.concat(F.lit('{"t":'), at, F.lit("}"))).otherwise(at)
+    events = table(spark, sf_dir, "events")
+    docs = events.select(k.cast("string").alias("key"), F.concat(F.lit('{"_id":'), key, F.lit(',"at":'), time, F.lit("}")).alias("raw"))
+    indexes = events.select(F.when(k % 2 == 0, "even").otherwise("odd").alias("collection"), k.cast("string").alias("name"), F.when(k % 29 == 0, k * 60).alias("expire_after"))
+    return gates.document_type_violations(docs, "raw", "key", "at").unionByName(gates.ttl_violations(indexes))
+
+
 @query("""SELECT CAST(event_id AS VARCHAR) AS key FROM events WHERE event_id % 7 <> 0 AND event_id % 11 <> 0 AND event_id % 13 <> 0 AND date_trunc('second', ts) < TIMESTAMP '2024-01-15'""")
 def document_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.document_eligible(documents_of_events(spark, sf_dir), "raw", "key", "at", "2024-01-15").select("key")
@@ -277,3 +312,15 @@ def fk_type_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = o.where((okey() % 11 != 0) | (okey() % 7 == 0)).select(child.alias("table"), F.lit("c").alias("name"), F.when(okey() % 7 == 0, "int").otherwise("bigint").alias("type"))
     columns = own.unionByName(o.select(parent.alias("table"), F.lit("p").alias("name"), F.lit("bigint").alias("type")))
     return gates.fk_violations(fks, columns)
+
+
+@query("""SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'fk_type' WHEN o_orderkey % 11 = 0 THEN 'fk_modifier' ELSE 'fk_collation' END AS rule, 'fk' || o_orderkey || '.c' AS entity,
+  CASE WHEN o_orderkey % 7 = 0 THEN 'text <> varchar' WHEN o_orderkey % 11 = 0 THEN '20 <> 10' ELSE 'de <> missing' END AS detail FROM orders WHERE o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 OR o_orderkey % 13 = 0""")
+def fk_modifier_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order stands for a key between text columns that differ in type, length or collation now and then."""
+    o, name = table(spark, sf_dir, "orders"), okey().cast("string")
+    child, parent = F.concat(F.lit("c"), name), F.concat(F.lit("p"), name)
+    fks = o.select(F.concat(F.lit("fk"), name).alias("name"), child.alias("child"), F.array(F.lit("c")).alias("child_cols"), parent.alias("parent"), F.array(F.lit("p")).alias("parent_cols"))
+    kind = lambda t, c, k, m, g: o.select(t.alias("table"), F.lit(c).alias("name"), k.alias("type"), m.alias("modifier"), g.alias("collation"))
+    own = kind(child, "c", F.when(okey() % 7 == 0, "text").otherwise("varchar"), F.when(okey() % 11 == 0, 20).otherwise(10), F.when(okey() % 13 == 0, "de"))
+    return gates.fk_violations(fks, own.unionByName(kind(parent, "p", F.lit("varchar"), F.lit(10), F.lit(None).cast("string"))))

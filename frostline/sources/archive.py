@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +51,23 @@ def write_archive(batched: DataFrame, uri: str, job_id: str, key: str, columns:
     b.unionByName(f).select(*head, *cols).write.mode("errorifexists").json(f"{uri}/manifest")
 
 
+def publish_archive(batched: DataFrame, uri: str, job_id: str, key: str, columns: list[str], native: dict[str, str] | None = None) -> str:
+    """write_archive() that may be repeated: 'created', or 'same' where an archive with this job's batches and digests is there already.
+
+    Nothing is ever overwritten: an archive of other content is refused, and so is a folder without a manifest that has data.
+    """
+    try:
+        there = batched.sparkSession.read.schema(MANIFEST).json(f"{uri}/manifest").where("batch_seq is not null").select("job_id", "batch_seq", "digest")
+    except AnalysisException:
+        write_archive(batched, uri, job_id, key, columns, native)
+        return "created"
+    own = batch_digest(batched, key, columns).select(F.lit(job_id).alias("job_id"), "batch_seq", "digest")
+    differ = there.unionByName(own).groupBy("job_id", "batch_seq", "digest").count().where("count <> 2")
+    if not differ.isEmpty():
+        raise FileExistsError(f"{uri} holds another archive")
+    return "same"
+
+
 MANIFEST = "job_id string, version int, schema string, batch_seq long, n_rows long, n_bytes long, first_key string, last_key string, digest string, name string"
 
 
@@ -102,9 +120,12 @@ def import_archive(spark: SparkSession, uri: str, key: str, jobs: DataFrame) ->
     return fresh.withColumn("basis", F.lit("unauthenticated"))
 
 
-def resume_plan(journal: DataFrame, objects: DataFrame) -> DataFrame:
+def resume_plan(journal: DataFrame, objects: DataFrame, frozen: dict | None = None, asked: dict | None = None) -> DataFrame:
     """(batch_seq, action): committed batches with their object are left, prepared ones published again, all others exported again.
-    journal: batch_seq, state (prepared or committed); objects: batch_seq."""
+    journal: batch_seq, state (prepared or committed); objects: batch_seq. frozen and asked hold cutoff and upper key of the job as it began and as it is
+    resumed; a job whose rows would be others is refused."""
+    if frozen != asked:
+        raise ValueError("a job is resumed with the cutoff and upper key that it began with")
     both = journal.join(objects.select("batch_seq", F.lit(True).alias("there")), "batch_seq", "full")
     done = F.col("state").eqNullSafe("committed")
     action = F.when(done & F.col("there"), "keep").when(done, "lost").when(F.col("state").eqNullSafe("prepared"), "publish").otherwise("export")

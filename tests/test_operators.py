@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from frostline.functions import codecs
 from frostline.operators import purge, reconcile, reports, select
+from frostline.plans import cycles
 from frostline.plans.model import Column, ForeignKey, Plan, Policy, group_order
 from frostline.sources import archive
 from frostline.streaming import transitions
 
 NAN = float("nan")
+AT = datetime(2000, 1, 1)
 
 
 def test_exact_equality(spark):
@@ -114,6 +116,51 @@ def test_archive_notices_damage(spark, tmp_path):
         archive.read_archive(spark, uri)
 
 
+def test_resume_keeps_the_plan(spark):
+    journal, objects = spark.createDataFrame([(1, "committed")], "batch_seq long, state string"), spark.createDataFrame([(1,)], "batch_seq long")
+    with pytest.raises(ValueError):
+        archive.resume_plan(journal, objects, {"cutoff": AT, "upper": 5}, {"cutoff": AT, "upper": 6})
+    assert archive.resume_plan(journal, objects, {"cutoff": AT, "upper": 5}, {"cutoff": AT, "upper": 5}).first().action == "keep"
+
+
+def test_native_values_refuse_what_json_lacks(spark):
+    df = spark.createDataFrame([(1, 1.5), (2, None)], "id long, v double")
+    assert [r[0] for r in df.select(codecs.native_value(df, ["id", "v"])).collect()] == ['{"id":1,"v":1.5}', '{"id":2,"v":null}']
+    bad = spark.createDataFrame([(1, NAN)], "id long, v double")
+    with pytest.raises(Exception):
+        bad.select(codecs.native_value(bad, ["v"])).collect()
+
+
+def test_group_keeps_parents_of_children_that_stay(spark, tmp_path):
+    """A child of a new date stays, so its parent may not go, and no table of the group gets a new version."""
+    old, new = datetime(1999, 1, 1), datetime(2001, 1, 1)
+    parents = spark.createDataFrame([(1, old), (2, old)], "id long, at timestamp_ntz")
+    children = spark.createDataFrame([(10, 1, "a"), (11, 2, "b")], "cid long, pid long, v string")
+    fk = ForeignKey("fk", "child", ("pid",), "parent", ("id",))
+    policy = Policy("p", "parent", "id", "at", 1)
+    for name, df in (("parent", parents), ("child", children)):
+        df.write.parquet(str(tmp_path / name))
+    sources = {"parent": str(tmp_path / "parent"), "child": str(tmp_path / "child")}
+    keys = {"parent": "id", "child": "cid"}
+    out = cycles.run_group_cycle(spark, sources, keys, str(tmp_path / "good"), policy, [fk], datetime(2000, 1, 1), 1)
+    assert all(spark.read.parquet(p).isEmpty() for p in out.values())
+    late = spark.createDataFrame([(12, 2, "late")], "cid long, pid long, v string")
+    real = cycles.plan_delete
+
+    def plan(arc, src, key, columns):  # a child that came after the group was selected
+        decisions = real(arc, src, key, columns)
+        return decisions.where("cid <> 11") if key == "cid" else decisions
+
+    cycles.plan_delete = plan
+    try:
+        late.write.mode("append").parquet(sources["child"])
+        with pytest.raises(PermissionError):
+            cycles.run_group_cycle(spark, sources, keys, str(tmp_path / "bad"), policy, [fk], datetime(2000, 1, 1), 1)
+    finally:
+        cycles.plan_delete = real
+    assert not (tmp_path / "bad" / "parent-v1").exists() and not (tmp_path / "bad" / "child-v1").exists()
+
+
 def test_admission(spark):
     policy = {"window": None, "max_age_ms": 100, "limits": {"cpu": 50.0}, "min_delay_ms": 0, "max_delay_ms": 1000}
     samples = spark.createDataFrame([("a", 1000, 25.0), ("a", 2000, 50.0), ("a", 3000, None)], "source string, ts long, cpu double")
