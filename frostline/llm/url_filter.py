@@ -1,7 +1,7 @@
 """URL filter: host and path rules first, then a weighted vocabulary found by Aho-Corasick.
 
-The automaton is built once per Python worker from the vocabulary (a parameter of a few hundred
-terms, checked below) and reads every url once, whatever the number of terms. A hit counts only
+The automaton is built once per Python worker from the vocabulary (a parameter of at most MAX_TERMS
+terms, which may come from a table) and reads every url once, whatever the number of terms. A hit counts only
 between boundaries: the characters before and after it must not be letters or digits.
 """
 
@@ -17,12 +17,20 @@ from pyspark.sql import functions as F
 from frostline.llm.lineage import extended
 
 # Strict terms reject a url alone.
-STRICT = ("porn", "xxx", "hentai", "camgirls", "escorts", "sexcam", "milf", "warez", "casino", "viagra", "payday-loan", "torrent")
+STRICT = tuple(
+    "porn porno xxx hentai camgirl camgirls sexcam sexcams livesex milf escort escorts callgirls bdsm fetish upskirt gangbang blowjob nudes onlyfans-leaks rule34 redtube"
+    " warez torrent torrents magnet-links nulled cracked-apks serial-keys"
+    " casino casinos online-casino roulette baccarat sportsbook slot-machines"
+    " viagra cialis levitra tramadol xanax-online steroids-shop payday-loan payday-loans".split()
+)
 # Soft terms and their weights; one alone never rejects.
 SOFT = {
-    "adult": 0.5, "nude": 0.6, "sexy": 0.6, "hot": 0.3, "bet": 0.4, "poker": 0.6, "slots": 0.5, "jackpot": 0.5, "dating": 0.4,
-    "pills": 0.5, "cheap": 0.3, "crack": 0.5, "keygen": 0.7, "free-download": 0.5, "loan": 0.4, "bonus": 0.4,
-}
+    **dict.fromkeys("keygen keygens".split(), 0.7),
+    **dict.fromkeys("nude naked sexy erotic poker betting bookmaker stripper".split(), 0.6),
+    **dict.fromkeys("adult slots jackpot pills pharmacy crack cracked free-download full-download mp3-download serial hookup".split(), 0.5),
+    **dict.fromkeys("bet bets odds dating singles loan loans bonus bonuses lottery forex crypto-signals proxy unblocked weight-loss".split(), 0.4),
+    **dict.fromkeys("hot cheap discount replica deals click earn-money win".split(), 0.3),
+}
 MAX_TERMS = 10_000
 
 
@@ -41,6 +49,17 @@ class Vocabulary:
             raise ValueError("terms are non-empty and lower case")
 
 
+def vocabulary_of(terms: DataFrame, reject_weight: float = 1.0, reject_distinct: int = 2) -> Vocabulary:
+    """A Vocabulary from rows (term, weight), a null weight being strict; terms are trimmed and lower-cased, repeats count once with their greatest weight.
+
+    At most MAX_TERMS + 1 rows come to the driver; a larger table is refused.
+    """
+    term = F.lower(F.trim("term"))
+    rows = terms.where(F.col("term").isNotNull()).groupBy(term.alias("term")).agg(F.max("weight").alias("weight"), F.bool_or(F.col("weight").isNull()).alias("strict"))
+    got = rows.where("term <> ''").orderBy("term").limit(MAX_TERMS + 1).collect()
+    return Vocabulary(tuple(r.term for r in got if r.strict), {r.term: float(r.weight) for r in got if not r.strict}, reject_weight, reject_distinct)
+
+
 @dataclass(frozen=True)
 class Rule:
     verdict: str
@@ -121,6 +140,7 @@ def filter_urls(
 
     verdict is the longest fitting rule's; without one, 'block' for a strict term or for at least
     reject_distinct different soft terms that weigh reject_weight together, else 'allow'.
+    Ties between rules of one length go to the first given; a very long url is read once, whatever the number of terms.
     A null or empty url has empty host and path, no rule and no hits: 'allow'. Null ids stay; repeated
     rows are judged each on their own; no rows give no rows; other columns are not read.
     """

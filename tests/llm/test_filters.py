@@ -36,6 +36,27 @@ def test_rules_of_urls(spark):
         url_filter.Vocabulary(strict=tuple(f"t{i}" for i in range(url_filter.MAX_TERMS + 1)))
 
 
+def test_vocabulary_from_a_table(spark):
+    """Thousands of weighted terms from rows, against counting by hand with boundaries; a long url; null and repeated terms."""
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(rng.choice(list("abcde"), int(rng.integers(2, 6))))
+    terms = [(word(), None if i % 3 == 0 else float(i % 7 + 1) / 10) for i in range(3000)] + [(None, 1.0), (" ", None)]
+    v = url_filter.vocabulary_of(spark.createDataFrame(terms, "term string, weight double"))
+    strict, soft = {t for t, w in terms[:3000] if w is None}, {}
+    for t, w in terms[:3000]:
+        if t not in strict:
+            soft[t] = max(w, soft.get(t, 0))
+    assert set(v.strict) == strict and v.soft == soft and len(strict) + len(soft) > 900
+    urls = ["http://h.org/" + "/".join("".join(rng.choice(["a", "b", "c", "d", "e", "-", "1", "é"], 4)) for _ in range(5)) for _ in range(150)] + ["http://h.org/" + "zz/" * 60_000 + "q"]
+    got = {r.page_id: r for r in url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), [], v).collect()}
+    for i, u in enumerate(urls):
+        cut = lambda n: {u[a : a + n] for a in range(len(u) - n + 1) if not (a and u[a - 1].isalnum()) and not (a + n < len(u) and u[a + n].isalnum())}
+        seen = set().union(*map(cut, range(1, 6))) if len(u) < 1000 else set()
+        assert (got[i].strict_hits > 0) == bool(seen & strict) and got[i].soft_hits == len(seen & set(soft))
+    with pytest.raises(ValueError):
+        url_filter.vocabulary_of(spark.range(url_filter.MAX_TERMS + 5).selectExpr("concat('t', id) as term", "0.5D as weight"))
+
+
 def test_host_parts(spark):
     df = spark.createDataFrame([("x://HoSt:80#f",), ("a://b://c/d",), ("://",), ("ftp://ÀB/p?q",)], "u string")
     host, path = url_filter.host_and_path(F.col("u"))
