@@ -199,7 +199,7 @@ def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, id_col:
 
     Items need numeric ids. Items of fewer than SEED words and null texts share nothing. Repeated items count once;
     repeated documents and null ids stay, each judged on its text; no documents give no rows; without items
-    nothing leaks; other columns are not read.
+    nothing leaks; a very long text is read whole, block by block; of items covered alike the least id is named; other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("doc_key"))
     top = worst(tilings(docs, items, id_col, text_col, item_col, item_text_col)).withColumnsRenamed({"doc_id": "d", "doc_key": "k"})
@@ -209,7 +209,11 @@ def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, id_col:
 
 def keep_clean(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text",
                item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """docs without those that leak."""
+    """docs without those that leak, columns as they are.
+
+    Null, empty and short texts share nothing and stay; a very long text is read whole, block by block; rows that repeat an id go or stay each on its own text, and
+    null ids like others; of items covered alike the least id counts, which changes nothing here; no documents give no rows, without items all stay; columns of any other name pass through.
+    """
     top = worst(tilings(docs, items, id_col, text_col, item_col, item_text_col)).where(F.col("coverage") >= coverage)
     bad = top.select("doc_id", "doc_key")
     same = docs[id_col].eqNullSafe(bad["doc_id"]) & (F.xxhash64(docs[text_col].cast("string")) == bad["doc_key"])

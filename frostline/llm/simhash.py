@@ -158,7 +158,7 @@ def simhash_components(
 
     Null and empty texts and texts without words have fingerprint zero and link like any other. Rows with
     a null id are linked but never name a component (which is null where only they are in it). Repeated
-    rows stay. No rows give no rows; other columns are not read.
+    rows stay. Of equal ids the component has one name; a very long text is read whole, its shingles counted block by block. No rows give no rows; other columns are not read.
     """
     rows = cut(fingerprints(docs, id_col, text_col, size, seed))
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
@@ -171,9 +171,13 @@ def simhash_components(
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, size: int = 4) -> DataFrame:
     """docs without the near copies: of each component the document whose id names it stays, with every row that
-    repeats this id; rows without an id stay."""
-    named = simhash_components(docs.where(F.col(id_col).isNotNull()), distance, id_col, text_col)
+    repeats this id; rows without an id stay.
+
+    Null and empty texts and texts without words are copies of each other. Ties do not arise, as ids name components. A very long text is read whole. No
+    rows give no rows, and columns of any other name pass through.
+    """
+    named = simhash_components(docs.where(F.col(id_col).isNotNull()), distance, id_col, text_col, size)
     stay = named.where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(stay, docs[id_col] == stay["doc_id"], "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
