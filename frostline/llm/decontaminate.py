@@ -128,14 +128,27 @@ def candidate_windows(docs: DataFrame, bitmap: np.ndarray, size: int = SEED) ->
     return docs.mapInArrow(run, extended(docs.select("doc_id"), "doc_key long, seed long, doc_at int"))
 
 
-def tile(pairs: list[tuple[int, int]], size: int = SEED) -> list[tuple[int, int, int]]:
+def pairs_of(doc: list[tuple[int, int]], item: list[tuple[int, int]]) -> np.ndarray:
+    """(n, 2) places in document and item that have a seed in common, from the (seed, place) of either."""
+    (ds, dp), (ks, kp) = (np.array(sorted(set(x)), np.int64).reshape(-1, 2).T for x in (doc, item))
+    lo, hi = np.searchsorted(ks, ds, "left"), np.searchsorted(ks, ds, "right")
+    n = hi - lo
+    at = np.arange(n.sum()) - np.repeat(n.cumsum() - n, n) + np.repeat(lo, n)
+    return np.stack([np.repeat(dp, n), kp[at]], axis=1)
+
+
+def runs_of(pairs: np.ndarray, size: int = SEED) -> list[tuple[int, int, int]]:
+    """Maximal matches (place in document, place in item, words): neighbours on one diagonal, each a word further."""
+    if not len(pairs):
+        return []
+    d, i = pairs[np.lexsort((pairs[:, 0], pairs[:, 0] - pairs[:, 1]))].T
+    new = np.flatnonzero(np.r_[True, (np.diff(d) != 1) | (np.diff(i) != 1)])
+    return list(zip(d[new].tolist(), i[new].tolist(), (np.diff(np.r_[new, len(d)]) + size - 1).tolist()))
+
+
+def tile(pairs: np.ndarray | list[tuple[int, int]], size: int = SEED) -> list[tuple[int, int, int]]:
     """Greedy string tiling of the matches that seeds (place in document, place in item) make: (document, item, words) tiles."""
-    runs: list[list[int]] = []
-    for d, i in sorted(set(pairs), key=lambda p: (p[0] - p[1], p[0])):
-        if runs and runs[-1][0] - runs[-1][1] == d - i and runs[-1][0] + runs[-1][2] - size + 1 == d:
-            runs[-1][2] += 1
-        else:
-            runs.append([d, i, size])
+    runs = runs_of(np.array(sorted(set(map(tuple, pairs))) if isinstance(pairs, list) else pairs, np.int64).reshape(-1, 2), size)
     heap = [(-n, d, i) for d, i, n in runs]
     heapq.heapify(heap)
     in_doc: set[int] = set()
@@ -170,19 +183,22 @@ def tilings(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     seeds = cut(seeds_of(own, size))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     found = candidate_windows(rows.select("doc_id", key.alias("doc_key"), "text"), seed_bitmap(seeds), size)
-    met = found.join(seeds, "seed").groupBy("doc_id", "doc_key", "item_id", "item_key").agg(
-        F.first("item_words").alias("item_words"), F.collect_set(F.struct("doc_at", "item_at")).alias("pairs")
-    )
+    # a document's places and an item's travel side by side, not in pairs: where both repeat a passage, rows grow with their lengths and not with the product
+    item = ["item_id", "item_key"]
+    of_item = seeds.groupBy(*item).agg(F.first("item_words").alias("item_words"), F.collect_set(F.struct("seed", "item_at")).alias("item_places"))
+    met = found.join(seeds.select("seed", *item).distinct(), "seed").groupBy("doc_id", "doc_key", *item).agg(F.collect_set(F.struct("seed", "doc_at")).alias("doc_places"))
+    both = met.join(of_item, met["item_id"].eqNullSafe(of_item["item_id"]) & (met["item_key"] == of_item["item_key"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("doc_at", pa.int32()), ("item_at", pa.int32()), ("words", pa.int32())]))
+        places = lambda column, k: ([(p["seed"], p[k]) for p in x.as_py()] for x in column)
         for b in batches:
-            tiles = [tile([(p["doc_at"], p["item_at"]) for p in ps], size) for ps in b.column(4).to_pylist()]
+            tiles = [tile(pairs_of(d, i), size) for d, i in zip(places(b.column(4), "doc_at"), places(b.column(5), "item_at"))]
             out = [pa.array([sum(t[2] for t in ts) for ts in tiles], pa.int32()), pa.array([[{"doc_at": d, "item_at": i, "words": n} for d, i, n in ts] for ts in tiles], kind)]
             yield pa.RecordBatch.from_arrays([*b.columns[:4], *out], names=["doc_id", "doc_key", "item_id", "item_words", "covered", "tiles"])
 
-    met = met.select("doc_id", "doc_key", "item_id", "item_words", "pairs")
-    return met.mapInArrow(run, extended(met.drop("pairs"), "covered int, tiles array<struct<doc_at: int, item_at: int, words: int>>"))
+    rows = both.select("doc_id", "doc_key", met["item_id"], "item_words", "doc_places", "item_places")
+    return rows.mapInArrow(run, extended(rows.drop("doc_places", "item_places"), "covered int, tiles array<struct<doc_at: int, item_at: int, words: int>>"))
 
 
 def worst(tiled: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ import re
 
 from frostline.llm import decontaminate as dc
 from frostline.llm.queries import op7_decontaminate
+from frostline.llm.decontaminate import pairs_of, runs_of, tilings
 
 
 def words(t):
@@ -90,3 +91,17 @@ def test_long_texts_go_in_blocks(spark):
     docs = spark.createDataFrame([(1, text), (2, text[: len(text) // 2])], "doc_id long, text string")
     got = {r.doc_id: r.leaked for r in dc.leaks(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
     assert got == {1: True, 2: False}
+
+
+def test_repeats_on_both_sides(spark):
+    """A long repetitive document against a repetitive item: rows carry both sides' places, not their product, and the tiles are those of the definition."""
+    import time
+
+    docs = spark.createDataFrame([(1, "a " * 60_000), (2, "a b " * 500), (3, "c d e f g h")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a " * 40), (2, "a b " * 20)], "item_id long, text string")
+    start = time.time()
+    got = {(r.doc_id, r.item_id): r.covered for r in tilings(docs, items).collect()}
+    assert got == {(1, 1): 40, (2, 2): 40} and time.time() - start < 90
+    pairs = pairs_of([(7, 0), (7, 1), (9, 2)], [(7, 5), (7, 6), (8, 1)])
+    assert sorted(map(tuple, pairs.tolist())) == [(0, 5), (0, 6), (1, 5), (1, 6)]
+    assert sorted(runs_of(pairs)) == [(0, 5, 6), (0, 6, 5), (1, 5, 5)]
