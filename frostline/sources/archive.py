@@ -19,6 +19,11 @@ from frostline.operators.select import batch_summary
 from frostline.plans.lineage import cut
 
 
+#: Rows of a data file at most, and the bytes up to which a file is fingerprinted.
+MAX_FILE_ROWS = 1_000_000
+MAX_FILE_BYTES = 1 << 30
+
+
 def batch_digest(batched: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(batch_seq, digest): SHA-256 over the row digests in key order, whatever the files look like. A batch is at most 1000 rows."""
     rows = batched.select("batch_seq", F.struct(F.col(key).alias("k"), row_digest(columns).alias("d")).alias("r"))
@@ -26,8 +31,11 @@ def batch_digest(batched: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
 
 def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """(name, n_bytes, sha256) of the Parquet files of a folder."""
+    """(name, n_bytes, sha256) of the Parquet files of a folder; a digest takes a file's bytes at once, so files over MAX_FILE_BYTES are refused."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    large = files.where(F.col("length") > MAX_FILE_BYTES).select("path").limit(1).collect()  # reads no content
+    if large:
+        raise ValueError(f"{large[0].path} has over {MAX_FILE_BYTES} bytes")
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
 
 
@@ -35,7 +43,7 @@ def write_archive(batched: DataFrame, uri: str, job_id: str, key: str, columns:
     """Writes batched (with batch_seq) to uri/data and the manifest after it; an existing folder is refused."""
     marked = [F.col(c).alias(c, metadata={"native_type": (native or {}).get(c, "")}) if native else F.col(c) for c in columns]
     rows = batched.select("batch_seq", *marked).repartitionByRange("batch_seq").sortWithinPartitions("batch_seq", key)
-    rows.write.mode("errorifexists").option("compression", "snappy").parquet(f"{uri}/data")
+    rows.write.mode("errorifexists").option("compression", "snappy").option("maxRecordsPerFile", MAX_FILE_ROWS).parquet(f"{uri}/data")
     spark = batched.sparkSession
     written = spark.read.parquet(f"{uri}/data")
     batches = batch_summary(written, key, columns).join(batch_digest(written, key, columns), "batch_seq")
