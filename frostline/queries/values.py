@@ -118,9 +118,9 @@ def unsigned_key_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token.withColumn("back", codecs.key_from_token(F.col("token")).cast("string"))
 
 
-@query("""SELECT o_orderkey, o_orderkey % 4 = 0 OR o_orderkey % 4 = 2 AND o_orderkey < 2000 AS canonical FROM orders""")
+@query("""SELECT o_orderkey, o_orderkey % 4 = 0 OR o_orderkey % 4 = 2 AND o_orderkey < 1845 AS canonical FROM orders""")
 def canonical_key_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys as they are, with a leading zero, with 16 zeros behind (too long from 2000 on), and with a sign."""
+    """Keys as they are, with a leading zero, with 16 zeros behind (over the limit of 64 bits from 1845 on), and with a sign."""
     k = okey().cast("string")
     text = F.when(okey() % 4 == 1, F.concat(F.lit("0"), k)).when(okey() % 4 == 2, F.concat(k, F.lit("0" * 16))).when(okey() % 4 == 3, F.concat(F.lit("-"), k)).otherwise(k)
     return table(spark, sf_dir, "orders").select("o_orderkey", codecs.canonical_unsigned(text).alias("canonical"))
