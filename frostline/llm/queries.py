@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frostline.llm import chat_format, decontaminate, html_extract, langid, line_dedup, packing, quality_net, quality_rules, simhash, url_filter
+from frostline.llm import chat_format, decontaminate, html_extract, langid, line_dedup, packing, quality_net, quality_rules, simhash, spelling, token_files, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -75,6 +75,25 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.repair(structure.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+def word_tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_files.write_tokens(table(spark, sf_dir, "documents"), word_tokenizer_path(), token_files.new_folder(spark), end_id=2)
+    return token_files.summaries(files)
+
+
 def _url_sql() -> str:
     lit = lambda x: "'" + x.replace("'", "''") + "'"
     hit = lambda t: f"regexp_matches(low, '(^|[^\\p{{L}}\\p{{N}}]){t}([^\\p{{L}}\\p{{N}}]|$)')"
@@ -107,6 +126,8 @@ def queries() -> dict[str, Query]:
         "op8_html_extract": op8_html_extract,
         "op9_chat_format": op9_chat_format,
         "op10_packing": op10_packing,
+        "op12_spelling": op12_spelling,
+        "op13_token_files": op13_token_files,
     }
 
 
