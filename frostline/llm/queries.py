@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frostline.llm import chat_format, decontaminate, html_extract, langid, line_dedup, packing, quality_net, quality_rules, simhash, spelling, token_files, url_filter
+from frostline.llm import chat_format, decontaminate, html_extract, langid, line_dedup, packing, quality_net, quality_rules, simhash, spelling, structure, token_files, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -126,6 +126,7 @@ def queries() -> dict[str, Query]:
         "op8_html_extract": op8_html_extract,
         "op9_chat_format": op9_chat_format,
         "op10_packing": op10_packing,
+        "op11_structure": op11_structure,
         "op12_spelling": op12_spelling,
         "op13_token_files": op13_token_files,
     }
