@@ -14,12 +14,15 @@ after all files are there, are the list of what counts: a lost or repeated task
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 from itertools import chain, repeat
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from frostline.llm.lineage import ensure_checkpoint_dir, extended
-from frostline.llm.packing import blocks_of
+from frostline.llm.packing import _bytes_of_marks, blocks_of
 
 #: Fixed values of zstandard's skippable frames and of the seekable format.
 INDEX_MAGIC, TABLE_MAGIC, SEEKABLE_MAGIC, CHECKSUMS = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -37,7 +40,9 @@ FRAME_IDS = 1 << 18
 FILE_BYTES = 128 << 20
 LEVEL = 3
 TILE = 1000
-_CACHE = 500_000
+_CACHE = 800_000
+#: Marks that never join what stands before them.
+MARKS = ".,;:!?"
 
 
 class Corrupt(ValueError):
@@ -154,6 +159,29 @@ class Reader:
         return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
+def word_twin(path: str):
+    """(tiktoken's encoder, its marks' ids and whether they end a word) for words of letters that end in a zero byte; None unless the file's vocabulary is
+    256 bytes, the same with a word's end, and one token for each merge in their order: merging by rank and by merge list are the same then.
+
+    A word's last byte joins the zero byte before all else, since those 256 pairs rank first; what follows are the file's merges.
+    """
+    import tiktoken
+
+    model = json.loads(Path(path).read_text())["model"]
+    vocab, end, byte_of = model["vocab"], model.get("end_of_word_suffix"), _bytes_of_marks()
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    if not end or any(vocab.get(a + b) != 512 + i for i, (a, b) in enumerate(pairs)) or {vocab.get(c + e) for c in byte_of for e in ("", end)} != set(range(512)):
+        return None
+    plain = lambda t: bytes(byte_of[c] for c in t.removesuffix(end)) + (b"\0" if t.endswith(end) else b"")
+    lasts = [c + end for c in byte_of]
+    order = [*lasts, *(a + b for a, b in pairs), *byte_of]  # the rank of a token is its place
+    ranks = {plain(t): i for i, t in enumerate(order)}
+    if len(ranks) != len(order):
+        return None
+    id_of = np.array([vocab[t] for t in order]), np.array([t.endswith(end) for t in order])
+    return tiktoken.Encoding("words", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={}), id_of
+
+
 class WordEncoder:
     """ids of a tokenizer that drops white space, so that a text's ids are those of its units between white space, which are kept between texts.
 
@@ -171,36 +199,75 @@ class WordEncoder:
         kept = [w for w in white if ids(f"Ab1'{w}é.x") != a + b]  # white space to Python, but not to the tokenizer
         self.by_units = " " not in kept and not any(w in t.content for t in special for w in white) and not any(t.lstrip or t.rstrip for t in special)
         self.kept = "".join(kept)
+        self.twin = self.by_units and word_twin(path)
+        probe = ["ab", "résumé", "zyzzyva", "x"]
+        self.by_words = bool(self.twin) and self._joined(probe) == [ids(w) for w in probe] and all(ids(f"Résumé{t}") == ids("résumé") + ids(t) for t in (".", "?!", ",;", ":"))
         self.row: dict[str, int] = {}
-        self.ids, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64)
+        self.ids, self.begin, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _joined(self, words: list[str]) -> list[list[int]]:
+        """The ids of words of letters, which the twin merges in one call."""
+        encoding, id_of = self.twin
+        marks = np.array(encoding.encode_ordinary("".join(f"{w}\0" for w in words)), np.int64)
+        cuts = np.flatnonzero(id_of[1][marks]) + 1
+        ids = id_of[0][marks].tolist()
+        return [ids[a:z] for a, z in zip([0, *cuts.tolist()], cuts.tolist())]
 
     def units(self, text: str) -> list[str]:
         if not self.by_units:
             return [text]
         return text.split(" ") if any(w in text for w in self.kept) else text.split()
 
+    def fresh(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of units that are not kept yet: a Latin word and the marks after it are looked up by themselves, in lower case."""
+        word, marks, table = [], [], {}
+        for u in units:
+            w = u.rstrip(MARKS)
+            if self.by_words and w.isalpha() and (w.isascii() or max(w) < "\u0100"):
+                word.append(w.lower())
+                marks.append(u[len(w) :])
+            else:
+                word.append(u)
+                marks.append("")
+        need = [x for x in dict.fromkeys(chain(word, marks)) if x not in self.row]
+        plain = [x for x in need if self.by_words and x.isalpha() and max(x) < "\u0100" and x == x.lower()]
+        table = dict(zip(plain, self._joined(plain))) if plain else {}
+        odd = [x for x in need if x not in table]
+        table |= {x: e.ids for x, e in zip(odd, self.whole.encode_batch_fast(odd, add_special_tokens=False))}
+        for x in {*word, *marks} - table.keys():
+            i = self.row[x]
+            table[x] = self.ids[self.begin[i] : self.begin[i] + self.sizes[i]].tolist()
+        each = [table[w] + table[m] for w, m in zip(word, marks)]
+        return np.fromiter(chain.from_iterable(each), np.uint32), np.fromiter(map(len, each), np.int64, len(each))
+
     def encode_block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends): the ids of all texts, one after the other, and where each text's end."""
         split = [self.units(t) for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
         units = list(chain.from_iterable(split))
         at = np.fromiter(map(self.row.get, units, repeat(-1)), np.int64, len(units))
-        ids, sizes = self.ids, self.sizes
+        ids, begin, sizes = self.ids, self.begin, self.sizes
         missing = np.flatnonzero(at < 0).tolist()
         if missing:
             fresh = {u: len(sizes) + i for i, u in enumerate(dict.fromkeys(units[i] for i in missing))}
-            each = [e.ids for e in self.whole.encode_batch_fast(list(fresh), add_special_tokens=False)]
-            ids = np.concatenate([ids, np.fromiter(chain.from_iterable(each), np.uint32)])
-            sizes = np.concatenate([sizes, np.fromiter(map(len, each), np.int64, len(each))])
+            more, n = self.fresh(list(fresh))
+            begin = np.concatenate([begin, len(ids) + n.cumsum() - n])
+            ids, sizes = np.concatenate([ids, more]), np.concatenate([sizes, n])
             at[missing] = [fresh[units[i]] for i in missing]
             if len(self.row) + len(fresh) <= _CACHE and sum(map(len, fresh)) < 32 * _CACHE:  # the first units seen are mostly the frequent ones
                 self.row.update(fresh)
-                self.ids, self.sizes = ids, sizes
+                self.ids, self.begin, self.sizes = ids, begin, sizes
         count = sizes[at]
-        shift = (sizes.cumsum() - sizes)[at] - (count.cumsum() - count)
+        shift = begin[at] - (count.cumsum() - count)
         return ids[np.repeat(shift, count) + np.arange(count.sum())], np.r_[0, count.cumsum()][counts.cumsum()]
 
 
+@cache
+def encoder_of(path: str) -> WordEncoder:
+    """One to a worker process, for all of its tasks."""
+    return WordEncoder(path)
+
+
 def new_folder(spark: SparkSession) -> str:
     """A folder that is not there yet, under the shared checkpoint folder."""
     ensure_checkpoint_dir(spark)
@@ -240,7 +307,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, uri: str, end_id: int | None =
             return pa.RecordBatch.from_arrays([*(pa.array([v], k) for v, k in zip(row, kinds)), *ends], names=["name", "part", "seq", "n_docs", "n_tokens", "n_bytes", "first_id", "last_id"])
 
         for b in batches:
-            enc = enc or WordEncoder(tokenizer)
+            enc = enc or encoder_of(tokenizer)
             doc_ids = iter(b.column(0).to_pylist())
             for block in blocks_of(b.column(1)):
                 ids, ends = enc.encode_block(block)

@@ -36,7 +36,7 @@ def reader(data: bytes) -> Reader:
 
 def test_units_give_the_texts_ids():
     whole, enc = Tokenizer.from_file(PATH), WordEncoder(PATH)
-    assert enc.by_units and set("\x1c\x1d\x1e\x1f") <= set(enc.kept) | {"\x1c"}
+    assert enc.by_units and enc.by_words and set("\x1c\x1d\x1e\x1f") <= set(enc.kept) | {"\x1c"}
     texts = [*ODD, "\n".join(ODD), *(a + b for a in ODD for b in ODD[::3])]
     for _ in range(2):  # with and without the units kept
         ids, ends = enc.encode_block(texts)
