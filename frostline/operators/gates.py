@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frostline.operators.select import text_bytes
@@ -18,7 +18,8 @@ def violation(rule: str | Column, entity: str | Column, detail: str | Column) ->
 
 def oversized(df: DataFrame, key: str, columns: list[str], limit: int = ROW_LIMIT) -> DataFrame:
     """Rows whose text is over limit bytes; they are refused, never cut."""
-    return df.withColumn("__n", text_bytes(df, columns)).where(F.col("__n") > limit).select(*violation("oversized", F.col(key), F.col("__n")))
+    n = text_bytes(df, columns)
+    return df.where(n > limit).select(*violation("oversized", F.col(key), n))
 
 
 def null_violations(df: DataFrame, required: list[str]) -> DataFrame:
@@ -32,7 +33,7 @@ def document_violations(df: DataFrame, raw: str, key: str, time_field: str) -> D
     """JSON documents whose key is not the document's own, or whose time field is not one time."""
     body_key, at = F.get_json_object(raw, "$._id"), F.get_json_object(raw, f"$.{time_field}")
     rule = F.when(body_key.isNull(), "key_missing").when(body_key != F.col(key).cast("string"), "key_differs").when(at.isNull() | F.try_to_timestamp(at).isNull(), "time_invalid")
-    return df.withColumn("__rule", rule).where("__rule is not null").select(*violation(F.col("__rule"), F.col(key), F.coalesce(at, F.lit(""))))
+    return df.select(*violation(rule, F.col(key), F.coalesce(at, F.lit("")))).where("rule is not null")
 
 
 def document_type_violations(df: DataFrame, raw: str, key: str, time_field: str, key_type: str = "STRING") -> DataFrame:
@@ -70,7 +71,7 @@ def key_order_violations(batched: DataFrame, key: str, upper: int | None = None)
     )
     if upper is not None:
         rule = rule.when(F.col("hi") > upper, "key_over_upper")
-    return b.join(prior, "batch_seq", "left").withColumn("__rule", rule).where("__rule is not null").select(*violation(F.col("__rule"), F.col("batch_seq"), F.col("lo")))
+    return b.join(prior, "batch_seq", "left").select(*violation(rule, F.col("batch_seq"), F.col("lo"))).where("rule is not null")
 
 
 def repeated_keys(df: DataFrame, key: list[str]) -> DataFrame:
@@ -98,7 +99,7 @@ def binding_violations(plans: DataFrame, jobs: DataFrame) -> DataFrame:
     """Child plans (plan_id, parent_job, digest, n_rows) whose parent job is gone or changed. jobs: job_id, digest, n_rows."""
     j = jobs.select(F.col("job_id").alias("parent_job"), F.col("digest").alias("d"), F.col("n_rows").alias("n"))
     rule = F.when(F.col("d").isNull(), "parent_missing").when(F.col("d") != F.col("digest"), "parent_digest").when(F.col("n") != F.col("n_rows"), "parent_rows")
-    return plans.join(j, "parent_job", "left").withColumn("__rule", rule).where("__rule is not null").select(*violation(F.col("__rule"), F.col("plan_id"), F.col("parent_job")))
+    return plans.join(j, "parent_job", "left").select(*violation(rule, F.col("plan_id"), F.col("parent_job"))).where("rule is not null")
 
 
 def totals_violations(objects: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -109,27 +110,35 @@ def totals_violations(objects: DataFrame, jobs: DataFrame) -> DataFrame:
         F.when(F.coalesce("r", F.lit(0)) != F.col("n_rows"), "rows").when(F.coalesce("b", F.lit(0)) != F.col("n_bytes"), "bytes")
         .when(~F.col("k").eqNullSafe(F.col("last_key")), "last_key")
     )
-    return both.withColumn("__rule", rule).where("__rule is not null").select(*violation(F.col("__rule"), F.col("job_id"), F.coalesce(F.col("r"), F.lit(0))))
+    return both.select(*violation(rule, F.col("job_id"), F.coalesce(F.col("r"), F.lit(0)))).where("rule is not null")
 
 
-def manifest_violations(manifests: DataFrame) -> DataFrame:
-    """What is wrong inside manifests (job_id, version, batch_size, n_rows, objects: array of name, n_rows, sha256, last_key).
+def manifest_violations(manifests: DataFrame, key_type: str = "bigint") -> DataFrame:
+    """What is wrong inside manifests, as archives have them: a head row for each job_id (version, batch_size, n_rows, n_bytes, last_key), a row for each batch (batch_seq) and for each file (name).
 
-    Versions are 2 to 4, objects are named part-000001 up without a gap, no batch is empty or over its size, digests are 64 hex
-    digits, last keys go up and the rows add up.
+    Versions are 2 to 4; batches are numbered from 1 without a gap, each once, hold 1 to batch_size rows, and their keys, read as key_type, go up from batch to batch; digests are 64 hex digits; the head's sums and last key are the batches'.
+    Each batch is compared with the one before by an equi-join, so no task sees all batches of a job.
     """
-    o = manifests.select("job_id", "batch_size", F.posexplode("objects").alias("i", "o"))
-    prior = F.lag("o.last_key").over(Window.partitionBy("job_id").orderBy("i"))
+    hexes = ~F.coalesce(F.col("digest").rlike("^[0-9a-f]{64}$"), F.lit(False))
+    key = lambda c: F.col(c).cast(key_type)
+    b = manifests.where("batch_seq is not null").groupBy("job_id", "batch_seq").agg(
+        F.count("*").alias("times"), F.max("batch_size").alias("batch_size"), F.max("n_rows").alias("n_rows"), F.min(key("first_key")).alias("lo"), F.max(key("last_key")).alias("hi"), F.bool_or(hexes).alias("bad"), F.max("n_bytes").alias("n_bytes")
+    )
+    prior = b.select("job_id", (F.col("batch_seq") + 1).alias("batch_seq"), F.col("hi").alias("prior"), F.lit(True).alias("follows"))
     rule = (
-        F.when(F.col("o.name") != F.concat(F.lit("part-"), F.lpad((F.col("i") + 1).cast("string"), 6, "0")), "object_name")
-        .when((F.col("o.n_rows") < 1) | (F.col("o.n_rows") > F.col("batch_size")), "batch_rows")
-        .when(~F.col("o.sha256").rlike("^[0-9a-f]{64}$"), "digest")
-        .when(F.col("o.last_key") <= F.col("prior"), "key_order")
-    )
-    objects = o.withColumn("prior", prior).withColumn("__rule", rule).where("__rule is not null").select(*violation(F.col("__rule"), F.concat_ws("/", "job_id", "o.name"), F.col("o.n_rows")))
-    total = F.aggregate(F.transform("objects", lambda x: x["n_rows"].cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
-    head = F.when(~F.col("version").between(2, 4), "version").when(total != F.col("n_rows"), "total_rows")
-    return objects.unionByName(manifests.withColumn("__rule", head).where("__rule is not null").select(*violation(F.col("__rule"), F.col("job_id"), F.col("n_rows"))))
+        F.when(F.col("times") > 1, "batch_repeated").when((F.col("batch_seq") < 1) | ((F.col("batch_seq") > 1) & F.col("follows").isNull()), "batch_gap")
+        .when((F.col("n_rows") < 1) | (F.col("n_rows") > F.col("batch_size")), "batch_rows").when(F.col("bad"), "digest").when((F.col("lo") <= F.col("prior")) | (F.col("hi") < F.col("lo")), "key_order")
+    )
+    batches = b.join(prior, ["job_id", "batch_seq"], "left").select(*violation(rule, F.concat_ws("/", "job_id", "batch_seq"), F.col("n_rows"))).where("rule is not null")
+    files = manifests.where("name is not null").groupBy("job_id", "name").agg(F.count("*").alias("times"), F.bool_or(hexes).alias("bad"))
+    files = files.select(*violation(F.when(F.col("times") > 1, "file_repeated").when(F.col("bad"), "digest"), F.concat_ws("/", "job_id", "name"), F.col("times"))).where("rule is not null")
+    sums = b.groupBy("job_id").agg(F.sum("n_rows").alias("r"), F.sum("n_bytes").alias("o"), F.max("hi").alias("k"))
+    heads = manifests.where("batch_seq is null and name is null").join(sums, "job_id", "left")
+    head = (
+        F.when(~F.col("version").between(2, 4), "version").when(F.coalesce("r", F.lit(0)) != F.col("n_rows"), "total_rows")
+        .when(F.coalesce("o", F.lit(0)) != F.col("n_bytes"), "total_bytes").when(~F.col("k").eqNullSafe(key("last_key")), "last_key")
+    )
+    return batches.unionByName(files).unionByName(heads.select(*violation(head, F.col("job_id"), F.col("n_rows"))).where("rule is not null"))
 
 
 def ledger_violations(batches: DataFrame) -> DataFrame:
@@ -140,4 +149,4 @@ def ledger_violations(batches: DataFrame) -> DataFrame:
         .when(F.col("processed") != F.col("deleted") + F.col("absent") + F.col("deferred"), "balance")
         .when(F.col("uncertain") > F.col("absent"), "uncertain")
     )
-    return batches.withColumn("__rule", rule).where("__rule is not null").select(*violation(F.col("__rule"), F.concat_ws("/", "job_id", "batch_seq"), F.col("processed")))
+    return batches.select(*violation(rule, F.concat_ws("/", "job_id", "batch_seq"), F.col("processed"))).where("rule is not null")

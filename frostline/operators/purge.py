@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from frostline.functions.codecs import rows_equal
 from frostline.operators.gates import ROW_LIMIT, text_bytes
 from frostline.operators.select import before
-from frostline.plans.lineage import cut
+from frostline.plans.lineage import cut, own_prefix
 from frostline.plans.model import ForeignKey, Plan
 
 
 def blocked_parents(parents: DataFrame, children: list[tuple[DataFrame, ForeignKey]]) -> DataFrame:
     """The parents that some child still points at; they must stay, whatever the key would do on delete."""
-    out = None
+    out, p = None, own_prefix(parents)
     for child, fk in children:
-        keys = child.select(*(F.col(c).alias(f"__c_{c}") for c in fk.child_cols))
-        hit = parents.join(keys, [F.col(p) == F.col(f"__c_{c}") for p, c in zip(fk.parent_cols, fk.child_cols)], "left_semi")
+        keys = child.select(*(F.col(c).alias(f"{p}{c}") for c in fk.child_cols))
+        hit = parents.join(keys, [F.col(a) == F.col(f"{p}{c}") for a, c in zip(fk.parent_cols, fk.child_cols)], "left_semi")
         out = hit if out is None else out.unionByName(hit)
     return out.distinct() if len(children) > 1 else out
 
@@ -78,12 +78,14 @@ def deletion_progress(batches: DataFrame, jobs: DataFrame) -> DataFrame:
     return both.withColumns(zero).select("job_id", *zero, (F.coalesce("n", F.lit(0)) == F.col("n_batches")).alias("complete"))
 
 
-def purge(src: DataFrame, decisions: DataFrame, key: str, out: str, allowed: DataFrame, job_id: str) -> None:
-    """A new version of the source without the deleted rows; an existing path is refused, the old version is not touched.
-
-    allowed is authorize_delete()'s frame: without exactly one row of this job that allows it, nothing is written.
-    """
+def require_allowed(allowed: DataFrame, job_id: str) -> None:
+    """Refuses a job without exactly one row in authorize_delete()'s frame that allows it."""
     rows = allowed.where(F.col("job_id") == job_id).select("allowed").limit(2).collect()
     if [r.allowed for r in rows] != [True]:
         raise PermissionError(f"{job_id}: no current authorisation to delete")
+
+
+def purge(src: DataFrame, decisions: DataFrame, key: str, out: str, allowed: DataFrame, job_id: str) -> None:
+    """A new table without the deleted rows, for sources that are no versioned tables (`plans.deletion` deletes from those); an existing path is refused, the source is not touched."""
+    require_allowed(allowed, job_id)
     survivors(src, decisions, key).write.mode("errorifexists").parquet(out)

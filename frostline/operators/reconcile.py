@@ -15,13 +15,14 @@ def _side(df: DataFrame, key: str, columns: list[str], name: str, more: list[str
     return df.select(F.col(key), F.struct(*(F.col(c) for c in columns)).alias(name), *(more or []))
 
 
-def reconcile(src: DataFrame, arc: DataFrame, key: str, columns: list[str], upper=None) -> DataFrame:
-    """(key, batch_seq, status) of every key of either side; arc has batch_seq. A source row over upper is not compared.
+def reconcile(src: DataFrame, arc: DataFrame, key: str, columns: list[str], upper=None, within: Column | None = None) -> DataFrame:
+    """(key, batch_seq, status) of every key of either side; arc has batch_seq. A source row over upper is not compared, and one that the archive lacks counts as extra only where within, a predicate over src, holds.
 
     One full outer join on the key; both sides are cut to the compared columns first.
     """
     src = src if upper is None else src.where(F.col(key) <= upper)
-    both = _side(arc, key, columns, "a", ["batch_seq"]).join(_side(src, key, columns, "s"), key, "full")
+    inside = F.coalesce(F.lit(True) if within is None else within, F.lit(False)).alias("inside")
+    both = _side(arc, key, columns, "a", ["batch_seq"]).join(_side(src, key, columns, "s", [inside]), key, "full").where("a is not null or inside")
     same = rows_equal(both, "a", "s", columns)
     status = F.when(F.col("s").isNull(), MISSING).when(F.col("a").isNull(), EXTRA).when(same, MATCH).otherwise(CHANGED)
     return both.select(key, "batch_seq", status.alias("status"))
@@ -58,7 +59,7 @@ def validate_restore(arc: DataFrame, target: DataFrame, key: str, columns: list[
     """Violations: archived rows that the target lacks or holds otherwise, and rows that only the target has."""
     r = reconcile(target, arc, key, columns)
     rule = F.when(F.col("status") == MISSING, "not_restored").when(F.col("status") == CHANGED, "restored_differently").when(F.col("status") == EXTRA, "foreign_row")
-    return r.withColumn("__rule", rule).where("__rule is not null").select(*violation(F.col("__rule"), F.col(key), F.coalesce(F.col("batch_seq").cast("string"), F.lit(""))))
+    return r.select(*violation(rule, F.col(key), F.coalesce(F.col("batch_seq").cast("string"), F.lit("")))).where("rule is not null")
 
 
 def key_set_diff(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -87,29 +88,42 @@ def fk_orphans(child: DataFrame, parent: DataFrame, child_cols: list[str], paren
     return child.na.drop("any", subset=child_cols).join(keys, same, "left_anti")
 
 
-def source_report(checked: DataFrame, job: DataFrame, started_ms: int, finished_ms: int) -> DataFrame:
-    """One row as authorize_delete() takes it, from reconcile() over the archived keys; job is one row with job_id and digest."""
-    bad = (F.col("status") != MATCH).cast("long")
-    rows = checked.select(F.lit(1).cast("long").alias("n"), bad.alias("bad"), *(F.lit(None).cast("string").alias(c) for c in ("job_id", "digest")))
-    own = job.select(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("bad"), F.col("job_id").cast("string"), "digest")
-    both = rows.unionByName(own).agg(F.sum("n").alias("n_rows"), F.sum("bad").alias("source_mismatches"), F.max("job_id").alias("job_id"), F.max("digest").alias("digest"))
-    return both.select(
-        "job_id", F.lit(started_ms).alias("started"), F.lit(finished_ms).alias("finished"), F.when(F.col("source_mismatches") == 0, "passed").otherwise("mismatch").alias("status"),
-        "n_rows", F.col("n_rows").alias("lookups"), "source_mismatches", F.lit(0).alias("serving_mismatches"), "digest",
+def copies_report(checked: DataFrame, serving: DataFrame | None, job: DataFrame, started_ms: int, finished_ms: int) -> DataFrame:
+    """One row as authorize_delete() takes it, from what was compared: reconcile() over the frozen range, and reconcile_serving() of the copy that answers for the archive.
+
+    Without a serving copy the report says not_checked and has no lookups, and it authorises nothing. job is one row with job_id, n_batches and digest. An extra source row, or one of the serving copy, is a mismatch; n_rows and n_batches count what was compared of the archive.
+    """
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(c) for c in names]
+    one = F.lit(1).cast("long")
+    src = checked.select(F.when(F.col("status") != EXTRA, one).alias("n"), (F.col("status") != MATCH).cast("long").alias("bad"), F.when(F.col("status") != EXTRA, F.col("batch_seq")).cast("long").alias("batch"), *none("long", "found", "served_bad"))
+    parts = src
+    if serving is not None:
+        parts = parts.unionByName(serving.select(*none("long", "n", "bad", "batch"), F.when(~F.col("status").isin("extra", "columns"), one).alias("found"), (F.col("status") != "match").cast("long").alias("served_bad")))
+    sums = parts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(a) for c, a in (("n", "n_rows"), ("bad", "source_mismatches"), ("found", "found"), ("served_bad", "served_bad"))))
+    # batches are counted by groups of their own, so that no task holds all; then the one-row frames become one row
+    batches = parts.where("batch is not null").groupBy("batch").count().agg(F.count("*").alias("n_batches"))
+    own = job.select(F.col("job_id").cast("string").alias("job_id"), "digest", F.col("n_batches").alias("expected"))
+    rows = own.unionByName(sums, allowMissingColumns=True).unionByName(batches, allowMissingColumns=True)
+    all_ = rows.agg(*(F.max(c).alias(c) for c in rows.columns))
+    bad = F.col("source_mismatches") + F.col("served_bad") > 0
+    status = F.when(F.lit(serving is None), "not_checked").when(bad, "mismatch").when(F.col("n_batches") < F.col("expected"), "incomplete").otherwise("passed")
+    looked = lambda c: F.col(c) if serving is not None else F.lit(None).cast("long")
+    return all_.select(
+        "job_id", F.lit(started_ms).alias("started"), F.lit(finished_ms).alias("finished"), status.alias("status"), "n_rows", "n_batches", looked("found").alias("lookups"), "source_mismatches",
+        looked("served_bad").alias("serving_mismatches"), "digest",
     )
 
 
-def authorize_delete(jobs: DataFrame, reports: DataFrame, now_ms: int, max_age_ms: int) -> DataFrame:
-    """(job_id, group_id, allowed): the job's latest report passed, covers all its rows (more than none) and its manifest, found
-    nothing wrong and is young enough; a job of a group only if all members are so.
+def authorize_delete(jobs: DataFrame, reports: DataFrame, now_ms: int, max_age_ms: int, allow_empty: bool = False) -> DataFrame:
+    """(job_id, group_id, allowed): the job's latest report passed, covers all its rows and batches, every row was looked up in the serving copy, nothing was wrong, it is of the job's manifest and
+    young enough; a job of a group only if all members are so. A job of no rows only with allow_empty, as in a cycle that has compared them itself.
 
-    jobs: job_id, group_id, n_rows, digest. reports: job_id, started, finished, status, n_rows, lookups, source_mismatches,
-    serving_mismatches, digest (times in ms).
+    jobs: job_id, group_id, n_rows, n_batches, digest. reports: job_id, started, finished, status, n_rows, n_batches, lookups, source_mismatches, serving_mismatches, digest (times in ms). What a report does not know (null) allows nothing.
     """
     latest = reports.groupBy("job_id").agg(F.max_by(F.struct(*(F.col(c) for c in reports.columns if c != "job_id")), "started").alias("r"))
     r = lambda c: F.col(f"r.{c}")
     good = (
-        (r("status") == "passed") & (r("finished") >= r("started")) & (r("finished") <= now_ms) & (r("n_rows") == F.col("n_rows")) & (F.col("n_rows") > 0)
+        (r("status") == "passed") & (r("finished") >= r("started")) & (r("finished") <= now_ms) & (r("n_rows") == F.col("n_rows")) & (F.lit(allow_empty) | (F.col("n_rows") > 0)) & (r("n_batches") == F.col("n_batches"))
         & (r("lookups") == F.col("n_rows")) & (r("source_mismatches") == 0) & (r("serving_mismatches") == 0) & (r("digest") == F.col("digest"))
         & (now_ms >= r("started")) & (now_ms - r("started") <= max_age_ms)
     )

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from frostline.operators.select import assign_batches, eligible
 from frostline.plans.lineage import ensure_checkpoint_dir
 from frostline.plans.model import Plan, Policy
+from frostline.sources import versions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -69,6 +70,22 @@ def current_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def versioned_orders(spark: SparkSession, sf_dir: str) -> str:
+    """The orders as a versioned table, whose first version is the given file."""
+    uri = scratch(spark)
+    versions.adopt(spark, uri, f"{sf_dir}/orders.parquet")
+    return uri
+
+
+def no_jobs(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "policy string, status string, deleted boolean, imported boolean")
+
+
+def served(table: str, arc: DataFrame) -> DataFrame:
+    """A serving copy that answers for the archive row by row."""
+    return arc.drop("batch_seq").repartition(3)
+
+
 def serving_orders(arc: DataFrame) -> DataFrame:
     k = F.col("o_orderkey")
     own = arc.where(k % 17 != 0).select("o_orderkey", "o_custkey", "o_orderstatus", (F.col("o_totalprice") + F.when(k % 23 == 0, 1.0).otherwise(0.0)).alias("o_totalprice"), "o_orderdate")

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from frostline.operators import gates, reports
-from frostline.plans import cycles
-from frostline.queries.common import ARC_SQL, AS_OF, CUT, ORDERS, archived_orders, okey, query, scratch, table
+from frostline.operators.select import eligible
+from frostline.plans import cycles, deletion
+from frostline.plans.lineage import cut
+from frostline.plans.model import ForeignKey, Plan
+from frostline.queries.common import ARC_SQL, AS_OF, CUT, ORDERS, PLAN, archived_orders, no_jobs, okey, query, scratch, served, table, versioned_orders
 from frostline.queries.selection import CUSTOMERS, IDLE, ORDER_CUSTOMER, dated_customers
-from frostline.sources import archive
+from frostline.sources import archive, export, versions
 from frostline.streaming import transitions as st
 
 COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"]
@@ -19,7 +22,7 @@ COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate
 
 def written(spark: SparkSession, sf_dir: str) -> str:
     uri = scratch(spark)
-    archive.write_archive(archived_orders(spark, sf_dir), uri, "orders-1", "o_orderkey", COLS)
+    export.write_archive(archived_orders(spark, sf_dir), uri, "orders-1", "o_orderkey", COLS)
     return uri
 
 
@@ -35,7 +38,7 @@ def published_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     uri, arc, out = scratch(spark), archived_orders(spark, sf_dir), None
     for name, rows in (("first", arc), ("again", arc), ("changed", arc.withColumn("o_totalprice", F.col("o_totalprice") + 1))):
         try:
-            outcome = archive.publish_archive(rows, uri, "orders-1", "o_orderkey", COLS)
+            outcome = export.publish_archive(rows, uri, "orders-1", "o_orderkey", COLS)
         except FileExistsError:
             outcome = "refused"
         one = archive.read_archive(spark, uri).agg(F.lit(name).alias("attempt"), F.lit(outcome).alias("outcome"), F.count("*").alias("n_rows"))
@@ -49,7 +52,7 @@ def archive_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {ARC_SQL}, last AS (SELECT max(batch_seq) AS b FROM arc), n AS (SELECT batch_seq, count(*) AS n FROM arc GROUP BY batch_seq)
-SELECT 'whole' AS archive, NULL AS rule, 0 AS n UNION ALL SELECT 'damaged', 'file_foreign', 1 UNION ALL SELECT 'damaged', 'batch_n_rows', 1 FROM last UNION ALL SELECT 'damaged', 'batch_foreign', 1""")
+SELECT 'whole' AS archive, NULL AS rule, 0 AS n UNION ALL SELECT 'damaged', 'file_foreign', 1 UNION ALL SELECT 'damaged', 'batch_n_rows', 1 FROM last UNION ALL SELECT 'damaged', 'batch_foreign', 1 UNION ALL SELECT 'damaged', 'key_repeated', 1""")
 def archive_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is wrong with a whole archive, and with one to which a foreign file has brought a copy of each row of the first batch and a batch of its own."""
     whole, damaged = written(spark, sf_dir), written(spark, sf_dir)
@@ -74,15 +77,88 @@ def archive_import(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate FROM orders WHERE o_orderdate < {CUT}")
 def restored_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = scratch(spark)
-    archive.restore(spark, written(spark, sf_dir), target)
-    return spark.read.parquet(target).select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    export.restore(spark, written(spark, sf_dir), target)
+    return export.restored(spark, target).select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
 
 
-@query(f"WITH {ARC_SQL} SELECT batch_seq, count(*) AS n FROM arc WHERE batch_seq % 2 = 0 GROUP BY batch_seq")
+class Crash(RuntimeError):
+    """Made by the queries that stop a job in its middle."""
+
+
+def crash_at(step: str, times: int = 1):
+    """A step function that fails when that step comes for so many-th time."""
+    left = [times]
+
+    def at(now: str) -> None:
+        left[0] -= now == step
+        if now == step and left[0] == 0:
+            raise Crash(step)
+
+    return at
+
+
+@query(f"SELECT 'crashed' AS outcome, o_orderkey, o_totalprice FROM orders WHERE o_orderdate < {CUT}")
 def restore_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    uri = written(spark, sf_dir)
-    done = archive.read_archive(spark, uri).where("batch_seq % 2 = 1")
-    return archive.resume_restore(spark, uri, done).groupBy("batch_seq").agg(F.count("*").alias("n"))
+    """A restore in rounds of four batches that stops after its second round and is called again."""
+    uri, target = written(spark, sf_dir), scratch(spark)
+    try:
+        export.restore(spark, uri, target, batches=4, at=crash_at("staged", 2))
+        outcome = "whole"
+    except Crash:
+        outcome = "crashed"
+    export.restore(spark, uri, target, batches=4)
+    return export.restored(spark, target).select(F.lit(outcome).alias("outcome"), "o_orderkey", "o_totalprice")
+
+
+@query(f"""SELECT 'unfinished crashed crashed finished' AS story, o_orderkey, o_totalprice FROM orders WHERE o_orderdate < {CUT}""")
+def export_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An export in rounds: one round and a stop, a crash before a round's files are all published, a crash after staging, and to the end."""
+    uri, orders, story = scratch(spark), table(spark, sf_dir, "orders"), []
+    n = max(1, archive_size(spark, sf_dir) // 4)
+    for rounds, at in ((1, crash_at("never")), (None, crash_at("moved")), (None, crash_at("staged")), (None, crash_at("never"))):
+        try:
+            story.append(export.export(orders, PLAN, uri, "orders-1", COLS, max_rounds=rounds, round_rows=n, at=at))
+        except Crash:
+            story.append("crashed")
+    if not archive.verify_archive(spark, uri, "o_orderkey").isEmpty():
+        story.append("but the archive does not verify")
+    return archive.read_archive(spark, uri).select(F.lit(" ".join(story)).alias("story"), "o_orderkey", "o_totalprice")
+
+
+def archive_size(spark: SparkSession, sf_dir: str) -> int:
+    return eligible(table(spark, sf_dir, "orders"), PLAN).count()
+
+
+@query("""SELECT CAST(o_orderkey % 12 AS BIGINT) AS residue, CASE WHEN o_orderkey % 12 IN (0, 5) THEN 'new' ELSE 'kept' END AS fate, CAST(count(*) AS BIGINT) AS n_rows FROM orders
+WHERE o_orderkey % 12 <> 7 AND NOT (o_orderkey % 12 IN (0, 5) AND o_orderkey % 36 < 12) GROUP BY ALL""")
+def touched_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in twelve files by the key's residue: what deleting some rows of two and all rows of one makes of each file."""
+    uri, orders = scratch(spark), table(spark, sf_dir, "orders")
+    for r in range(12):
+        orders.where(okey() % 12 == r).coalesce(1).write.mode("append").parquet(f"{uri}-files")
+    versions.adopt(spark, uri, f"{uri}-files")
+    r = okey() % 12
+    gone = orders.where((r == 7) | (r.isin(0, 5) & (okey() % 36 < 12))).select("o_orderkey")
+    versions.delete_keys(spark, uri, 1, gone, "o_orderkey")
+    fates = versions.fates(spark, uri, 1, 2).where("fate <> 'gone'")
+    rows = versions.read_version(spark, uri).select(versions.file_of_row().alias("path"), r.alias("residue")).groupBy("path").agg(F.max("residue").cast("long").alias("residue"), F.count("*").alias("n_rows"))
+    return rows.join(fates, "path").groupBy("residue", "fate").agg(F.sum("n_rows").alias("n_rows"))
+
+
+@query(f"""WITH {ARC_SQL} SELECT batch_seq, CAST(CASE WHEN batch_seq <= 3 THEN 2 ELSE 1 END AS INTEGER) AS attempts, count(*) AS processed, count(*) FILTER (batch_seq > 3 AND o_orderkey % 11 <> 0) AS deleted,
+count(*) FILTER (batch_seq <= 3 OR o_orderkey % 11 = 0) AS absent, CAST(0 AS BIGINT) AS deferred, count(*) FILTER (batch_seq <= 3) AS uncertain FROM arc GROUP BY batch_seq""")
+def replayed_deletion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deletion in rounds of three batches from a table where every 11th order is gone; it loses the acknowledgement of its first round and is run again, which finds that round's rows absent."""
+    top, arc = scratch(spark), cut(archived_orders(spark, sf_dir))
+    table(spark, sf_dir, "orders").where(okey() % 11 != 0).select("o_orderkey", *COLS[1:]).write.parquet(f"{top}-orders")
+    versions.adopt(spark, top, f"{top}-orders")
+    target = deletion.Target(top, "o_orderkey", COLS, [])
+    allowed = spark.createDataFrame([("orders-1", True)], "job_id string, allowed boolean")
+    try:
+        deletion.run_deletion(spark, target, arc, f"{top}-ledger", "orders-1", allowed, batches=3, at=crash_at("deleted"))
+    except Crash:
+        pass
+    return deletion.run_deletion(spark, target, arc, f"{top}-ledger", "orders-1", allowed, batches=3 * max(1, archive_size(spark, sf_dir) // 9000)).drop("job_id")
 
 
 @query("""SELECT o_orderkey AS batch_seq, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 5 <> 0 THEN 'keep' WHEN o_orderkey % 3 = 0 THEN 'lost' WHEN o_orderkey % 3 = 1 THEN 'publish' ELSE 'export' END AS action
@@ -94,37 +170,78 @@ def resume_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.resume_plan(journal, o.where(okey() % 5 != 0).select(okey().alias("batch_seq")))
 
 
-@query("""WITH m AS (SELECT o_custkey AS job_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, o_orderkey AS k, lag(o_orderkey - CASE WHEN o_orderkey % 17 = 0 THEN 100000 ELSE 0 END)
-  OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS p FROM orders),
-o AS (SELECT job_id, CASE WHEN k % 19 = 0 THEN 'object_name' WHEN k % 23 = 0 THEN 'batch_rows' WHEN k % 29 = 0 THEN 'digest' WHEN k - CASE WHEN k % 17 = 0 THEN 100000 ELSE 0 END <= p THEN 'key_order' END AS rule,
-  job_id || '/' || CASE WHEN k % 19 = 0 THEN 'x' ELSE 'part-' || lpad(CAST(i AS VARCHAR), 6, '0') END AS entity, CAST(CASE WHEN k % 23 = 0 THEN 2000 ELSE 10 END AS VARCHAR) AS detail FROM m),
-h AS (SELECT o_custkey AS job_id, CASE WHEN o_custkey % 13 = 0 THEN 'version' WHEN o_custkey % 7 = 0 THEN 'total_rows' END AS rule, CAST(o_custkey AS VARCHAR) AS entity,
-  CAST(CAST(sum(CASE WHEN o_orderkey % 23 = 0 THEN 2000 ELSE 10 END) AS BIGINT) + CASE WHEN o_custkey % 7 = 0 THEN 1 ELSE 0 END AS VARCHAR) AS detail FROM orders GROUP BY o_custkey)
-SELECT rule, entity, detail FROM o WHERE rule IS NOT NULL UNION ALL SELECT rule, entity, detail FROM h WHERE rule IS NOT NULL""")
+@query("""WITH m AS (SELECT o_custkey AS job_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS b, o_orderkey AS k, o_orderkey - CASE WHEN o_orderkey % 17 = 0 THEN 100000 ELSE 0 END AS last FROM orders),
+p AS (SELECT *, CASE WHEN k % 23 = 0 THEN 2000 ELSE 10 END AS n, lag(last) OVER (PARTITION BY job_id ORDER BY b) AS prior, lag(k % 19 <> 0) OVER (PARTITION BY job_id ORDER BY b) AS follows FROM m),
+o AS (SELECT CASE WHEN b > 1 AND NOT follows THEN 'batch_gap' WHEN n > 1000 THEN 'batch_rows' WHEN k % 29 = 0 THEN 'digest' WHEN follows AND k <= prior OR last < k THEN 'key_order' END AS rule, job_id || '/' || b AS entity, CAST(n AS VARCHAR) AS detail
+  FROM p WHERE k % 19 <> 0),
+h AS (SELECT job_id, sum(n) FILTER (k % 19 <> 0) AS r, max(last) FILTER (k % 19 <> 0) AS top FROM p GROUP BY job_id),
+v AS (SELECT CASE WHEN job_id % 13 = 0 THEN 'version' WHEN job_id % 7 = 0 OR r IS NULL THEN 'total_rows' WHEN job_id % 5 = 0 THEN 'last_key' END AS rule, CAST(job_id AS VARCHAR) AS entity,
+  CAST(CAST(coalesce(r, 0) AS BIGINT) + CASE WHEN job_id % 7 = 0 OR r IS NULL THEN 1 ELSE 0 END AS VARCHAR) AS detail FROM h)
+SELECT rule, entity, detail FROM o WHERE rule IS NOT NULL UNION ALL SELECT rule, entity, detail FROM v WHERE rule IS NOT NULL""")
 def manifest_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders stand for the objects of their customer's manifest."""
-    obj = F.struct(okey().alias("k"), F.when(okey() % 23 == 0, 2000).otherwise(10).alias("n_rows"), F.when(okey() % 29 == 0, "no digest").otherwise(F.sha2(okey().cast("string"), 256)).alias("sha256"), (okey() - F.when(okey() % 17 == 0, 100000).otherwise(0)).alias("last_key"))
-    g = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("job_id")).agg(F.sort_array(F.collect_list(obj)).alias("o"), F.sum(F.when(okey() % 23 == 0, 2000).otherwise(10)).alias("n"))
-    name = lambda x, i: F.when(x["k"] % 19 == 0, "x").otherwise(F.concat(F.lit("part-"), F.lpad((i + 1).cast("string"), 6, "0")))
-    objects = F.transform("o", lambda x, i: F.struct(name(x, i).alias("name"), x["n_rows"].alias("n_rows"), x["sha256"].alias("sha256"), x["last_key"].alias("last_key")))
-    j = F.col("job_id")
-    return gates.manifest_violations(g.select("job_id", F.when(j % 13 == 0, 1).otherwise(4).alias("version"), F.lit(1000).alias("batch_size"), (F.col("n") + F.when(j % 7 == 0, 1).otherwise(0)).alias("n_rows"), objects.alias("objects")))
+    """Orders stand for the batches of their customer's manifest: every 19th is missing, every 23rd too large, every 29th without a digest, every 17th with a last key under its first."""
+    k, j = okey(), F.col("job_id")
+    b = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("job_id"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long").alias("batch_seq"), "o_orderkey")
+    n = F.when(k % 23 == 0, 2000).otherwise(10).cast("long")
+    own = [F.when(j % 13 == 0, 1).otherwise(4).alias("version"), F.lit("{}").alias("schema"), F.lit(1000).alias("batch_size")]
+    last = k - F.when(k % 17 == 0, 100000).otherwise(0)
+    batches = b.where(k % 19 != 0).select("job_id", *own, "batch_seq", n.alias("n_rows"), (n * 7).alias("n_bytes"), k.cast("string").alias("first_key"), last.cast("string").alias("last_key"), F.when(k % 29 == 0, "no digest").otherwise(F.sha2(k.cast("string"), 256)).alias("digest"), F.lit(None).cast("string").alias("name"))
+    there = F.when(k % 19 != 0, n)
+    sums = b.groupBy("job_id").agg(F.sum(there).alias("r"), F.max(F.when(k % 19 != 0, last)).alias("top"))
+    heads = sums.select("job_id", *own, (F.coalesce("r", F.lit(0)) + F.when((j % 7 == 0) | F.col("r").isNull(), 1).otherwise(0)).alias("n_rows"), (F.coalesce("r", F.lit(0)) * 7).alias("n_bytes"), (F.col("top") + F.when(j % 5 == 0, 1).otherwise(0)).cast("string").alias("last_key"))
+    return gates.manifest_violations(batches.unionByName(heads, allowMissingColumns=True))
+
+
+def checks(spark: SparkSession, jobs: DataFrame | None = None, **more) -> cycles.Checks:
+    return cycles.Checks(**({"jobs": no_jobs(spark) if jobs is None else jobs, "serving": served, "admitted": None, "children": []} | more))
 
 
 @query(f"SELECT o_orderkey, o_totalprice FROM orders WHERE NOT o_orderdate < {CUT}")
 def retention_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = cycles.run_cycle(spark, f"{sf_dir}/orders.parquet", scratch(spark), ORDERS, AS_OF, 1)
-    return spark.read.parquet(out).select("o_orderkey", "o_totalprice")
+    orders = versioned_orders(spark, sf_dir)
+    cycles.run_cycle(spark, orders, scratch(spark), ORDERS, AS_OF, 1, checks(spark))
+    return versions.read_version(spark, orders).select("o_orderkey", "o_totalprice")
+
+
+@query(f"""WITH n AS (SELECT count(*) AS n, count(*) FILTER (NOT o_orderdate < {CUT}) AS young FROM orders)
+SELECT unnest(['unserved', 'served_differently', 'child_left', 'not_admitted', 'late_row', 'earlier_job', 'allowed']) AS what, unnest(['refused', 'refused', 'refused', 'refused', 'refused', 'refused', 'ran']) AS outcome, unnest([n, n, n, n, n + 1, n, young]) AS n_left FROM n""")
+def cycle_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One cycle tried under what must refuse it, and at last under nothing: the archive of the first try serves all; the table of the late row got it after its export."""
+    orders, lake, out = table(spark, sf_dir, "orders"), scratch(spark), None
+    late = orders.limit(1).select(*((F.lit(-1) if c == "o_orderkey" else F.lit("1990-01-01") if c == "o_orderdate" else F.col(c)).cast(t).alias(c) for c, t in orders.dtypes))
+    own = versioned_orders(spark, sf_dir)
+    orders.unionByName(late).write.parquet(f"{lake}-with-late")
+    versions.adopt(spark, f"{lake}-late", f"{lake}-with-late")
+    export.export(orders, Plan.freeze(ORDERS, AS_OF), f"{lake}-2/{ORDERS.name}-1", f"{ORDERS.name}-1", orders.columns)
+    changed = lambda t, arc: served(t, arc).withColumn("o_custkey", F.when(okey() == arc.agg(F.max("o_orderkey")).first()[0], 0).otherwise(F.col("o_custkey")))
+    lines = [(lambda: table(spark, sf_dir, "lineitem"), ForeignKey("line_order", "lineitem", ("l_orderkey",), "orders", ("o_orderkey",)))]
+    busy = spark.createDataFrame([(False, "metric_limit")], "allowed boolean, reason string")
+    open_job = spark.createDataFrame([(ORDERS.name, "running", False, False)], "policy string, status string, deleted boolean, imported boolean")
+    tries = {
+        "unserved": (own, {"serving": None}), "served_differently": (own, {"serving": changed}), "child_left": (own, {"children": lines}), "not_admitted": (own, {"admitted": busy}), "late_row": (f"{lake}-late", {}),
+        "earlier_job": (own, {"jobs": open_job}), "allowed": (own, {"admitted": spark.createDataFrame([(True, "admitted")], "allowed boolean, reason string")}),
+    }
+    for what, (uri, told) in tries.items():
+        try:
+            cycles.run_cycle(spark, uri, lake if uri == own else f"{lake}-2", ORDERS, AS_OF, 1, checks(spark, **told))
+            outcome = "ran"
+        except PermissionError:
+            outcome = "refused"
+        one = versions.read_version(spark, uri).agg(F.lit(what).alias("what"), F.lit(outcome).alias("outcome"), F.count("*").alias("n_left"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query(f"""SELECT 'customer' AS name, count(*) AS n_rows, CAST(sum(c_custkey) AS BIGINT) AS keys FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) AND c_custkey NOT IN ({IDLE})
 UNION ALL SELECT 'orders', count(*), CAST(sum(o_orderkey) AS BIGINT) FROM orders WHERE o_custkey NOT IN ({IDLE})""")
 def retention_group_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     lake = scratch(spark)
-    dated_customers(spark, sf_dir).write.parquet(f"{lake}/customer-v0")
-    sources = {"orders": f"{sf_dir}/orders.parquet", "customer": f"{lake}/customer-v0"}
-    out = cycles.run_group_cycle(spark, sources, {"orders": "o_orderkey", "customer": "c_custkey"}, lake, CUSTOMERS, [ORDER_CUSTOMER], AS_OF, 1)
-    n = lambda t, k: spark.read.parquet(out[t]).agg(F.lit(t).alias("name"), F.count("*").alias("n_rows"), F.sum(k).alias("keys"))
+    dated_customers(spark, sf_dir).write.parquet(f"{lake}/customer-files")
+    tables = {"orders": f"{lake}/orders", "customer": f"{lake}/customer"}
+    versions.adopt(spark, tables["orders"], f"{sf_dir}/orders.parquet")
+    versions.adopt(spark, tables["customer"], f"{lake}/customer-files")
+    cycles.run_group_cycle(spark, tables, {"orders": "o_orderkey", "customer": "c_custkey"}, lake, CUSTOMERS, [ORDER_CUSTOMER], AS_OF, 1, checks(spark))
+    n = lambda t, k: versions.read_version(spark, tables[t]).agg(F.lit(t).alias("name"), F.count("*").alias("n_rows"), F.sum(k).alias("keys"))
     return n("customer", "c_custkey").unionByName(n("orders", "o_orderkey"))
 
 
@@ -142,13 +259,15 @@ def gated_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cycle of a policy whose earlier jobs are done, and one of a policy that has an unfinished job."""
     bad = (F.col("o_orderstatus") == "P") & (okey() % 4 == 0) & (F.col("o_orderpriority") == "5-LOW")
     jobs = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("policy"), F.when(bad, "running").otherwise("completed").alias("status"), F.lit(True).alias("deleted"), F.lit(False).alias("imported"))
-    source, out = f"{sf_dir}/orders.parquet", None
+    out = None
     for name in ("1-URGENT", "5-LOW"):
+        orders = versioned_orders(spark, sf_dir)
         try:
-            path, outcome = cycles.run_cycle(spark, source, scratch(spark), replace(ORDERS, name=name), AS_OF, 1, jobs), "ran"
+            cycles.run_cycle(spark, orders, scratch(spark), replace(ORDERS, name=name), AS_OF, 1, checks(spark, jobs))
+            outcome = "ran"
         except PermissionError:
-            path, outcome = source, "refused"
-        one = spark.read.parquet(path).agg(F.lit(name).alias("policy"), F.lit(outcome).alias("outcome"), F.count("*").alias("n_left"))
+            outcome = "refused"
+        one = versions.read_version(spark, orders).agg(F.lit(name).alias("policy"), F.lit(outcome).alias("outcome"), F.count("*").alias("n_left"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -249,8 +368,6 @@ def latest_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 d AS (SELECT job_id, ts, r - lag(r, 1, 0) OVER w AS dr, b - lag(b, 1, 0) OVER w AS db, greatest(ts - lag(ts) OVER w, 0.001) AS dt, lag(ts) OVER w IS NULL AS no FROM p WINDOW w AS (PARTITION BY job_id ORDER BY ts))
 SELECT job_id, round(dr / dt, 2) AS rows_per_s, count(*) AS n FROM d WHERE dr <> 0 AND NOT no GROUP BY 1, 2""")
 def commit_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     w = Window.partitionBy("user_id").orderBy("ts")
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     p = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), at.alias("t"), F.sum(F.col("event_id") % 3).over(w).alias("n_rows"), F.sum(F.col("event_id") % 7).over(w).alias("n_bytes")).withColumnRenamed("t", "ts")

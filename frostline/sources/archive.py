@@ -1,27 +1,22 @@
 """Archives: verified Parquet files with a manifest, written once and never overwritten.
 
-A job's folder holds data/ (many batches to a file, batch_seq as a column) and manifest/, written last: without it
-the archive does not exist for readers. The manifest has a row per batch (rows, keys, content digest) and a row per
-file (bytes, SHA-256).
+A job's folder holds data/ (many batches to a file, batch_seq as a column) and manifest/, which appears last and at once: without it the archive does not exist for readers. The manifest has a row per batch
+(rows, keys, content digest) and a row per file (bytes, root of its digest tree); ranges/ has the leaves of the trees. How data gets there, and is taken up again after a crash, is in `export`.
 """
 
 from __future__ import annotations
 
 import json
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frostline.functions.codecs import row_digest
-from frostline.operators.gates import violation
+from frostline.operators.gates import key_order_violations, manifest_violations, violation
 from frostline.operators.select import batch_summary
 from frostline.plans.lineage import cut
-
-
-#: Rows of a data file at most, and the bytes up to which a file is fingerprinted.
-MAX_FILE_ROWS = 1_000_000
-MAX_FILE_BYTES = 1 << 30
+from frostline.sources import store
+from frostline.sources.digests import differing_ranges, file_fingerprints, range_digests
 
 
 def batch_digest(batched: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -30,53 +25,12 @@ def batch_digest(batched: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return rows.groupBy("batch_seq").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["d"]), "\n"), 256).alias("digest"))
 
 
-def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """(name, n_bytes, sha256) of the Parquet files of a folder; a digest takes a file's bytes at once, so files over MAX_FILE_BYTES are refused."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
-    large = files.where(F.col("length") > MAX_FILE_BYTES).select("path").limit(1).collect()  # reads no content
-    if large:
-        raise ValueError(f"{large[0].path} has over {MAX_FILE_BYTES} bytes")
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
-
-
-def write_archive(batched: DataFrame, uri: str, job_id: str, key: str, columns: list[str], native: dict[str, str] | None = None) -> None:
-    """Writes batched (with batch_seq) to uri/data and the manifest after it; an existing folder is refused."""
-    marked = [F.col(c).alias(c, metadata={"native_type": (native or {}).get(c, "")}) if native else F.col(c) for c in columns]
-    rows = batched.select("batch_seq", *marked).repartitionByRange("batch_seq").sortWithinPartitions("batch_seq", key)
-    rows.write.mode("errorifexists").option("compression", "snappy").option("maxRecordsPerFile", MAX_FILE_ROWS).parquet(f"{uri}/data")
-    spark = batched.sparkSession
-    written = spark.read.parquet(f"{uri}/data")
-    batches = batch_summary(written, key, columns).join(batch_digest(written, key, columns), "batch_seq")
-    kinds = {f.name: f.dataType.simpleString() for f in written.schema}
-    head = [F.lit(job_id).alias("job_id"), F.lit(4).alias("version"), F.lit(json.dumps(kinds)).alias("schema")]
-    cols = ["batch_seq", "n_rows", "n_bytes", "first_key", "last_key", "digest", "name"]
-    b = batches.select(*cols[:3], F.col("first_key").cast("string").alias("first_key"), F.col("last_key").cast("string").alias("last_key"), "digest", F.lit(None).cast("string").alias("name"))
-    f = file_fingerprints(spark, f"{uri}/data").select(
-        F.lit(None).cast("long").alias("batch_seq"), F.lit(None).cast("long").alias("n_rows"), "n_bytes",
-        *(F.lit(None).cast("string").alias(c) for c in ("first_key", "last_key")), F.col("sha256").alias("digest"), "name",
-    )
-    # the staged folder appears under its name at once, when all of it is there
-    b.unionByName(f).select(*head, *cols).write.mode("errorifexists").json(f"{uri}/manifest")
-
-
-def publish_archive(batched: DataFrame, uri: str, job_id: str, key: str, columns: list[str], native: dict[str, str] | None = None) -> str:
-    """write_archive() that may be repeated: 'created', or 'same' where an archive with this job's batches and digests is there already.
-
-    Nothing is ever overwritten: an archive of other content is refused, and so is a folder without a manifest that has data.
-    """
-    try:
-        there = batched.sparkSession.read.schema(MANIFEST).json(f"{uri}/manifest").where("batch_seq is not null").select("job_id", "batch_seq", "digest")
-    except AnalysisException:
-        write_archive(batched, uri, job_id, key, columns, native)
-        return "created"
-    own = batch_digest(batched, key, columns).select(F.lit(job_id).alias("job_id"), "batch_seq", "digest")
-    differ = there.unionByName(own).groupBy("job_id", "batch_seq", "digest").count().where("count <> 2")
-    if not differ.isEmpty():
-        raise FileExistsError(f"{uri} holds another archive")
-    return "same"
-
-
-MANIFEST = "job_id string, version int, schema string, batch_seq long, n_rows long, n_bytes long, first_key string, last_key string, digest string, name string"
+MANIFEST = "job_id string, version int, schema string, batch_size int, batch_seq long, n_rows long, n_bytes long, first_key string, last_key string, digest string, name string"
+
+
+def schema_text(df: DataFrame) -> str:
+    """The columns' types and native types, as a manifest tells them."""
+    return json.dumps({f.name: [f.dataType.simpleString(), (f.metadata or {}).get("native_type", "")] for f in df.schema if f.name != "batch_seq"})
 
 
 def read_manifest(spark: SparkSession, uri: str) -> DataFrame:
@@ -86,32 +40,39 @@ def read_manifest(spark: SparkSession, uri: str) -> DataFrame:
 def file_violations(spark: SparkSession, uri: str) -> DataFrame:
     """Files that are missing, foreign, or differ from the manifest in size or content."""
     want = read_manifest(spark, uri).where("name is not null").select("name", F.col("n_bytes").alias("wb"), F.col("digest").alias("wd"))
-    both = want.join(file_fingerprints(spark, f"{uri}/data"), "name", "full")
+    both = want.join(file_fingerprints(range_digests(spark, f"{uri}/data")), "name", "full")
     rule = F.when(F.col("sha256").isNull(), "file_missing").when(F.col("wd").isNull(), "file_foreign").when(F.col("wb") != F.col("n_bytes"), "file_size").when(F.col("wd") != F.col("sha256"), "file_digest")
-    return both.withColumn("__rule", rule).where("__rule is not null").select(*violation(F.col("__rule"), F.col("name"), F.coalesce("n_bytes", F.lit(0))))
+    return both.select(*violation(rule, F.col("name"), F.coalesce("n_bytes", F.lit(0)))).where("rule is not null")
+
+
+def damaged_ranges(spark: SparkSession, uri: str) -> DataFrame:
+    """(name, range_no, first_byte, what): where the archive's files are not what was written."""
+    return differing_ranges(range_digests(spark, f"{uri}/data"), spark.read.parquet(f"{uri}/ranges"))
 
 
 def verify_archive(spark: SparkSession, uri: str, key: str) -> DataFrame:
-    """All that is wrong with an archive: files, schema, and each batch's rows, keys and content."""
+    """All that is wrong with an archive: files, columns with their native types, the manifest itself, key order over all batches, and each batch's rows, keys and content."""
     manifest = cut(read_manifest(spark, uri))
     wrong = cut(file_violations(spark, uri))
     data = spark.read.parquet(f"{uri}/data")
-    kinds = json.dumps({f.name: f.dataType.simpleString() for f in data.schema})
-    schema = manifest.where((F.col("schema") != kinds) | ~F.col("version").between(2, 4)).select(*violation("schema", F.col("job_id"), F.col("version"))).distinct()
+    schema = manifest.where(F.col("schema") != schema_text(data)).select(*violation("schema", F.col("job_id"), F.col("version"))).distinct()
     columns = [c for c in data.columns if c != "batch_seq"]
     now = batch_summary(data, key, columns).join(batch_digest(data, key, columns), "batch_seq")
-    have = now.select("batch_seq", *(F.col(c).cast("string").alias(f"h_{c}") for c in ("n_rows", "first_key", "last_key", "digest")))
+    have = now.select("batch_seq", *(F.col(c).cast("string").alias(f"h_{c}") for c in ("n_rows", "n_bytes", "first_key", "last_key", "digest")))
     both = manifest.where("batch_seq is not null").join(have, "batch_seq", "full")
     rule = F.when(F.col("h_n_rows").isNull(), "batch_missing").when(F.col("job_id").isNull(), "batch_foreign")
-    for c in ("n_rows", "first_key", "last_key", "digest"):
+    for c in ("n_rows", "n_bytes", "first_key", "last_key", "digest"):
         rule = rule.when(F.col(c).cast("string") != F.col(f"h_{c}"), f"batch_{c}")
-    batches = both.withColumn("__rule", rule).where("__rule is not null").select(*violation(F.col("__rule"), F.col("batch_seq"), F.coalesce("h_n_rows", F.lit("0"))))
-    return wrong.unionByName(schema).unionByName(batches)
+    batches = both.select(*violation(rule, F.col("batch_seq"), F.coalesce("h_n_rows", F.lit("0")))).where("rule is not null")
+    kind = data.schema[key].dataType.simpleString()
+    return wrong.unionByName(schema).unionByName(batches).unionByName(key_order_violations(data, key)).unionByName(manifest_violations(manifest, kind))
 
 
-def read_archive(spark: SparkSession, uri: str) -> DataFrame:
-    """The archived rows of the files whose bytes equal the manifest's; a file that differs fails the read."""
-    bad = file_violations(spark, uri).limit(1).collect()
+def read_archive(spark: SparkSession, uri: str, verified: bool = False) -> DataFrame:
+    """The archived rows of the files whose bytes equal the manifest's; a file that differs fails the read. verified: the caller has just verified it."""
+    if not store.exists(spark, f"{uri}/manifest"):
+        raise FileNotFoundError(f"{uri} has no manifest: it is no finished archive")
+    bad = [] if verified else file_violations(spark, uri).limit(1).collect()
     if bad:
         raise ValueError(f"{uri}: {bad[0].rule} {bad[0].entity}")
     return spark.read.parquet(f"{uri}/data")
@@ -138,16 +99,3 @@ def resume_plan(journal: DataFrame, objects: DataFrame, frozen: dict | None = No
     done = F.col("state").eqNullSafe("committed")
     action = F.when(done & F.col("there"), "keep").when(done, "lost").when(F.col("state").eqNullSafe("prepared"), "publish").otherwise("export")
     return both.select("batch_seq", action.alias("action"))
-
-
-def restore(spark: SparkSession, uri: str, target: str, source: str | None = None, kinds: dict[str, str] | None = None) -> None:
-    """The archive as a new table at target, columns cast to kinds; the source and an existing target are refused."""
-    if source is not None and target.rstrip("/") == source.rstrip("/"):
-        raise ValueError("a restore goes to a target of its own")
-    rows = read_archive(spark, uri).drop("batch_seq")
-    rows.select(*(F.col(c).cast((kinds or {}).get(c, t)).alias(c) for c, t in rows.dtypes)).write.mode("errorifexists").parquet(target)
-
-
-def resume_restore(spark: SparkSession, uri: str, restored: DataFrame) -> DataFrame:
-    """The archived rows of the batches that restored (batch_seq) does not have yet."""
-    return read_archive(spark, uri).join(restored.select("batch_seq").distinct(), "batch_seq", "left_anti")
