@@ -9,7 +9,7 @@ from frostline.functions import codecs
 from frostline.operators import purge, reconcile, reports, select
 from frostline.plans import cycles
 from frostline.plans.model import Column, ForeignKey, Plan, Policy, group_order
-from frostline.sources import archive
+from frostline.sources import archive, export, versions
 from frostline.streaming import transitions
 
 NAN = float("nan")
@@ -103,12 +103,12 @@ def test_serving_copy(spark):
 def test_archive_notices_damage(spark, tmp_path):
     df = spark.range(0, 2500).select("id", F.concat(F.lit("v"), F.col("id").cast("string")).alias("v"))
     uri = str(tmp_path / "job")
-    archive.write_archive(select.assign_batches(df, "id"), uri, "j", "id", ["id", "v"])
+    export.write_archive(select.assign_batches(df, "id"), uri, "j", "id", ["id", "v"])
     assert archive.verify_archive(spark, uri, "id").count() == 0
     with pytest.raises(Exception):
-        archive.write_archive(select.assign_batches(df, "id"), uri, "j", "id", ["id", "v"])
+        export.write_archive(select.assign_batches(df, "id"), uri, "j", "id", ["id", "v"])
     with pytest.raises(ValueError):
-        archive.restore(spark, uri, "/x/t/", "/x/t")
+        export.restore(spark, uri, "/x/t/", "/x/t")
     spark.createDataFrame([(1, 9999, "foreign")], "batch_seq long, id long, v string").write.mode("append").parquet(f"{uri}/data")
     rules = {r.rule for r in archive.verify_archive(spark, uri, "id").collect()}
     assert {"file_foreign", "batch_n_rows"} <= rules
@@ -133,32 +133,35 @@ def test_native_values_refuse_what_json_lacks(spark):
 
 def test_group_keeps_parents_of_children_that_stay(spark, tmp_path):
     """A child of a new date stays, so its parent may not go, and no table of the group gets a new version."""
-    old, new = datetime(1999, 1, 1), datetime(2001, 1, 1)
+    old, late = datetime(1999, 1, 1), (12, 2, "late")
     parents = spark.createDataFrame([(1, old), (2, old)], "id long, at timestamp_ntz")
-    children = spark.createDataFrame([(10, 1, "a"), (11, 2, "b")], "cid long, pid long, v string")
+    children = [(10, 1, "a"), (11, 2, "b")]
     fk = ForeignKey("fk", "child", ("pid",), "parent", ("id",))
     policy = Policy("p", "parent", "id", "at", 1)
-    for name, df in (("parent", parents), ("child", children)):
-        df.write.parquet(str(tmp_path / name))
-    sources = {"parent": str(tmp_path / "parent"), "child": str(tmp_path / "child")}
-    keys = {"parent": "id", "child": "cid"}
-    out = cycles.run_group_cycle(spark, sources, keys, str(tmp_path / "good"), policy, [fk], datetime(2000, 1, 1), 1)
-    assert all(spark.read.parquet(p).isEmpty() for p in out.values())
-    late = spark.createDataFrame([(12, 2, "late")], "cid long, pid long, v string")
+    jobs = spark.createDataFrame([], "policy string, status string, deleted boolean, imported boolean")
+    checks = cycles.Checks(jobs, lambda table, arc: arc.drop("batch_seq"), None, [])
     real = cycles.plan_delete
 
     def plan(arc, src, key, columns):  # a child that came after the group was selected
         decisions = real(arc, src, key, columns)
         return decisions.where("cid <> 11") if key == "cid" else decisions
 
-    cycles.plan_delete = plan
-    try:
-        late.write.mode("append").parquet(sources["child"])
-        with pytest.raises(PermissionError):
-            cycles.run_group_cycle(spark, sources, keys, str(tmp_path / "bad"), policy, [fk], datetime(2000, 1, 1), 1)
-    finally:
-        cycles.plan_delete = real
-    assert not (tmp_path / "bad" / "parent-v1").exists() and not (tmp_path / "bad" / "child-v1").exists()
+    for name, rows, planned in (("good", children, real), ("bad", [*children, late], plan)):
+        tables = {t: str(tmp_path / name / t) for t in ("parent", "child")}
+        for t, df in (("parent", parents), ("child", spark.createDataFrame(rows, "cid long, pid long, v string"))):
+            df.write.parquet(str(tmp_path / name / f"{t}-files"))
+            versions.adopt(spark, tables[t], str(tmp_path / name / f"{t}-files"))
+        cycles.plan_delete = planned
+        run = lambda: cycles.run_group_cycle(spark, tables, {"parent": "id", "child": "cid"}, str(tmp_path / name), policy, [fk], datetime(2000, 1, 1), 1, checks)  # noqa: B023, E731
+        try:
+            if name == "good":
+                assert run() == {"parent": 2, "child": 2} and all(versions.read_version(spark, u).isEmpty() for u in tables.values())
+            else:
+                with pytest.raises(PermissionError):
+                    run()
+                assert all(versions.current(spark, u) == 1 for u in tables.values())
+        finally:
+            cycles.plan_delete = real
 
 
 def test_admission(spark):
