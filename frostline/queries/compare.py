@@ -10,6 +10,7 @@ from frostline.plans.lineage import cut
 from frostline.queries.common import (
     ARC_SQL, COLUMNS, CUT, NOW_SQL, PLAN, SAME_SQL, SERVING_SQL, archived_orders, current_orders, query, scratch, serving_orders, table,
 )
+from frostline.sources import digests
 
 RECONCILED = f"""rec AS (SELECT coalesce(a.o_orderkey, s.o_orderkey) AS o_orderkey, a.batch_seq, CASE WHEN s.o_orderkey IS NULL THEN 'missing_in_source'
   WHEN a.o_orderkey IS NULL THEN 'extra_in_source' WHEN {SAME_SQL} THEN 'match' ELSE 'changed' END AS status FROM arc a FULL JOIN
@@ -222,3 +223,10 @@ def totals_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("job_id")
     jobs = jobs.select("job_id", "n_rows", (F.col("b") + F.when(k % 13 == 0, 1).otherwise(0)).alias("n_bytes"), (F.col("k") + F.when(k % 8 == 0, 1).otherwise(0)).alias("last_key"))
     return gates.totals_violations(objects, jobs)
+
+
+@query(f"""WITH {ARC_SQL}, {NOW_SQL}, b AS (SELECT a.o_orderkey AS ak, s.o_orderkey AS sk, a.batch_seq, {SAME_SQL} AS same FROM arc a FULL JOIN src s ON a.o_orderkey = s.o_orderkey)
+SELECT coalesce(ak, sk) AS o_orderkey, batch_seq, CASE WHEN sk IS NULL THEN 'missing_in_source' WHEN ak IS NULL THEN 'extra_in_source' ELSE 'changed' END AS status FROM b WHERE ak IS NULL OR sk IS NULL OR NOT same""")
+def reconcile_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the orders as they are now and their archive differ, found by sums over key ranges."""
+    return digests.reconcile_by_tree(current_orders(spark, sf_dir), cut(archived_orders(spark, sf_dir)), "o_orderkey", COLUMNS)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+from itertools import combinations
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frostline.functions import codecs
 from frostline.operators import gates, reports
 from frostline.plans.model import Column
-from frostline.queries.common import ARC_SQL, archived_orders, okey, query, table
-from frostline.sources import archive, catalog, scan
+from frostline.queries.common import ARC_SQL, archived_orders, okey, query, scratch, table
+from frostline.sources import archive, catalog, export, index, scan
+from frostline.sources import database as jdbc
 
 # The test tables' columns and types.
 SCHEMAS = {
@@ -240,6 +244,90 @@ def archive_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.lookup(o, keys, "o_orderkey", ["o_orderkey", "o_totalprice"])
 
 
+@query(f"WITH {ARC_SQL} SELECT o_orderkey, o_totalprice FROM arc WHERE o_orderkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def indexed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive's rows of many keys, by zones and filters of its files."""
+    uri, top = scratch(spark), scratch(spark)
+    export.write_archive(archived_orders(spark, sf_dir), uri, "orders-1", "o_orderkey", ["o_orderkey", "o_totalprice"])
+    index.build_index(spark, f"{uri}/data", "o_orderkey", top)
+    keys = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("o_orderkey"))
+    return index.lookup_indexed(spark, f"{uri}/data", top, keys, "o_orderkey", ["o_orderkey", "o_totalprice"])
+
+
+DERBY = "org.apache.derby.jdbc.EmbeddedDriver"
+
+
+def database(spark: SparkSession, sf_dir: str) -> str:
+    """Customers and orders in an embedded database of this process, with keys, a foreign key and indexes; its tables are made by Spark's JDBC writer."""
+    url = f"jdbc:derby:memory:d{uuid.uuid4().hex};create=true"
+    with jdbc.Metadata(spark, url, driver=DERBY) as db:
+        run = db.connection.createStatement().execute
+        # a third of the orders stand at keys far away, as in a table that took over another
+        orders = table(spark, sf_dir, "orders").select((okey() + F.when(okey() % 3 == 0, 10**12).otherwise(0)).alias("OKEY"), F.col("o_custkey").alias("CKEY"), F.col("o_totalprice").alias("PRICE"), F.col("o_orderdate").cast("timestamp").alias("PLACED"))
+        customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("CKEY"), F.col("c_mktsegment").alias("SEGMENT"))
+        for name, df in (("CUSTOMERS", customers), ("ORDERS", orders)):
+            types = "CKEY BIGINT, SEGMENT VARCHAR(40)" if name == "CUSTOMERS" else "OKEY BIGINT, CKEY BIGINT, PRICE DOUBLE, PLACED TIMESTAMP"
+            df.coalesce(4).write.jdbc(url, name, mode="overwrite", properties={"driver": DERBY, "createTableColumnTypes": types})
+        for ddl in ("CUSTOMERS ALTER CKEY NOT NULL", "ORDERS ALTER OKEY NOT NULL", "CUSTOMERS ADD CONSTRAINT CUSTOMERS_KEY PRIMARY KEY (CKEY)", "ORDERS ADD CONSTRAINT ORDERS_KEY PRIMARY KEY (OKEY)", "ORDERS ADD CONSTRAINT ORDER_CUSTOMER FOREIGN KEY (CKEY) REFERENCES CUSTOMERS (CKEY)"):
+            run(f"ALTER TABLE {ddl}")
+        run("CREATE INDEX PLACED_AT ON ORDERS (PLACED, OKEY)")
+    return url
+
+
+@query("SELECT o_orderkey + CASE WHEN o_orderkey % 3 = 0 THEN 1000000000000 ELSE 0 END AS okey, o_totalprice AS price FROM orders WHERE o_totalprice > 1000")
+def jdbc_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders read back from a database by key ranges that the database's own counts have cut."""
+    rows = jdbc.scan_table(spark, database(spark, sf_dir), "ORDERS", ["OKEY", "PRICE"], "OKEY", partitions=8, driver=DERBY)
+    return rows.where("PRICE > 1000").select(F.col("OKEY").alias("okey"), F.col("PRICE").alias("price"))
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM orders)
+SELECT unnest(['column', 'column', 'column', 'column', 'column', 'column', 'key', 'key', 'foreign key', 'range index']) AS kind, unnest(['CUSTOMERS', 'CUSTOMERS', 'ORDERS', 'ORDERS', 'ORDERS', 'ORDERS', 'CUSTOMERS', 'ORDERS', 'ORDERS', 'ORDERS']) AS "table",
+  unnest(['CKEY BIGINT not null', 'SEGMENT VARCHAR null', 'OKEY BIGINT not null', 'CKEY BIGINT null', 'PRICE DOUBLE null', 'PLACED TIMESTAMP null', 'CKEY', 'OKEY', 'CKEY -> CUSTOMERS CKEY', 'PLACED']) AS detail, n AS n_orders FROM n""")
+def database_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the database itself tells of its tables, and its time column's index judged by range_indexes(); with the orders that it holds."""
+    url = database(spark, sf_dir)
+    with jdbc.Metadata(spark, url, driver=DERBY) as db:
+        columns, keys, pairs, indexes = db.columns("APP"), db.keys("APP"), db.foreign_key_pairs("APP"), db.indexes("APP")
+    fks = catalog.fold_foreign_keys(pairs.withColumn("on_delete", F.lit("a")))
+    times = columns.where("type = 'TIMESTAMP'").groupBy("schema", "table").agg(F.collect_list("name").alias("time_columns"))
+    own = F.struct("name", F.lit("btree").alias("method"), "columns", F.lit(True).alias("valid"), F.lit(False).alias("partial"), F.lit(False).alias("has_expressions"))
+    ranges = reports.range_indexes(times.join(indexes.groupBy("schema", "table").agg(F.collect_list(own).alias("indexes")), ["schema", "table"])).where(F.array_contains("full_indexes", "PLACED_AT"))
+    row = lambda df, kind, t, detail: df.select(F.lit(kind).alias("kind"), F.col(t).alias("table"), detail.alias("detail"))
+    out = row(columns, "column", "table", F.concat_ws(" ", "name", "type", F.when(F.col("nullable"), "null").otherwise("not null"))).unionByName(row(keys, "key", "table", F.array_join("columns", ",")))
+    out = out.unionByName(row(fks, "foreign key", "child", F.concat(F.array_join("child_cols", ","), F.lit(" -> "), "parent", F.lit(" "), F.array_join("parent_cols", ",")))).unionByName(row(ranges, "range index", "table", F.col("column")))
+    return out.withColumn("n_orders", F.lit(jdbc.scan_table(spark, url, "ORDERS", ["OKEY"], "OKEY", partitions=4, driver=DERBY).count()))
+
+
+KEYED = ("region", "nation", "customer", "supplier", "orders", "events", "conversations", "labels")
+
+
+def _key_sets_sql() -> str:
+    parts = []
+    for t in KEYED:
+        names = [x.split()[0] for x in SCHEMAS[t].split(", ")]
+        unique = lambda s: f"(SELECT count(*) = count(DISTINCT ({', '.join(s)})) AND count(*) FILTER ({' OR '.join(f'{c} IS NULL' for c in s)}) = 0 FROM {t})"  # noqa: B023, E731
+        ones = [f"SELECT ['{c}'] AS key, {unique([c, c])} AS own, false AS other" for c in names]
+        twos = [f"SELECT ['{a}', '{b}'], {unique([a, b])}, {unique([a, a])} OR {unique([b, b])}" for a, b in combinations(names, 2)]
+        parts.append(f"SELECT '{t}' AS \"table\", array_to_string(key, ',') AS key FROM ({' UNION ALL '.join(ones + twos)}) WHERE own AND NOT other")
+    return " UNION ALL ".join(parts)
+
+
+@query(_key_sets_sql())
+def discovered_key_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every least set of one or two columns that is unique in its table."""
+    return catalog.key_sets({t: table(spark, sf_dir, t) for t in KEYED}).select("table", F.array_join("key", ",").alias("key"))
+
+
+@query()
+def measured_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """archival_assessment with the sizes of the files and the keys that the rows have."""
+    tables = {t: table(spark, sf_dir, t) for t in TABLES}
+    known = catalog.tables_of(catalog.discover(tables)).join(catalog.unique_keys(tables, KEYS), ["schema", "table"])
+    rows = known.select("schema", "table", "primary_key", "time_columns", F.col("n_rows").alias("estimated_rows"), F.lit(False).alias("partitioned"))
+    return reports.assess(rows, catalog.table_statistics(tables)).select("rank", "table", "total_bytes", F.array_join("findings", ",").alias("findings"))
+
+
 @query("SELECT l_orderkey, l_quantity FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-01-01'")
 def table_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.scan(spark, f"{sf_dir}/lineitem.parquet", ["l_orderkey", "l_quantity", "l_shipdate"]).where(F.col("l_shipdate") < F.lit("1996-01-01").cast("timestamp_ntz")).drop("l_shipdate")

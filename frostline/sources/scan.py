@@ -11,14 +11,6 @@ def scan(spark: SparkSession, path: str, columns: list[str], fmt: str = "parquet
     return spark.read.format(fmt).options(**options).load(path).select(*columns)
 
 
-def scan_jdbc(spark: SparkSession, url: str, table: str, columns: list[str], key: str, lower: int, upper: int, partitions: int = 64, **options: str) -> DataFrame:
-    """The same over JDBC, by ranges of the key up to the frozen upper key; needs the database's driver on the class path."""
-    options = {"fetchsize": "10000"} | options
-    bounds = {"partitionColumn": key, "lowerBound": str(lower), "upperBound": str(upper), "numPartitions": str(partitions)}
-    rows = spark.read.format("jdbc").options(url=url, dbtable=table, **bounds, **options).load()
-    return rows.where(F.col(key) <= upper).select(*columns)
-
-
 def scan_documents(spark: SparkSession, path: str, key_field: str = "_id", time_field: str = "ts") -> DataFrame:
     """(key, raw, at) of a file of JSON lines: the raw text stays as it is."""
     return as_documents(spark.read.text(path).withColumnRenamed("value", "raw"), "raw", key_field, time_field)
