@@ -1,15 +1,16 @@
 """Fuzzy line deduplication by MinHash, in Spark expressions only.
 
 1. Every line with a word gets a 128-bit identity (two hashes of the line) and MinHash bands of its SHINGLE-character shingles. A line of
-   at least ANCHORED different anchors (places after white space, and every place in scripts beyond Latin) is sketched by the different shingles that begin at its
-   anchors, a line of fewer by all its shingles, and one near that border by both, so that likes on its two sides meet. The sketch is the SKETCH least
-   hashes; the first BANDS of them whose low two bits are 0 start a band each, and a band is ROWS neighbours of the sketch. Where those
+   at least ANCHORED different anchored shingles is sketched by those, a line of fewer by all its shingles, and one near that border by both, so that likes on its two sides meet. A shingle is
+   anchored if the character before it has a code that is STEP's residue (one in eight, whatever it means: a sample of all places, in which an edit at the start or end of words weighs as much as in the whole),
+   or is beyond Latin. The sketch is the SKETCH least hashes; the first BANDS of them whose low two bits are 0 start a band each, and a band is ROWS neighbours of the sketch. Where those
    are fewer, the first even hashes are starts, or every hash. Two lines of similarity s share a band that starts at a common hash with probability s ** ROWS at least.
    Identities and bands are written once; no text is shuffled.
 2. Lines that share a band are candidates, verified by the exact Jaccard similarity of all their shingles. In each band the lines are first compared with the one
-   that has most copies (an original more often than not); then only pairs of one band that are still in different components are left. Each of these lines has a parity
+   that has most copies (an original more often than not); then only pairs of one band that are still in different components are left. In a band of up to WIDE lines, each line has a parity
    bitmap of its shingles: the bits in which two bitmaps differ are at most as many as the shingles that only one line has, so a pair whose bitmaps differ in more
-   bits than the similarity allows is unlike for certain, and all other pairs are compared exactly. So a group of many like lines costs a star and not its pairs.
+   bits than the similarity allows is unlike for certain, and all other pairs are compared exactly. Lines of wider bands (a frame that many lines fill in otherwise) meet by prefix filtering, which is exact too: with
+   shingles ordered by how few lines have them, two like lines share one of the rarest fifth of each. So neither many like lines nor many unlike ones of one frame cost their pairs.
 3. Components (distributed union-find) and equal lines keep the line that comes first by (document, line number); documents are put
    together again without the others.
 """
@@ -32,8 +33,12 @@ EVEN_BANDS = 12
 ROWS = 4
 SKETCH = 56
 SIMILARITY = 0.8
-#: Different shingles at anchors from which on a line is sketched by its anchors, and up to which it is sketched by all shingles.
+#: Different anchored shingles from which on a line is sketched by those, and up to which it is sketched by all shingles.
 ANCHORED, DENSE = 14, 24
+#: Shingles are anchored after characters of the first 256 whose code is this residue of this modulus.
+STEP, RESIDUE = 8, 5
+#: Lines of a band over which its pairs are found by prefix filtering.
+WIDE = 64
 #: 64-bit words of a parity bitmap.
 PARITY = 32
 #: Bits of the filter that picks candidates' texts: 1 MB whatever the corpus; more candidates let more other texts through.
@@ -61,8 +66,9 @@ def with_shingle_set(df: DataFrame, line: str, out: str) -> DataFrame:
 
 
 def anchored(line: Column, size: int = SHINGLE) -> Column:
-    """The size-character shingles that begin after white space or after a character beyond Latin, in order, in one pass over the line."""
-    after = rf"(?s)[!-\x{{24F}}]*+(?:[\x00-\x20]|[^\x00-\x{{24F}}]|\z)(?:(?=(.{{{size}}})))?"
+    """The size-character shingles that begin after a character of RESIDUE modulo STEP or after one beyond Latin, in order, in one pass over the line."""
+    chars = lambda own: "".join(rf"\x{{{c:X}}}" for c in range(256) if (c % STEP == RESIDUE) == own)  # noqa: E731  single ones: a pattern tests those by one look
+    after = rf"(?s)[{chars(False)}\x{{100}}-\x{{24F}}]*+(?:[{chars(True)}]|[^\x00-\x{{24F}}]|\z)(?:(?=(.{{{size}}})))?"
     return F.array_remove(F.regexp_extract_all(line, F.lit(after), F.lit(1)), "")
 
 
@@ -113,10 +119,14 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return exploded.where(F.col("line").rlike(_WORD))
 
 
+def _second(line: str) -> Column:
+    return F.xxhash64(F.lit("second"), F.col(line))
+
+
 def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, doc_key, line_no, h1, h2, bands) of every line that has a word."""
     line = F.col("line")
-    ids = F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("second"), line).alias("h2")
+    ids = F.xxhash64(line).alias("h1"), _second("line").alias("h2")
     return with_line_bands(lines_of(docs, id_col, text_col).select("doc_id", "doc_key", "line_no", *ids, "line"))
 
 
@@ -191,8 +201,23 @@ def _unlinked_pairs(rest: DataFrame, texts: DataFrame, similarity: float) -> Dat
     return left.join(right, met).select("a", "b").distinct()
 
 
+def _prefix_pairs(lines: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different components among lines (h1, c) that share one of the rarest shingles of each, so many that no pair of that similarity is missed."""
+    each = cut(with_shingle_set(texts.join(lines, "h1").select("h1", "c", "line"), "line", "set").select("h1", "c", F.explode_outer("set").alias("h")))
+    counted = each.join(each.groupBy("h").agg(F.count("*").alias("f")), "h")
+    ranked = counted.groupBy("h1", "c").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("s"))
+    share = Fraction(similarity).limit_denominator(1000)
+    n = F.size("s")
+    need = F.ceil(n * share.numerator / F.lit(share.denominator))
+    rare = F.filter(F.slice("s", F.lit(1), (n - need + 1).cast("int")), lambda x: x["f"] > 1)
+    firsts = cut(ranked.select("h1", "c", n.alias("n"), F.explode(rare).alias("x")).select("h1", "c", "n", "x.h"))
+    left, right = (firsts.select("h", F.col("h1").alias(x), F.col("c").alias(f"c{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
+    sizes = F.least("na", "nb") * share.denominator >= F.greatest("na", "nb") * share.numerator
+    return left.join(right, "h").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & sizes).select("a", "b").distinct()
+
+
 def fuzzy_components(docs: DataFrame, id_col: str, text_col: str, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(h1, component) of the different lines that are like another one; lines is sketched(docs), written."""
+    """(h1, h2, component) of the different lines that are like another one; lines is sketched(docs), written. h2 is of the text that was compared: another line of the same h1 is not meant."""
     keyed = lines.select(F.explode("bands").alias("band"), "h1")
     shared = cut(keyed.groupBy("band").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi").select("band"))
     members = cut(keyed.where(_may_be_in(F.col("band"), shared)).join(shared, "band").groupBy("band", "h1").agg(F.count("*").alias("n")))
@@ -205,8 +230,13 @@ def fuzzy_components(docs: DataFrame, id_col: str, text_col: str, lines: DataFra
     labelled = cut(members.join(parts, members.h1 == parts.node, "left").select("band", "h1", F.coalesce("component", "h1").alias("c")))
     mixed = labelled.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band")
     rest = cut(labelled.join(mixed, "band", "left_semi"))
-    left = cut(_unlinked_pairs(rest, texts, similarity).join(tried, ["a", "b"], "left_anti"))
-    return connected_components(linked.unionByName(_verified(left, texts, similarity))).withColumnRenamed("node", "h1")
+    wide = cut(rest.groupBy("band").count().where(F.col("count") > WIDE).select("band"))
+    pairs = _unlinked_pairs(rest.join(wide, "band", "left_anti"), texts, similarity)
+    if not wide.isEmpty():
+        pairs = pairs.unionByName(_prefix_pairs(rest.join(wide, "band", "left_semi").select("h1", "c").distinct(), texts, similarity)).distinct()
+    left = cut(pairs.join(tried, ["a", "b"], "left_anti"))
+    parts = connected_components(linked.unionByName(_verified(left, texts, similarity))).withColumnRenamed("node", "h1")
+    return parts.join(texts.select("h1", _second("line").alias("h2")), "h1")
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -215,12 +245,12 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     parts = cut(fuzzy_components(docs, id_col, text_col, lines, similarity))
     place = _place(lines)
     ids = ["doc_id", "doc_key", "line_no"]
-    like = cut(lines.where(_may_be_in(F.col("h1"), parts.select("h1"))).join(parts, "h1").select(*ids, place.alias("at"), "component"))
+    like = cut(lines.where(_may_be_in(F.col("h1"), parts.select("h1"))).join(parts, ["h1", "h2"]).select(*ids, place.alias("at"), "component"))
     firsts = like.groupBy("component").agg(F.min("at").alias("stay"))
     fuzzy = like.join(firsts, "component").where("at <> stay").select(*ids)
     alone = lines.select(*ids, place.alias("at"), "h1", "h2")
     copies = alone.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("at").alias("stay")).where("n > 1")
-    copies = cut(copies.join(parts, "h1", "left_anti").select("h1", "h2", "stay"))
+    copies = cut(copies.join(parts, ["h1", "h2"], "left_anti").select("h1", "h2", "stay"))
     exact = alone.where(_may_be_in(F.col("h1"), copies.select("h1"))).join(copies, ["h1", "h2"]).where("at <> stay").select(*ids)
     return fuzzy.unionByName(exact)
 

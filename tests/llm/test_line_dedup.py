@@ -131,6 +131,60 @@ def test_recall_by_length_and_similarity(spark):
     assert min(found.values()) >= 0.95 and sum(every) >= 0.98 * len(every), found
 
 
+def test_recall_of_edits_at_word_borders(spark):
+    """Edits at the start or end of words, in their case, or of a prefix: pairs of a similarity of 0.8 and more are found as those edited anywhere, whatever the words' length."""
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    other = lambda c: rng.choice(letters.replace(c.lower(), ""))
+    how = {
+        "start": lambda w: other(w[0]) + w[1:], "end": lambda w: w[:-1] + other(w[-1]), "case": lambda w: w[0].upper() + w[1:], "inner": lambda w: w[:1] + other(w[1]) + w[2:],
+    }
+    docs, above = [], defaultdict(list)
+    for count, length, share in ((40, 40, 0.5), (30, 60, 0.7), (40, 20, 0.25), (40, 20, 0.2), (60, 8, 0.05), (12, 30, 0.3)):
+        for kind, change in how.items():
+            for _ in range(60):
+                words = ["".join(rng.choice(letters) for _ in range(length)) for _ in range(count)]
+                new = [change(w) if rng.random() < share else w for w in words]
+                a, b = " ".join(words), " ".join(new)
+                x, y = shingles(a), shingles(b)
+                if a != b and 5 * len(x & y) >= 4 * len(x | y):
+                    above[(count, length, kind)].append(len(docs) + 1)
+                    docs += [(len(docs), a), (len(docs) + 1, b)]
+    for _ in range(120):  # a prefix as of log lines
+        body = " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 9))) for _ in range(30))
+        a, b = (f"{rng.randrange(10**8):08d} {body}" for _ in "ab")
+        above["prefix"].append(len(docs) + 1)
+        docs += [(len(docs), a), (len(docs) + 1, b)]
+    got = {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    found = {n: round(sum(got[d] for d in ds) / len(ds), 3) for n, ds in above.items() if len(ds) >= 15}
+    print(found)
+    every = [got[d] for ds in above.values() for d in ds]
+    assert len(found) >= 16 and min(found.values()) >= 0.93 and sum(every) >= 0.97 * len(every), found
+
+
+def test_wide_bands_lose_no_like(spark, monkeypatch):
+    """Prefix filtering and comparing all pairs of a band give the same classes, and unlike lines of one frame meet rarely."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    frame = [word() for _ in range(20)]
+    rows = []
+    for i in range(150):
+        tail = [word() for _ in range(9)]
+        rows.append(" ".join(frame + tail))
+        if i % 3 == 0:
+            rows.append(" ".join(frame + tail[:-1] + [word()]))
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    lines = line_dedup.cut(line_dedup.sketched(df, "doc_id", "text"))
+    classes = []
+    for wide in (1, 10**6):
+        monkeypatch.setattr(line_dedup, "WIDE", wide)
+        classes.append(sorted(tuple(r) for r in line_dedup.fuzzy_components(df, "doc_id", "text", lines).collect()))
+    assert set(classes[1]) == set(classes[0]) and len(classes[0]) >= 90
+    texts = lines.select("h1", "doc_id").join(df, "doc_id").select("h1", line_dedup.F.col("text").alias("line"))
+    pairs = line_dedup._prefix_pairs(texts.select("h1", line_dedup.F.col("h1").alias("c")), texts, 0.8)
+    assert pairs.count() < 0.05 * len(rows) ** 2 / 2
+
+
 def test_scripts_without_spaces(spark):
     rng = random.Random(9)
     letters = lambda n: "".join(chr(rng.randrange(0x4E00, 0x4F00)) for _ in range(n))
