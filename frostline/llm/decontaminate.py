@@ -28,6 +28,8 @@ BITMAP_BITS = 22
 _WORDS = re.compile(r"\w+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _CACHE = 300_000
+#: Pairs of places over which a document and an item are tiled without making them.
+PAIRS = 1_000_000
 _BLOCK_CHARS = 1 << 20
 
 
@@ -173,6 +175,91 @@ def tile(pairs: np.ndarray | list[tuple[int, int]], size: int = SEED) -> list[tu
     return sorted(tiles)
 
 
+def _joined(doc: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(ranks, places, n): document and item in one sequence of seeds' numbers with a number of its own wherever places do not go on; the first n entries are the document's."""
+    parts, at = [], []
+    for seeds, places in (doc, item):
+        order = np.argsort(places)
+        seeds, places = seeds[order], places[order]
+        gap = np.flatnonzero(np.diff(places) != 1) + 1
+        ends = np.r_[gap, len(places)]
+        parts.append(np.insert(seeds, ends, 0))
+        at.append(np.insert(places, ends, -1))
+    places = np.concatenate(at)
+    ranks = np.unique(np.concatenate(parts), return_inverse=True)[1]
+    stops = places < 0
+    ranks[stops] = len(ranks) + np.arange(stops.sum())
+    return ranks, places, len(at[0])
+
+
+def tile_long(doc: np.ndarray, item: np.ndarray, size: int = SEED) -> list[tuple[int, int, int]]:
+    """tile() of the pairs that doc and item, each (seeds, places), make, without making them: memory grows with the places of both, not with their product.
+
+    Windows of so many seeds are equal if their halves are, so numbers for windows of 1, 2, 4, .. seeds tell any two windows apart exactly. The longest length with two equal unmarked windows is found by bisection; all tiles of
+    that length are marked in order, and the next length follows.
+    """
+    ranks, places, n_doc = _joined(doc, item)
+    levels = [ranks]
+    while 2 ** len(levels) < len(ranks):
+        half, step = levels[-1], 2 ** (len(levels) - 1)
+        pair = half[:-step].astype(np.int64) * (len(ranks) * 2 + 1) + half[step:]
+        levels.append(np.unique(pair, return_inverse=True)[1])
+    marked = [np.zeros(int(p.max()) + size + 1, bool) for p in (places[:n_doc], places[n_doc:])]
+
+    def free(q: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of document and item: (window numbers, places) of the windows of q seeds whose words are all unmarked."""
+        k = q.bit_length() - 1
+        level, last = levels[k], len(ranks) - q + 1
+        number = level[:last].astype(np.int64) * (len(ranks) * 2 + 1) + level[q - 2**k : q - 2**k + last]
+        out = []
+        for side, used in ((slice(0, max(0, min(n_doc, last))), marked[0]), (slice(min(n_doc, last), last), marked[1])):
+            at, own = places[:last][side], number[side]
+            # a window that holds a break is equal to none, but must not run out of the words' array
+            at = np.where((at >= 0) & (at + q + size - 1 < len(used)), at, -1)
+            count = np.concatenate([[0], used.cumsum()])
+            ok = (at >= 0) & (count[np.maximum(at, 0) + np.where(at >= 0, q + size - 1, 0)] == count[np.maximum(at, 0)])
+            out.append((own[ok], at[ok]))
+        return out
+
+    def matches(q: int) -> bool:
+        (d, _), (i, _) = free(q)
+        return len(np.intersect1d(d, i)) > 0
+
+    tiles, high = [], len(ranks)
+    while True:
+        low = 0  # the longest length of at most high seeds that has a match
+        while low < high:
+            mid = (low + high + 1) // 2
+            low, high = (mid, high) if matches(mid) else (low, mid - 1)
+        if not low:
+            return sorted(tiles)
+        (dn, dp), (kn, kp) = free(low)
+        common = np.intersect1d(dn, kn)
+        waiting: dict[int, list[int]] = {}
+        for number, at in sorted(zip(kn[np.isin(kn, common)].tolist(), kp[np.isin(kn, common)].tolist()), reverse=True):
+            waiting.setdefault(number, []).append(at)  # the least place last
+        words = low + size - 1
+        for at, number in sorted(zip(dp[np.isin(dn, common)].tolist(), dn[np.isin(dn, common)].tolist())):
+            if marked[0][at : at + words].any():
+                continue
+            own = waiting[number]
+            while own and marked[1][own[-1] : own[-1] + words].any():
+                own.pop()
+            if own:
+                tiles.append((at, own[-1], words))
+                marked[0][at : at + words] = marked[1][own[-1] : own[-1] + words] = True
+        high = low - 1
+
+
+def tile_places(doc: tuple[np.ndarray, np.ndarray], item: tuple[np.ndarray, np.ndarray], size: int = SEED) -> list[tuple[int, int, int]]:
+    """The tiles of a document and an item, each (seeds, places); where both repeat seeds so that over PAIRS pairs would meet, by tile_long(), which gives the same."""
+    known, count = np.unique(item[0], return_counts=True)
+    at = np.minimum(np.searchsorted(known, doc[0]), len(known) - 1)
+    if int(np.where(known[at] == doc[0], count[at], 0).sum()) > PAIRS:
+        return tile_long(doc, item, size)
+    return tile(pairs_of(*(list(zip(s.tolist(), p.tolist())) for s, p in (doc, item))), size)
+
+
 def tilings(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
             item_text_col: str = "text", size: int = SEED) -> DataFrame:
     """One row for each document and item that share a seed: doc_id, doc_key, item_id, item_words, covered, tiles (array of
@@ -191,9 +278,13 @@ def tilings(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("doc_at", pa.int32()), ("item_at", pa.int32()), ("words", pa.int32())]))
-        places = lambda column, k: ([(p["seed"], p[k]) for p in x.as_py()] for x in column)
+
+        def places(column: pa.Array, name: str):
+            for x in column:
+                yield x.values.field("seed").to_numpy(), x.values.field(name).to_numpy().astype(np.int64)
+
         for b in batches:
-            tiles = [tile(pairs_of(d, i), size) for d, i in zip(places(b.column(4), "doc_at"), places(b.column(5), "item_at"))]
+            tiles = [tile_places(d, i, size) for d, i in zip(places(b.column(4), "doc_at"), places(b.column(5), "item_at"))]
             out = [pa.array([sum(t[2] for t in ts) for ts in tiles], pa.int32()), pa.array([[{"doc_at": d, "item_at": i, "words": n} for d, i, n in ts] for ts in tiles], kind)]
             yield pa.RecordBatch.from_arrays([*b.columns[:4], *out], names=["doc_id", "doc_key", "item_id", "item_words", "covered", "tiles"])
 
@@ -202,20 +293,20 @@ def tilings(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def worst(tiled: DataFrame) -> DataFrame:
-    """(doc_id, doc_key, item_id, coverage, n_tiles) of the item that each document covers most (ties: the least item_id)."""
+    """(doc_id, doc_key, item_id, coverage, n_tiles) of the item that each document covers most (ties: the least item_id, of whatever type, null first)."""
     share = F.col("covered") / F.col("item_words")
-    top = F.max(F.struct(share.alias("coverage"), (-F.col("item_id")).alias("turned"), "item_id", F.size("tiles").alias("n_tiles")))
+    top = F.min(F.struct((-share).alias("turned"), "item_id", F.size("tiles").alias("n_tiles")))
     best = tiled.groupBy("doc_id", "doc_key").agg(top.alias("b"))
-    return best.select("doc_id", "doc_key", "b.item_id", "b.coverage", "b.n_tiles")
+    return best.select("doc_id", "doc_key", "b.item_id", (-F.col("b.turned")).alias("coverage"), "b.n_tiles")
 
 
 def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text",
           item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, leaked, item_id and coverage of the worst item (null without a shared seed), n_tiles.
 
-    Items need numeric ids. Items of fewer than SEED words and null texts share nothing. Repeated items count once;
+    Ids may be of any type that has an order. Items of fewer than SEED words and null texts share nothing. Repeated items count once;
     repeated documents and null ids stay, each judged on its text; no documents give no rows; without items
-    nothing leaks; a very long text is read whole, block by block; of items covered alike the least id is named; other columns are not read.
+    nothing leaks; a very long text is read whole, block by block; of items covered alike the least id is named, null before others; other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("doc_key"))
     top = worst(tilings(docs, items, id_col, text_col, item_col, item_text_col)).withColumnsRenamed({"doc_id": "d", "doc_key": "k"})

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from frostline.llm import decontaminate as dc
 from frostline.llm.queries import op7_decontaminate
 from frostline.llm.decontaminate import pairs_of, runs_of, tilings
@@ -105,3 +107,32 @@ def test_repeats_on_both_sides(spark):
     pairs = pairs_of([(7, 0), (7, 1), (9, 2)], [(7, 5), (7, 6), (8, 1)])
     assert sorted(map(tuple, pairs.tolist())) == [(0, 5), (0, 6), (1, 5), (1, 6)]
     assert sorted(runs_of(pairs)) == [(0, 5, 6), (0, 6, 5), (1, 5, 5)]
+
+
+def test_tiling_without_pairs_is_the_same():
+    """Few different seeds, gaps and long repeats: the tiles of all pairs, and of none."""
+    rng = np.random.default_rng(6)
+    for trial in range(150):
+        size, kinds = int(rng.integers(1, 4)), int(rng.integers(1, 5))
+        sides = []
+        for _ in range(2):
+            places = np.flatnonzero(rng.random(int(rng.integers(1, 60))) < rng.choice([0.5, 0.9, 1.0]))
+            places = places if len(places) else np.array([0])
+            seeds = np.repeat(rng.integers(0, kinds, len(places)), rng.integers(1, 4, len(places)))[: len(places)]
+            sides.append((seeds.astype(np.int64), places.astype(np.int64)))
+        pairs = dc.pairs_of(*(list(zip(s.tolist(), p.tolist())) for s, p in sides))
+        assert dc.tile_long(*sides, size) == dc.tile(pairs, size), trial
+
+
+def test_one_word_repeated(spark):
+    """100,000 equal words and an item of 10,000: a billion pairs that are never made."""
+    import resource
+
+    seeds = lambda n: (np.zeros(n, np.int64), np.arange(n))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert dc.tile_places(seeds(99_996), seeds(9_996)) == [(0, 0, 10_000)]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000  # kB
+    docs = spark.createDataFrame([(1, "ja " * 30_000), (2, "ja nein " * 3000)], "doc_id long, text string")
+    items = spark.createDataFrame([("b", "ja " * 2000), ("a", "ja " * 2000), ("c", "nein ja " * 500), (None, "x y z")], "item_id string, text string")
+    got = {r.doc_id: (r.leaked, r.item_id, r.coverage) for r in dc.leaks(docs, items).collect()}
+    assert got == {1: (True, "a", 1.0), 2: (True, "c", 1.0)}
