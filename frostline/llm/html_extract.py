@@ -8,12 +8,13 @@ odd page takes nothing from its host; their order is read off one page that has
 Texts that are as frequent are template texts if they are in the skeleton's class or share the vector of a nested class of tags. Which slots are content:
 
 - Where the skeleton has an article or main element, the slots within it but for parts that say what they are (menu, header, footer, sidebar, notice,
-  advert, form, comments). Its template texts stay, since pages may repeat passages of their articles.
+  advert, form, comments). Pages may repeat passages of their articles, so a template text within them goes only if it is in MAIN_SHARE of at least MAIN_PAGES pages, and only while such texts
+  are the smaller part of a page's content.
 - Elsewhere, the slots that vary: a second pass over such hosts' pages sums each slot's text that is no template text, and how much of it is link text. The
-  innermost element of the skeleton that holds BODY_SHARE of the varying text outside links, and is no single paragraph, is the body; its slots that vary and are not mostly links
-  are content, again but for parts that say what they are.
+  innermost element of the skeleton that holds BODY_SHARE of the varying text outside links, and is no single paragraph, is the body; but if that lacks the first main heading, where this varies, the body is the innermost
+  element with this heading and HEADED_SHARE of the text, so that long comments do not take an article's place. The body's slots that vary and are not mostly links are content, again but for parts that say what they are.
 
-Pages are then read along their host's skeleton and the texts of content slots are kept, without template texts where the slots were told by varying.
+Pages are then read along their host's skeleton and the texts of content slots are kept, without template texts.
 Elements that pages repeat without a class, id or role of their own are told apart by their slot only.
 Pages of hosts with fewer than MIN_PAGES pages and without such an element, and pages that lack their host's main element, are read by their own tags.
 """
@@ -64,6 +65,9 @@ TEXT_LEVEL = frozenset("p h1 h2 h3 h4 h5 h6 li td th dd dt pre blockquote figcap
 #: Pages that a host needs for its varying texts to tell slots apart; the share of that text outside links that the body holds.
 MIN_PAGES = 3
 BODY_SHARE = 0.7
+HEADED_SHARE = 0.1
+#: Pages of a host, and the share of them, in which a text within the main element must be to be the template's.
+MAIN_PAGES, MAIN_SHARE = 10, 0.9
 #: Bytes of all templates up to which they are broadcast (measured before); larger ones are joined.
 MAX_BROADCAST = 64 << 20
 
@@ -195,7 +199,7 @@ def _skeletons(classes: DataFrame) -> DataFrame:
 
 def templates(classes: DataFrame) -> DataFrame:
     """One row per host: host, n_pages, skeleton (its tags in page order), nested (array of slot and tags for the other classes
-    of which every tag lies in one slot on average), texts (tokens of the template texts)."""
+    of which every tag lies in one slot on average), texts (tokens of the template texts), sure (those of them that count within a main element, too)."""
     is_text, often = F.col("tag").startswith("#"), F.col("once") >= SHARE * F.col("n_pages")
     ordered = lambda c: F.transform(F.sort_array(F.collect_list(c)), lambda x: x["tag"])
     roots = _skeletons(classes)
@@ -209,11 +213,12 @@ def templates(classes: DataFrame) -> DataFrame:
     placed = others.join(roots, "host").withColumn("slot", slot(F.col("lo"))).where(F.col("slot") == slot(F.col("hi")))
     nested = placed.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("slot", "tags"))).alias("nested"))
     constant = classes.where(is_text & (F.col("in_pages") >= F.greatest(F.lit(MIN_PAGES), SHARE * F.col("n_pages"))))
-    in_root = constant.where(often).select("host", "tag")
-    in_nested = constant.where(~often).join(placed.select(*vector), vector, "left_semi").select("host", "tag")
-    texts = in_root.unionByName(in_nested).groupBy("host").agg(F.sort_array(F.collect_set("tag")).alias("texts"))
+    sure = F.when(F.col("in_pages") >= F.greatest(F.lit(MAIN_PAGES), MAIN_SHARE * F.col("n_pages")), F.col("tag")).alias("sure")
+    in_root = constant.where(often).select("host", "tag", sure)
+    in_nested = constant.where(~often).join(placed.select(*vector), vector, "left_semi").select("host", "tag", sure)
+    texts = in_root.unionByName(in_nested).groupBy("host").agg(F.sort_array(F.collect_set("tag")).alias("texts"), F.sort_array(F.collect_set("sure")).alias("sure"))
     whole = roots.join(nested, "host", "left").join(texts, "host", "left")
-    return whole.select("host", "n_pages", F.transform("root", lambda r: r["tag"]).alias("skeleton"), "nested", "texts")
+    return whole.select("host", "n_pages", F.transform("root", lambda r: r["tag"]).alias("skeleton"), "nested", "texts", "sure")
 
 
 class Template:
@@ -224,8 +229,8 @@ class Template:
     """
 
     def __init__(self, skeleton: list[str], texts: list[str] | None = None, slots: list[dict] | None = None):
-        """slots: (slot, chars, linked) of the texts that vary, of a host that is judged by them; without, article and main elements and the parts' names decide."""
-        self.texts = frozenset(texts or ()) if slots is not None else frozenset()
+        """texts: those that are left out; slots: (slot, chars, linked) of the texts that vary, of a host that is judged by them; without, article and main elements and the parts' names decide."""
+        self.texts = frozenset(texts or ())
         path: list[int] = []
         valid: set[int] = set()
         for i, t in enumerate(skeleton):
@@ -261,20 +266,25 @@ class Template:
 
     @staticmethod
     def _body(tags: list[str], plain: dict[int, int]) -> range:
-        """The slots of the innermost element that holds BODY_SHARE of the plain text by slot; all if none does."""
+        """The slots of the innermost element that holds BODY_SHARE of the plain text by slot, or of the one about the heading that this lacks; all if none does."""
         before = [0]
         for i in range(len(tags)):
             before.append(before[-1] + plain.get(i, 0))
-        least, spans, path = BODY_SHARE * before[-1], [range(len(tags))], []
+        spans, path = [range(len(tags))], []
+        title = next((i for i, t in enumerate(tags) if element(t) == "h1" and t[0] != "/" and plain.get(i)), None)
         for i, t in enumerate(tags):
             if t[0] != "/":
                 path.append(i)
                 continue
             while tags[o := path.pop()] != t[1:]:
                 pass
-            if before[i] - before[o] >= least and element(t) not in TEXT_LEVEL | INLINE:
+            if element(t) not in TEXT_LEVEL | INLINE:
                 spans.append(range(o, i))
-        return min(spans, key=len)
+        held = lambda r: before[r.stop] - before[r.start]
+        body = min((r for r in spans if held(r) >= BODY_SHARE * before[-1]), key=len)
+        if title is None or title in body:
+            return body
+        return min((r for r in spans if title in r and held(r) - plain[title] >= HEADED_SHARE * before[-1]), key=len, default=body)
 
     def in_order(self, tags: list[tuple[int, str]]) -> dict[int, int]:
         """{place in the page: place in the skeleton} of the page's skeleton tags that keep the skeleton's order (the longest such run)."""
@@ -340,9 +350,12 @@ class Template:
         path: list[str] = []  # what is open inside the slot
         skipped = 0
         out: list[str] = []
+        repeated: list[int] = []  # places in out of template texts
         for i, (kind, x) in enumerate(toks):
             if kind == "text":
-                if on and not skipped and (not self.texts or text_token(x) not in self.texts):
+                if on and not skipped:
+                    if self.texts and text_token(x) in self.texts:
+                        repeated.append(len(out))
                     out.append(x)
                 continue
             name = element(x)
@@ -360,12 +373,18 @@ class Template:
             elif name not in VOID:
                 path.append(x)
                 skipped += is_dropped(x)
+        less = sum(len(out[i]) for i in repeated)
+        if repeated and (self.varying or 2 * less < sum(map(len, out))):
+            for i in repeated:
+                out[i] = ""
         return " ".join("".join(out).split())
 
 
 def _joined(pages: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
     """pages with their hosts' columns of found, which is broadcast up to a measured size; beyond it, an exchange of its own lets AQE choose and split."""
     chars = sum((F.coalesce(F.length(F.array_join(c, ",")), F.lit(0)) for c in ("skeleton", "texts")), F.lit(200)) + 32 * F.size("skeleton")
+    if "slots" in columns:
+        chars = chars + 64 * F.greatest(F.size("slots"), F.lit(0))
     size = found.agg(F.sum(chars)).first()[0] or 0
     side = found.select("host", *columns)
     return pages.join(F.broadcast(side) if 2 * size <= MAX_BROADCAST else side.repartition(F.xxhash64("host")), "host", "left")
@@ -408,7 +427,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     url = F.col(url_col).cast("string")
     rows = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), host_and_path(url)[0].alias("host"), F.col(html_col).cast("string").alias("html"))
     keyed = rows.select("host", F.xxhash64("page_id", "url", "html").alias("page"), "html")
-    found = cut(with_varying_slots(rows, cut(templates(equivalence_classes(keyed)))).drop("nested"))
+    found = with_varying_slots(rows, cut(templates(equivalence_classes(keyed))))
+    found = cut(found.withColumn("texts", F.when(F.col("slots").isNull(), F.col("sure")).otherwise(F.col("texts"))).drop("nested", "sure"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Template] = {}

@@ -118,6 +118,57 @@ def test_template_decides_without_semantic_marks(spark, monkeypatch):
     assert {r.page_id: r.text for r in mixed if r.page_id >= 100} == {100: "", 101: "", 102: "Odd page"}
 
 
+def own_words(seed, n):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+
+
+def test_notices_within_articles(spark):
+    """A notice in the articles of all pages of a host goes, once or nested; a passage of few pages stays, and so does an article that most pages have copied."""
+    note = "<p>Join our mailing list for more.</p>"
+    page = lambda i, extra: f"<html><body><article><h1>T {i}</h1><p>{own_words(i, 20)}</p>{note}{extra}</article></body></html>"
+    shared = f"<p>{own_words('s', 12)}</p>"
+    rows = [(i, f"https://n.org/{i}", page(i, shared if i % 2 else "")) for i in range(30)]
+    rows += [(100 + i, f"https://few.org/{i}", page(i, "")) for i in range(8)]
+    same = f"<html><body><article><h1>Same</h1><p>{own_words('c', 60)}</p></article></body></html>"
+    rows += [(200 + i, f"https://copies.org/{i}", same if i < 29 else page(i, "")) for i in range(30)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"T {i} {own_words(i, 20)}" + (f" {own_words('s', 12)}" if i % 2 else "") for i in range(30))
+    assert all(got[100 + i] == f"T {i} {own_words(i, 20)} Join our mailing list for more." for i in range(8))
+    assert all(got[200 + i] == f"Same {own_words('c', 60)}" for i in range(29))
+
+
+def test_comments_do_not_take_the_articles_place(spark):
+    """In hosts of plain elements, comments without a name that outweigh the article leave it the result."""
+    for article, comment in ((20, 40), (150, 250)):
+        page = lambda i: (
+            f"<html><body><h1>Acme</h1><div><div class=txt><h1 class=t>Title {i}</h1><p>{own_words(i, article)}</p></div>"  # noqa: B023
+            f"<div class=lower><div class=one><p>{own_words(-i - 1, comment)}</p></div><div class=two><p>{own_words(i + 900, comment)}</p></div></div></div></body></html>"  # noqa: B023
+        )
+        df = spark.createDataFrame([(i, f"https://c.org/{i}", page(i)) for i in range(20)], "page_id long, url string, html string")
+        got = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+        assert all(got[i] == f"Title {i} {own_words(i, article)}" for i in range(20))
+
+
+def test_given_pages_by_their_template(spark, monkeypatch):
+    """The table's pages with all parts as div of a name that tells nothing, which leaves only the template to tell: most articles' texts are found, and are not without the template."""
+    import pyspark.sql.functions as F
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    bare = F.regexp_replace("html", r'<div class="ad">', "<div class=k9>")
+    for k, part in enumerate(("article", "nav", "header", "footer", "aside", "form")):
+        bare = F.regexp_replace(F.regexp_replace(bare, rf"<{part}\b[^>]*>", f"<div class=k{k}>"), f"</{part}>", "</div>")
+    bare = pages.withColumn("html", bare)
+    truth = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    got = {r.page_id: r.text for r in html_extract.extract(bare).collect()}
+    same = sum(got[i] == truth[i] for i in truth) / len(truth)
+    monkeypatch.setattr(html_extract, "MIN_PAGES", 10**9)  # no host is judged by its template
+    alone = {r.page_id: r.text for r in html_extract.extract(bare).collect()}
+    changed = sum(got[i] != alone[i] for i in truth) / len(truth)
+    print("by template", same, "changed", changed)
+    assert same >= 0.8 and changed >= 0.8
+
+
 def test_nested_template_texts(spark):
     """A text that has the vector of a nested class of tags is template: labels that every page repeats as often as its blocks."""
     words = lambda i, k: f"opinion {i} {k} " + "long " * 9
