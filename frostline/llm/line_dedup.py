@@ -37,8 +37,8 @@ SIMILARITY = 0.8
 ANCHORED, DENSE = 14, 24
 #: Shingles are anchored after characters of the first 256 whose code is this residue of this modulus.
 STEP, RESIDUE = 8, 5
-#: Lines of a band over which its pairs are found by prefix filtering.
-WIDE = 64
+#: Lines of a band over which its pairs are found by prefix filtering, which costs a row for each shingle.
+WIDE = 2000
 #: 64-bit words of a parity bitmap.
 PARITY = 32
 #: Bits of the filter that picks candidates' texts: 1 MB whatever the corpus; more candidates let more other texts through.
