@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from frostline.functions import codecs
 from frostline.operators import gates, reports
 from frostline.plans.model import Column
-from frostline.queries.common import ARC_SQL, archived_orders, okey, query, scratch, table
-from frostline.sources import archive, catalog, export, index, scan
+from frostline.operators.select import estimate_eligible
+from frostline.plans.lineage import cut
+from frostline.queries.common import ARC_SQL, CUT, PLAN, archived_orders, okey, query, scratch, table
+from frostline.sources import archive, catalog, export, footers, index, scan
 from frostline.sources import database as jdbc
 
 # The test tables' columns and types.
@@ -319,6 +321,31 @@ def discovered_key_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.key_sets({t: table(spark, sf_dir, t) for t in KEYED}).select("table", F.array_join("key", ",").alias("key"))
 
 
+@query("""SELECT unnest(['o_orderkey', 'o_custkey', 'o_totalprice', 'o_orderdate', 'o_orderstatus']) AS name, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_nulls, true AS values_fit, unnest([true, true, true, true, NULL]) AS median_fits FROM orders""")
+def merged_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders profiled year by year, the profiles merged, and whether what they tell is within 5 % of the values and 3 % of the rows."""
+    o, names = table(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderstatus"]
+    year, parts = F.year("o_orderdate"), None
+    for y in [r[0] for r in o.select(year).distinct().collect()]:  # a few years
+        one = catalog.column_sketches(o.where(year == y), names)
+        parts = one if parts is None else parts.unionByName(one)
+    told = cut(catalog.sketch_estimates(catalog.merge_sketches(parts)))
+    medians = {r.name: r.quantile for r in told.where("quantile is not null").collect()}
+    as_number = lambda c: F.unix_micros(F.col(c).cast("timestamp")) if c == "o_orderdate" else F.col(c)
+    exact = o.agg(*(F.count_distinct(c).alias(f"d_{c}") for c in names), *(F.count_if(as_number(c) <= m).alias(f"m_{c}") for c, m in medians.items()))
+    true = exact.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(f"d_{c}").alias("d"), (F.col(f"m_{c}") if c in medians else F.lit(None).cast("long")).alias("m")) for c in names))).alias("t")).select("t.*")
+    fits = [(F.abs(F.col("n_values") - F.col("d")) <= 0.05 * F.col("d") + 1).alias("values_fit"), (F.abs(F.col("m") - F.col("n_rows") / 2) <= 0.03 * F.col("n_rows")).alias("median_fits")]
+    return told.join(true, "name").select("name", "n_rows", "n_nulls", *fits)
+
+
+@query(f"SELECT count(*) AS n_rows, count(*) FILTER (o_orderdate < {CUT}) AS eligible, true AS within, true AS known FROM orders")
+def eligible_by_footers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bounds of eligible orders that the files' footers give, held against the count."""
+    bounds = footers.eligible_bounds(footers.row_groups(spark, f"{sf_dir}/orders.parquet", "o_orderdate"), PLAN.cutoff)
+    n = estimate_eligible(table(spark, sf_dir, "orders"), PLAN).first().eligible
+    return bounds.select("n_rows", F.lit(n).alias("eligible"), F.lit(n).between(F.col("at_least"), F.col("at_most")).alias("within"), (F.col("unknown_rows") == 0).alias("known"))
+
+
 @query()
 def measured_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """archival_assessment with the sizes of the files and the keys that the rows have."""

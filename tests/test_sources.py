@@ -1,6 +1,7 @@
 """Indexes of files, databases and key discovery."""
 
 import random
+from datetime import datetime, timedelta
 from itertools import combinations
 from pathlib import Path
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from frostline.queries.values import DERBY
-from frostline.sources import catalog, database, index
+from frostline.sources import catalog, database, footers, index
 
 
 def test_lookup_opens_only_files_that_may_hold_a_key(spark, tmp_path):
@@ -95,3 +96,31 @@ def test_assessment_has_the_files_sizes(spark):
     sf = "/root/testdata/sf0.001"
     got = {r.table: r.total_bytes for r in QUERIES["measured_assessment"](spark, sf).collect()}
     assert got == {t: Path(f"{sf}/{t}.parquet").stat().st_size for t in got} and len(got) == 14
+
+
+def test_bounds_from_footers(spark, tmp_path):
+    """Files sorted by time bound the eligible rows from both sides; null times never count, and a column without ranges is unknown."""
+    path = str(tmp_path / "t")
+    at = lambda lo: spark.range(lo, lo + 100).select("id", F.when(F.col("id") % 10 != 3, F.timestamp_seconds(F.col("id") * 86400).cast("timestamp_ntz")).alias("at"), F.array("id").alias("list"))
+    for lo in (0, 100, 200):
+        at(lo).coalesce(1).write.mode("append").parquet(path)
+    at(0).select("id", F.lit(None).cast("timestamp_ntz").alias("at"), "list").coalesce(1).write.mode("append").parquet(path)
+    groups = footers.row_groups(spark, path, "at")
+    assert [(r.n_rows, r.nulls) for r in groups.orderBy("low").collect()] == [(100, 100), (100, 10), (100, 10), (100, 10)]
+    for day, want in ((0, (0, 0)), (150, (90, 180)), (200, (180, 180)), (1000, (270, 270))):
+        b = footers.eligible_bounds(groups, datetime(1970, 1, 1) + timedelta(days=day)).first()
+        assert (b.at_least, b.at_most, b.unknown_rows, b.n_rows) == (*want, 0, 400)
+    blind = groups.withColumns({"low": F.lit(None).cast("timestamp_ntz"), "high": F.lit(None).cast("timestamp_ntz"), "nulls": F.lit(None).cast("long")})
+    b = footers.eligible_bounds(blind, datetime(1970, 5, 1)).first()
+    assert (b.at_least, b.at_most, b.unknown_rows) == (0, 400, 400)
+
+
+def test_sketches_merge(spark):
+    df = spark.range(20_000).select("id", (F.col("id") % 700).cast("double").alias("x"), F.concat(F.lit("s"), F.col("id") % 50).alias("s"), F.when(F.col("id") % 4 == 0, F.col("id")).alias("n"))
+    parts = [df.where(F.col("id") % 3 == k) for k in range(3)]
+    profile = lambda d: catalog.column_sketches(d, ["id", "x", "s", "n"])
+    merged = catalog.merge_sketches(profile(parts[0]).unionByName(profile(parts[1])).unionByName(profile(parts[2])).unionByName(profile(df.limit(0))))
+    got = {r.name: r for r in catalog.sketch_estimates(merged, 0.25).collect()}
+    assert {n: (r.n_rows, r.n_nulls) for n, r in got.items()} == {"id": (20_000, 0), "x": (20_000, 0), "s": (20_000, 0), "n": (20_000, 15_000)}
+    assert abs(got["id"].n_values - 20_000) < 1000 and abs(got["x"].n_values - 700) < 20 and got["s"].n_values == 50 and got["s"].quantile is None
+    assert abs(got["id"].quantile - 5000) < 600 and abs(got["x"].quantile - 175) < 21 and abs(got["n"].quantile - 5000) < 600
