@@ -27,7 +27,7 @@ def rotate(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", ro
 
     Participants are the conversation's different speakers but for context_roles, whose turns are context for all. The
     trained characters are the participant's texts with their end marks. Turns are in order of turn, null turns first, then speaker and
-    text; repeated rows are turns of their own. A null or empty speaker is 'unknown', a null text is empty. Rows with a
+    text; repeated rows are turns of their own. A null or empty speaker is 'unknown', a null text is empty, a very long one is rendered whole. Rows with a
     null id are one conversation. No rows, or only context, give no rows; other columns are not read.
     """
     name = F.coalesce(F.nullif(F.col(role_col).cast("string"), F.lit("")), F.lit("unknown"))

@@ -422,7 +422,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row per page: page_id, url, text, n_chars.
 
     Pages are grouped by the host of their url; those without one are a group, too. A null or empty page and one without content
-    have an empty text. Null ids and repeated rows stay, and equal pages have equal texts; a very long page is read whole; no rows give no rows; other columns are not read.
+    have an empty text. Null ids and repeated rows stay, and equal pages of a host have equal texts; of skeletons that are as common the one drawn by the page of least hash is taken; a very long page is read whole; no rows give no rows; other columns are not read.
     """
     url = F.col(url_col).cast("string")
     rows = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), host_and_path(url)[0].alias("host"), F.col(html_col).cast("string").alias("html"))

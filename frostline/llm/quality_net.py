@@ -172,7 +172,11 @@ def _gradients(raw: list[bytes], y: np.ndarray, weight: np.ndarray, net: Net, co
 
 def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "quality", per_class: int = SAMPLE_PER_CLASS) -> Net:
-    """A net from the labelled rows of which may_learn (over doc_id) holds; labels other than 0 and 1 are passed over."""
+    """A net from the labelled rows of which may_learn (over doc_id) holds; labels other than 0 and 1 are passed over.
+
+    Of each class the per_class rows least by their id's hash (ties: by id) are taken, and of those the texts of at most SAMPLE_CHARS characters; null texts and ids are not learned from, repeated rows count each, and with
+    labels of one class alone every score says that class (of none, 0.5). Other columns, whatever their names, are not read.
+    """
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)").where(may_learn)
     counts = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     picked = [
@@ -190,8 +194,8 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "do
 def score_documents(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """One row per document: doc_id, score (probability of label 1), predicted (1 if score >= threshold).
 
-    Null texts score like empty ones (one block of padding); null ids and repeated rows stay; no rows give no rows;
-    other columns are not read.
+    Null texts score like empty ones (one block of padding); very long texts are read whole, block by block; null ids and repeated rows stay, and equal texts have equal scores; no rows give
+    no rows; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -108,7 +108,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
     kept is false if the base rules fail or the document's host does. Null and empty texts have no words, so they
-    fail; a null host is not judged; null ids and repeated rows stay, each judged on its own; no rows give no rows;
+    fail; very long texts are counted whole; a null host is not judged; null ids and repeated rows stay, each judged on its own, so equal texts of a host are judged alike; no rows give no rows;
     other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), statistics(F.col(text_col)).alias("s"))

@@ -218,6 +218,9 @@ def test_rotation(spark):
         trained.append(r.text[at + run.skip : at + run.skip + run.train])
         at += run.skip + run.train
     assert at == len(r.text) and trained == ["", "", "Hello ann<|end|>\n", ""] and r.n_trained == 17
+    long = "é" * 300_000
+    whole = chat_format.rotate(spark.createDataFrame([(1, 0, "a", long), (1, 1, "b", "x")], "conv_id long, turn long, role string, text string")).where("assistant = 'a'").first()
+    assert long in whole.text and whole.n_trained == len(long) + len("<|end|>\n")
     assert got[2, "unknown"].n_turns == 2 and chat_format.rotate(df.limit(0)).count() == 0
 
 
