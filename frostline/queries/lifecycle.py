@@ -99,10 +99,10 @@ def crash_at(step: str, times: int = 1):
 
 @query(f"SELECT 'crashed' AS outcome, o_orderkey, o_totalprice FROM orders WHERE o_orderdate < {CUT}")
 def restore_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A restore in rounds of four batches that stops after its second round and is called again."""
+    """A restore in rounds of four batches that stops after its first round and is called again."""
     uri, target = written(spark, sf_dir), scratch(spark)
     try:
-        export.restore(spark, uri, target, batches=4, at=crash_at("staged", 2))
+        export.restore(spark, uri, target, batches=4, at=crash_at("moved"))
         outcome = "whole"
     except Crash:
         outcome = "crashed"
