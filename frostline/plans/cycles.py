@@ -32,7 +32,7 @@ MAX_REPORT_AGE_MS = 3_600_000
 class Checks:
     """What a cycle must be told before it may delete; nothing has a default, so nothing is skipped by leaving it out.
 
-    jobs: the policy's earlier jobs (policy, status, deleted, imported). serving: reads the copy that answers for the archive, given (spark, archive's table, archive's folder); None if there is none, which deletes nothing. admitted: admission()'s
+    jobs: the policy's earlier jobs (policy, status, deleted, imported). serving: reads the copy that answers for the archive, given the table's name and the archived rows; None if there is none, which deletes nothing. admitted: admission()'s
     one row for now (allowed, reason), or None for a source without a protection policy. children: tables (as functions that read them now) that may point at the rows.
     """
 
