@@ -229,7 +229,7 @@ def plan_edits(turns: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
 
     turns: conv_id, turn, role, text, copies. Turns are in order, null first, then by role and text. Rows with a null conversation are one conversation.
     """
-    rows = written(ordered_rows(turns))
+    rows = ordered_rows(turns)
     top = (rows.agg(F.max("at")).first()[0] or 0) >> bits
     one = F.when(F.col("n") > 0, F.struct("at", "symbol", "n"))
     inner = F.col("at").bitwiseAND((1 << bits) - 1)
