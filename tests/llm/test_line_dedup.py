@@ -255,3 +255,21 @@ def test_text_is_native(spark):
     text = plan._jdf.queryExecution().toString()
     assert not any(x in text for x in ("Python", "Pandas", "Arrow"))
     assert plan.select(F.col("text")).first().text == "a\nb"
+
+
+def test_parity_words_are_never_null(spark):
+    """Null tests at every word made the comparison of a pair of lines many times slower."""
+    fields = line_dedup.parities(spark.createDataFrame([(1, "a line"), (2, "b")], "h1 long, line string")).schema
+    assert [f.name for f in fields if f.nullable] == ["h1"] and len(fields) == 2 + line_dedup.PARITY
+
+
+def test_anchored_shingles_of_odd_lines(spark):
+    """All shingles after a character of the residue or beyond Latin, by code points: line ends, wide characters and overlaps among them."""
+    rng = random.Random(15)
+    lines = ["", "e", "e1234567", "e12345678", "eeeeeeeeeeee", "\U0001f600" * 12, "éɏɐabcdefgh", "z" * 50_000, "\n".join("emu emu emu")]
+    lines += ["".join(rng.choice("aemu =-åɐ中\U0001f600\n") for _ in range(60)) for _ in range(100)]
+    own = lambda c: ord(c) >= 0x250 or ord(c) < 256 and ord(c) % line_dedup.STEP == line_dedup.RESIDUE
+    df = spark.createDataFrame(list(enumerate(lines)), "i long, line string").select("i", line_dedup.anchored(F.col("line")).alias("a"))
+    got = {r.i: r.a for r in df.collect()}
+    for i, x in enumerate(lines):
+        assert got[i] == [x[k + 1 : k + 1 + K] for k, c in enumerate(x) if own(c) and len(x) - k > K], x
