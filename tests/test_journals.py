@@ -152,6 +152,29 @@ def test_deletion_is_replayed(spark, source, tmp_path, step):
     assert left.count() == 11 and left.where("at < '2000-01-01'").isEmpty()
 
 
+@pytest.mark.parametrize(("before", "after"), [(3, 6), (6, 2), (None, 3)])
+def test_attempts_are_counted_by_batch(spark, source, tmp_path, before, after):
+    """A run that loses an acknowledgement goes on in rounds of another size: only batches that it may have deleted are tried twice, and all of those. A journal that does not tell (None) may mean any."""
+    target, arc, allowed = lake_of(spark, source, str(tmp_path / "a"))
+    uri, gone = str(tmp_path / "ledger"), arc.where("batch_seq in (2, 5, 8)").groupBy("batch_seq").agg(F.min("id").alias("id"))
+    versions.delete_keys(spark, target.uri, 1, gone, "id")
+
+    def at(now: str) -> None:
+        if now == "deleted":
+            raise Crash(now)
+
+    if before:
+        with pytest.raises(Crash):
+            deletion.run_deletion(spark, target, arc, uri, "j", allowed, batches=before, at=at)
+    else:
+        store.create_once(spark, f"{uri}/attempts/{1:012d}-{1:06d}.json", "{}")
+    got = {r.batch_seq: r for r in deletion.run_deletion(spark, target, arc, uri, "j", allowed, batches=after).collect()}
+    absent = lambda b: (10 if b < 9 else 4) if before and b <= before else int(b in (2, 5, 8))
+    twice = range(1, (before or 9) + 1)
+    want = {b: (2, absent(b), absent(b)) if b in twice else (1, absent(b), 0) for b in range(1, 10)}
+    assert {b: (r.attempts, r.absent, r.uncertain) for b, r in got.items()} == want
+
+
 def test_deletion_stops_and_refuses(spark, source, tmp_path):
     target, arc, allowed = lake_of(spark, source.withColumn("v", F.when(F.col("id") == 40, "other").otherwise(F.col("v"))), str(tmp_path / "a"))
     arc = arc.withColumn("v", F.concat(F.lit("v"), "id"))
