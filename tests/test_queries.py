@@ -42,6 +42,16 @@ def test_fields_with_odd_names(spark):
     assert got == {"a'b": ("integer", 1), "x.y": ("string", 1), "n": ("null", 1), "o": ("object", 1), "l": ("array", 1), "f": ("number", 1), "big": ("integer", 1), "t": ("boolean", 1)}
 
 
+def test_touched_files_when_rewritten_rows_are_mixed(spark, con):
+    """Where the deleted keys are too many for a broadcast, the files written anew hold rows of several old ones."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = QUERIES["touched_files"](spark, SF).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert rows(got) == rows(con.sql(SQL["touched_files"]).df())
+
+
 def test_entry(spark):
     import __spark_entry__
 
