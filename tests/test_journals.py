@@ -175,6 +175,14 @@ def test_attempts_are_counted_by_batch(spark, source, tmp_path, before, after):
     assert {b: (r.attempts, r.absent, r.uncertain) for b, r in got.items()} == want
 
 
+def test_attempts_of_older_journals(spark):
+    """Of attempts that do not tell their last batch, those that were recorded reach no later batch, all others any."""
+    begun = [(1, 1, None), (4, 1, None), (4, 2, None), (7, 1, 8), (7, 2, None)]
+    got = spark.range(7, 10).select(F.col("id").alias("batch_seq")).select(deletion._tries(begun, 7, 9)).collect()
+    assert [r[0] for r in got] == [4, 4, 3]
+    assert [r[0] for r in spark.range(10, 12).select(F.col("id").alias("batch_seq")).select(deletion._tries(begun, 10, 11)).collect()] == [2, 2]
+
+
 def test_deletion_stops_and_refuses(spark, source, tmp_path):
     target, arc, allowed = lake_of(spark, source.withColumn("v", F.when(F.col("id") == 40, "other").otherwise(F.col("v"))), str(tmp_path / "a"))
     arc = arc.withColumn("v", F.concat(F.lit("v"), "id"))
